@@ -56,6 +56,17 @@ PART_WORDS = [
     "SET", "VALUES", "RETURNING", "WITH", "AS", "CASE", "WHEN", "THEN", "ELSE", "END", "OR",
     "ASC", "DESC",
 ]
+# Words that can follow a complete join condition.
+AFTER_CONDITION = [
+    ")", ";", ",", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION",
+    "INTERSECT", "EXCEPT", "MINUS", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL",
+    "WINDOW", "QUALIFY", "FOR",
+]
+# Clause words whose label is the word itself.
+OTHER_CLAUSES = [
+    "WHERE", "HAVING", "LIMIT", "OFFSET", "FETCH", "WINDOW", "QUALIFY", "SET", "VALUES",
+    "RETURNING", "INTO", "FOR",
+]
 # Words that cannot be the last token of a statement.
 DANGLING = [
     "SELECT", "FROM", "WHERE", "GROUP", "BY", "HAVING", "ORDER", "JOIN", "ON", "AND", "OR",

@@ -76,11 +76,7 @@ def right_free(t: str) -> Column:
 
 def ends_condition(t: str) -> Column:
     """The token after a complete join condition."""
-    return F.col(f"{t}.u").isNull() | F.col(f"{t}.u").isin(
-        ")", ";", ",", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION",
-        "INTERSECT", "EXCEPT", "MINUS", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS",
-        "NATURAL", "WINDOW", "QUALIFY", "FOR",
-    )
+    return F.col(f"{t}.u").isNull() | F.col(f"{t}.u").isin(words.AFTER_CONDITION)
 
 
 def explode_tokens(texts: DataFrame) -> DataFrame:
@@ -93,14 +89,14 @@ def explode_tokens(texts: DataFrame) -> DataFrame:
         lambda w: F.lower(w).isin(words.CASE_STYLE_WORDS) & (w != F.upper(w)),
     )
     return (
+        # computed below the explode, so once per text and not once per token
         texts.select(
             "text_id",
             "dq_is_string",
             lower_words.alias("lower_words"),
-            F.posexplode_outer(
-                token_array(F.col("sql"), F.col("backslash_escapes"), F.col("brackets"))
-            ).alias("pos", "raw"),
+            token_array(F.col("sql"), F.col("backslash_escapes"), F.col("brackets")).alias("toks"),
         )
+        .select("text_id", "dq_is_string", "lower_words", F.posexplode_outer("toks").alias("pos", "raw"))
         .select(
             "text_id",
             "lower_words",
@@ -114,8 +110,181 @@ def explode_tokens(texts: DataFrame) -> DataFrame:
     )
 
 
+def _roles() -> Column:
+    """What part the token plays in an expression, from its neighbours alone."""
+    u, p1, p2, n1 = F.col("u"), F.col("p1.u"), F.col("p2.u"), F.col("n1.u")
+    path, op = F.col("kind") == "path", F.col("kind") == "op"
+    ident = (
+        ~u.isin(words.RESERVED)
+        & ~F.col("tok").endswith("*")
+        & ~_flag(n1.isin("(", "=>"))
+        & ~_flag(F.col("n1.kind") == "str")
+        & ~_flag(p1.isin("AS", "::", "AT", "FROM", "JOIN", "INTO", "UPDATE", "TABLE"))
+        & ~_flag(p2 == "AT")
+        & ~(operand_end("p1") & ~_flag(p2 == "TOP"))
+        & ~F.col("first")
+    )
+    null_safe = _flag((p1 == "IS") | ((p1 == "NOT") & (p2 == "IS")))
+    part = ((u == "DISTINCT") & ~null_safe) | ((u == "FROM") & ~_flag(p1 == "DISTINCT"))
+    other_parts = [w for w in words.PART_WORDS if w not in ("DISTINCT", "FROM")]
+    return (
+        F.when(op & u.isin(words.COMPARISONS), "cmp")
+        .when(op & u.isin(words.ARITHMETIC) & operand_end("p1"), "math")
+        .when(op & u.isin(",", ";"), "part")
+        .when(path & (u == "AND"), "and")
+        .when(path & (u == "BETWEEN"), "between")
+        .when(path & u.isin(words.OPAQUE_PREDICATES), "opaque")
+        .when(path & (part | u.isin(other_parts)), "part")
+        .when(path & ident, "ident")
+    )
+
+
+def _words() -> Column:
+    """Clause label the token would start, if it turns out to stand at the level of its query."""
+    u, p1, n1 = F.col("u"), F.col("p1.u"), F.col("n1.u")
+    open_next = _flag(n1 == "(")
+    label = (
+        F.when(u == "SELECT", "SELECT")
+        .when(F.col("head").isNotNull() & (u == "WITH"), "WITH")
+        .when(F.col("head").isNotNull() & (u == "("), "SETOP")
+        .when(F.col("head").isNotNull(), "STMT")
+        .when((u == "FROM") & ~_flag(p1 == "DISTINCT"), "FROM")
+        .when(u.isin("GROUP", "ORDER"), F.when(n1 == "BY", u))
+        .when(u.isin("ON", "USING"), F.when(~_flag(p1 == "DISTINCT"), "ON"))
+        .when(u == "JOIN", "JOIN")
+        .when(u.isin("INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL") & ~open_next, "SIDE")
+        .when(u.isin(words.SET_OPERATORS), "SETOP")
+        .when(u.isin(words.OTHER_CLAUSES), u)
+    )
+    return F.when(u == ";", "END").when((F.col("kind") == "path") | (u == "("), label)
+
+
+def _hints() -> Column:
+    """Finding the token would cause, as far as its neighbours can tell."""
+    u, p1, p2, n1, n2 = (F.col(c) for c in ("u", "p1.u", "p2.u", "n1.u", "n2.u"))
+    path, cmp_op = F.col("kind") == "path", F.col("role") == "cmp"
+    dotted = lambda t: (F.col(f"{t}.kind") == "path") & ~F.col(f"{t}.u").isin(words.RESERVED)
+    exempt_join = (
+        p1.isin("CROSS", "NATURAL", "SEMI", "ANTI", "ASOF")
+        | (p1.isin("INNER", "LEFT", "RIGHT", "FULL") & (p2 == "NATURAL"))
+        | ((p1 == "OUTER") & (F.col("p3.u") == "NATURAL"))
+    )
+    always_true = (n1.isin("TRUE", "1") & ends_condition("n2")) | (
+        (n2 == "=") & (F.col("n1.tok") == F.col("n3.tok")) & ends_condition("n4")
+    )
+    on_path = (
+        F.when(u == "OR", "L003")
+        .when(u == "LIKE", F.when(
+            ~_flag(p1 == "NOT") & (F.col("n1.kind") == "str") & (F.substring("n1.tok", 2, 1) == "%")
+            & ~_flag(n2.isin(words.BINDING_AFTER)), "L005"))
+        .when(u == "DISTINCT", F.when(p1 == "SELECT", "L006"))
+        .when(F.col("first") & (u == "DROP"), F.when(n1 == "TABLE", "L007"))
+        .when(F.col("first") & (u == "TRUNCATE"), "L007")
+        .when(u == "IN", F.when((p1 == "NOT") & (n1 == "(") & n2.isin("SELECT", "WITH"), "L008"))
+        .when(u == "UNION", F.when(~_flag(n1 == "ALL"), "L011"))
+        .when(u == "ON", F.when(always_true, "L016"))
+        .when(u == "JOIN", F.when(_flag(exempt_join), "free_join").otherwise("join"))
+    )
+    null_side = ((n1 == "NULL") & right_free("n2")) | ((p1 == "NULL") & left_free("p2"))
+    self_compare = (
+        dotted("p1") & dotted("n1") & (F.col("p1.tok") == F.col("n1.tok"))
+        & left_free("p2") & right_free("n2")
+    )
+    on_cmp = F.when(u.isin("=", "<>", "!=") & null_side, "L023").when(self_compare, "L015")
+    bare_star = (u == "*") & _flag(p1.isin("SELECT", "DISTINCT", "ALL", ","))
+    ordinal = _flag(p1.isin("BY", ",")) & ~_flag(
+        (F.col("n1.kind") == "op") & ~n1.isin(",", ")", ";")
+    )
+    return (
+        F.when(cmp_op, on_cmp)
+        .when(F.col("kind") == "num", F.when(ordinal, "ordinal"))
+        .when(bare_star | (path & F.col("tok").endswith("*")), "star")
+        .when(path, on_path)
+    )
+
+
+def _neighbour_facts(near: DataFrame) -> DataFrame:
+    """Everything the neighbouring tokens say, so the neighbours need not be carried along."""
+    u, p1, p2, n1 = F.col("u"), F.col("p1.u"), F.col("p2.u"), F.col("n1.u")
+    p1_path = F.col("p1.kind") == "path"
+    after_set = p1.isNull() | p1.isin(*words.SET_OPERATORS, ";")
+    after_set_word = p1.isin("ALL", "DISTINCT") & p2.isin(words.SET_OPERATORS)
+    before_arm = (
+        p2.isNull()
+        | p2.isin(*words.SET_OPERATORS, ";")
+        | (p2.isin("ALL", "DISTINCT") & F.col("p3.u").isin(words.SET_OPERATORS))
+    )
+    head = F.when(F.col("first"), "top").when(
+        (p1 == "(") & (F.col("kind") == "path") & u.isin("SELECT", "WITH"),
+        F.when(_flag(before_arm), "arm").otherwise("nested"),
+    )
+    callable_ = p1_path & (~p1.isin(words.RESERVED) | p1.isin(words.FUNCTION_WORDS))
+    paren = (
+        F.when(_flag(n1.isin("SELECT", "WITH")), "query")
+        .when(_flag(p1_path & p1.isin(words.OPAQUE_CALLS)), "opaque")
+        .when(_flag(callable_), "call")
+        .otherwise("plain")
+    )
+    use = (
+        F.when(_flag(after_set | after_set_word), "set_arm")
+        .when(p1 == "AS", "as")
+        .when(p1 == "EXISTS", "exists")
+        .when(p1 == "IN", "in_subquery")
+        .when(p1.isin("ANY", "ALL", "SOME"), "quantified")
+        .when(_flag(callable_), "call_argument")
+        .otherwise("scalar")
+    )
+    plain_name = lambda t: (F.col(f"{t}.kind") == "path") & ~F.col(f"{t}.u").isin(words.RESERVED)
+    alias = F.when(n1 == "AS", F.col("n2.tok")).when(plain_name("n1"), F.col("n1.tok"))
+    from_word = _flag(
+        (p1.isin("FROM", "JOIN", ",", "(", "LATERAL", "ONLY"))
+        & ~((p1 == "FROM") & _flag(p2 == "DISTINCT"))
+    )
+    source = F.when(
+        (F.col("kind") == "path") & ~u.isin(words.RESERVED) & from_word,
+        F.when(_flag((p1 == "JOIN") | ((p1 == "LATERAL") & (p2 == "JOIN"))), "join").otherwise("base"),
+    )
+    derived = F.when(_flag((p1 == "JOIN") | ((p1 == "LATERAL") & (p2 == "JOIN"))), "join").otherwise("base")
+    literal = lambda t: F.when(F.col(f"{t}.kind").isin("num", "str"), F.col(f"{t}.kind"))
+    is_cmp = lambda t: F.col(f"{t}.u").isin(words.COMPARISONS)
+    against = F.when(
+        _flag(is_cmp("n1")) & left_free("p1"),
+        F.coalesce(F.when(right_free("n3"), literal("n2")), F.lit("other")),
+    ).when(
+        _flag(is_cmp("p1")) & right_free("n1"),
+        F.coalesce(F.when(left_free("p3"), literal("p2")), F.lit("other")),
+    )
+    glued = p1.isNull() | (p1.isin("(", "::")) | u.isin(",", ")", ";", "::") | (
+        (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.OPAQUE_CALLS[:12])))
+    )
+    is_open, is_close = F.col("tok") == "(", F.col("tok") == ")"
+    return (
+        near.withColumns({"head": head, "role": _roles()})
+        .withColumns(
+            {
+                "word": _words(),
+                "hint": _hints(),
+                "pk": F.when(is_open, paren),
+                "use": F.when(is_open, use),
+                "src": F.when(is_open, derived).otherwise(source),
+                "alias": F.when(is_close | source.isNotNull(), alias),
+                "called": source.isNotNull() & _flag(n1 == "("),
+                "against": F.when(F.col("role") == "ident", against),
+                "stop": F.when(n1.isNull() | (n1 == ";"), "end").when(n1 == ")", "close"),
+                "distinct_next": _flag(n1 == "DISTINCT"),
+                "cte_name": F.when(is_open & (p1 == "AS"), F.col("p2.tok")),
+                "in_next": is_open & _flag(p1 == "IN"),
+                "glued": glued,
+                "prev_u": p1,
+                "next_u": n1,
+            }
+        )
+        .drop("p1", "p2", "p3", "n1", "n2", "n3", "n4")
+    )
+
+
 def screen(tokens: DataFrame) -> DataFrame:
-    """Neighbours, parenthesis depth, statement number, and the well-formedness check.
+    """Neighbour facts, parenthesis depth, statement number, and the well-formedness check.
 
     A text that fails keeps only its first row, emptied, with ``error`` set.
     """
@@ -145,61 +314,63 @@ def screen(tokens: DataFrame) -> DataFrame:
             "incomplete statement",
         )
     )
-    checked = near.withColumn(
-        "error",
-        F.min(F.when(problem.isNotNull(), F.struct("pos", problem.alias("code"))))
-        .over(W.partitionBy("text_id"))
-        .getField("code"),
+    facts = _neighbour_facts(near.withColumn("problem", problem))
+    checked = facts.withColumns(
+        {
+            "error": F.min(
+                F.when(F.col("problem").isNotNull(), F.struct("pos", F.col("problem").alias("code")))
+            )
+            .over(_whole(_TEXT))
+            .getField("code"),
+            "verb": _last(F.when(F.col("first"), F.col("u")), _upto(_TEXT)),
+        }
     ).filter(F.col("error").isNull() | (F.col("pos") == 0))
     failed = F.col("error").isNotNull()
+    empty = {"tok": F.lit(""), "u": F.lit(""), "kind": F.lit("none"), "stmt": F.lit(0).cast("bigint"),
+             "cum": F.lit(0).cast("bigint"), "first": F.lit(False), "glued": F.lit(True),
+             "called": F.lit(False), "in_next": F.lit(False), "distinct_next": F.lit(False)}
+    cleared = ["head", "role", "word", "hint", "pk", "use", "src", "alias", "against", "stop",
+               "cte_name", "prev_u", "next_u", "verb"]
     return checked.select(
         "text_id",
         "pos",
         "lower_words",
         "error",
-        F.when(failed, "").otherwise(F.col("tok")).alias("tok"),
-        F.when(failed, "").otherwise(F.col("u")).alias("u"),
-        F.when(failed, "none").otherwise(F.col("kind")).alias("kind"),
-        *[F.when(~failed, F.col(c)).alias(c) for c in ("p1", "p2", "p3", "n1", "n2", "n3", "n4")],
-        F.when(failed, 0).otherwise(F.col("stmt")).alias("stmt"),
-        (F.col("first") & ~failed).alias("first"),
-        F.when(failed, 0)
-        .otherwise(F.col("cum") - _int(F.col("tok") == "("))
-        .alias("depth"),
-        _last(F.when(F.col("first"), F.col("u")), _upto(_TEXT)).alias("verb"),
-    )
+        *[F.when(failed, v).otherwise(F.col(c)).alias(c) for c, v in empty.items()],
+        *[F.when(~failed, F.col(c)).alias(c) for c in cleared],
+    ).withColumn("depth", F.col("cum") - _int(F.col("tok") == "("))
 
 
 def match_parentheses(tokens: DataFrame) -> DataFrame:
-    """Kind of each parenthesis pair, where it closes, and what encloses each token.
+    """Where each parenthesis closes, and how deep in queries and calls each token is.
 
     Both parentheses of a pair count as outside it for ``qd`` (query nesting) and as inside it
     for ``fd`` (call nesting), so each nesting key sees its groups bracketed the way it needs.
     """
-    p1, p1k, n1 = F.col("p1.u"), F.col("p1.kind"), F.col("n1.u")
-    is_open, is_close = F.col("tok") == "(", F.col("tok") == ")"
-    call = (p1k == "path") & (~p1.isin(words.RESERVED) | p1.isin(words.FUNCTION_WORDS))
-    classed = tokens.withColumn(
-        "pk",
-        F.when(
-            is_open,
-            F.when(_flag(n1.isin("SELECT", "WITH")), "query")
-            .when(_flag((p1k == "path") & p1.isin(words.OPAQUE_CALLS)), "opaque")
-            .when(_flag(call), "call")
-            .otherwise("plain"),
-        ),
-    ).withColumn("lvl", F.col("depth") + _int(is_open | is_close))
-    closing = "CASE WHEN tok = ')' THEN struct(pos, n1, n2) END"
-    matched = classed.withColumns(
-        {
-            "shut": F.when(is_open, _near(closing, "lead", "lvl")),
-            "opk": F.when(is_close, _last(F.when(is_open, F.col("pk")), _upto(_LEVEL))),
-        }
-    ).withColumn("close", F.col("shut.pos"))
+    is_open, is_close = F.col("pk").isNotNull(), F.col("tok") == ")"
+    matched = (
+        tokens.withColumn("lvl", F.col("depth") + _int(is_open | is_close))
+        .withColumns(
+            {
+                "shut": F.when(
+                    is_open,
+                    _near("CASE WHEN tok = ')' THEN struct(pos, alias) END", "lead", "lvl"),
+                ),
+                "opk": F.when(is_close, _last(F.col("pk"), _upto(_LEVEL))),
+            }
+        )
+        .withColumns(
+            {
+                "close": F.col("shut.pos"),
+                "alias": F.when(is_open, F.col("shut.alias")).otherwise(F.col("alias")),
+            }
+        )
+        .drop("lvl", "shut")
+    )
     q_open, q_shut = _flag(F.col("pk") == "query"), _flag(F.col("opk") == "query")
     f_open, f_shut = _flag(F.col("pk") != "plain"), _flag(F.col("opk") != "plain")
     step = lambda o, c: F.when(o, 1).when(c, -1).otherwise(0)
-    case_step = F.when(F.col("u") == "CASE", 1).when((F.col("u") == "END") & ~F.col("first"), -1)
+    opens_case, ends_case = F.col("u") == "CASE", (F.col("u") == "END") & ~F.col("first")
     return matched.withColumns(
         {
             "qd": F.sum(step(q_open, q_shut)).over(_upto(_TEXT)) - _int(q_open),
@@ -208,35 +379,27 @@ def match_parentheses(tokens: DataFrame) -> DataFrame:
                 F.max(F.when(F.col("pk") == "opaque", F.col("close"))).over(_before(_TEXT))
                 > F.col("pos")
             ),
-            "in_case": F.sum(F.coalesce(case_step, F.lit(0))).over(_upto(_TEXT)) > 0,
-            "next_pk": F.lead("pk", 1).over(_TEXT),
-            "next_close": F.lead("close", 1).over(_TEXT),
+            "in_case": F.sum(step(opens_case, ends_case)).over(_upto(_TEXT)) > 0,
+            "next_close": F.lead(F.when(F.col("pk") == "plain", F.col("close")), 1).over(_TEXT),
+            "prev_close": F.lag(F.when(F.col("pk") == "query", F.col("close")), 1).over(_TEXT),
         }
-    ).drop("lvl")
+    )
 
 
 def label_clauses(tokens: DataFrame) -> DataFrame:
     """Query scope, SELECT block, set-operation arm and clause of each token."""
-    u, p1, p2, n1 = F.col("u"), F.col("p1.u"), F.col("p2.u"), F.col("n1.u")
-    path = F.col("kind") == "path"
-    head = F.col("first") | _flag((p1 == "(") & path & u.isin("SELECT", "WITH"))
-    arm_head = F.col("first") | _flag(
-        p2.isNull()
-        | p2.isin(*words.SET_OPERATORS, ";")
-        | (p2.isin("ALL", "DISTINCT") & F.col("p3.u").isin(words.SET_OPERATORS))
-    )
     scoped = (
-        tokens.withColumn("head", head)
-        .withColumn(
+        tokens.withColumn(
             "h",
             _last(
                 F.when(
-                    F.col("head"),
+                    F.col("head").isNotNull(),
                     F.struct(
                         F.col("pos").alias("scope"),
                         F.col("depth").alias("bd"),
                         F.col("fd").alias("bfd"),
-                        arm_head.alias("query_level"),
+                        F.col("prev_close").alias("scope_end"),
+                        (F.col("head") != "nested").alias("query_level"),
                     ),
                 ),
                 _upto(_QUERY),
@@ -245,6 +408,7 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "scope": F.col("h.scope"),
+                "scope_end": F.col("h.scope_end"),
                 "bd": F.col("h.bd"),
                 "query_level": _flag(F.col("h.query_level")),
                 "base": _flag(F.col("depth") == F.col("h.bd")),
@@ -253,115 +417,77 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
         )
         .drop("h")
     )
-    base = F.col("base")
-    from_word = (u == "FROM") & ~_flag(p1 == "DISTINCT")
-    join_word = (u == "JOIN") | (
-        base & u.isin("INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL") & ~_flag(n1 == "(")
-    )
-    on_word = u.isin("ON", "USING") & ~_flag(p1 == "DISTINCT")
-    setop = base & path & u.isin(words.SET_OPERATORS)
-    marker = (
-        F.when(base & path & (u == "SELECT"), "SELECT")
-        .when(F.col("head") & (u == "WITH"), "WITH")
-        .when(F.col("head"), F.when(u == "(", "SETOP").otherwise("STMT"))
-        .when(base & from_word, "FROM")
-        .when(base & u.isin("WHERE", "HAVING", "LIMIT", "OFFSET", "FETCH", "WINDOW", "QUALIFY"), u)
-        .when(base & u.isin("SET", "VALUES", "RETURNING", "INTO", "FOR"), u)
-        .when(base & u.isin("GROUP", "ORDER") & (n1 == "BY"), u)
-        .when(F.col("same_call") & on_word, "ON")
-        .when(F.col("same_call") & join_word, "FROM")
-        .when(setop, "SETOP")
-        .when((u == ";") & (F.col("qd") == 0), "END")
-    )
-    exempt_join = _flag(
-        p1.isin("CROSS", "NATURAL", "SEMI", "ANTI", "ASOF")
-        | (p1.isin("INNER", "LEFT", "RIGHT", "FULL") & (p2 == "NATURAL"))
-        | ((p1 == "OUTER") & (F.col("p3.u") == "NATURAL"))
+    word, base = F.col("word"), F.col("base")
+    stands = (
+        F.when(word.isin("ON", "JOIN"), F.col("same_call"))
+        .when(word == "END", F.col("qd") == 0)
+        .otherwise(base)
     )
+    label = F.when(word.isin("JOIN", "SIDE"), "FROM").otherwise(word)
     at = lambda c: F.when(c, F.col("pos"))
-    marked = scoped.withColumn("marker", marker).withColumns(
+    is_comma = base & (F.col("tok") == ",")
+    setop = base & (word == "SETOP") & (F.col("kind") == "path")
+    countable = (F.col("role") == "ident") & ~F.col("in_opaque")
+    sum0 = lambda c, w: F.coalesce(F.sum(_int(c)).over(w), F.lit(0))
+    marked = scoped.withColumn("marker", F.when(stands, label)).withColumns(
         {
             "m": _last(
                 F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("label"), "pos")),
                 _upto(_QUERY),
             ),
-            "comma_at": _last(at(base & (F.col("tok") == ",")), _upto(_QUERY)),
+            "comma_at": _last(at(is_comma), _upto(_QUERY)),
+            "comma_before": _last(at(is_comma), _before(_QUERY)),
             "block": _last(
                 F.when(
-                    F.col("head") | (F.col("marker") == "SELECT"),
+                    F.col("head").isNotNull() | (F.col("marker") == "SELECT"),
                     F.struct(
-                        F.when(F.col("marker") == "SELECT", F.col("pos")).alias("sel"),
-                        (_flag(n1 == "DISTINCT") & (F.col("marker") == "SELECT")).alias("dist"),
+                        at(F.col("marker") == "SELECT").alias("sel"),
+                        (F.col("distinct_next") & (F.col("marker") == "SELECT")).alias("dist"),
                     ),
                 ),
                 _upto(_QUERY),
             ),
-            "from_at": _last(at(base & (F.col("marker") == "FROM")), _upto(_QUERY)),
+            "from_at": _last(at(base & (word == "FROM")), _upto(_QUERY)),
             "where_at": _last(at(F.col("marker") == "WHERE"), _upto(_QUERY)),
             "group_at": _last(at(F.col("marker") == "GROUP"), _upto(_QUERY)),
+            "order_at": _last(at(F.col("marker") == "ORDER"), _upto(_QUERY)),
             "limit_at": _last(at(F.col("marker") == "LIMIT"), _upto(_QUERY)),
             "setop_at": _last(at(setop), _upto(_QUERY)),
             "nset": F.sum(_int(setop)).over(_upto(_QUERY)),
-            "exempt_join": _last(F.when(base & (u == "JOIN"), exempt_join), _upto(_QUERY)),
+            "star_before": _last(at(base & (F.col("hint") == "star")), _before(_QUERY)),
+            "ordinal_before": _last(at(base & (F.col("hint") == "ordinal")), _before(_QUERY)),
+            "free_join": _last(
+                F.when(base & F.col("hint").isin("join", "free_join"), F.col("hint") == "free_join"),
+                _upto(_QUERY),
+            ),
             "after_join": _near(
                 "CASE WHEN base AND (marker IS NOT NULL OR tok = ',') THEN u END", "lead", "qd"
             ),
-        }
-    )
-    clause = F.when(
-        (F.col("m.label") == "ON") & _flag(F.col("comma_at") > F.col("m.pos")), "FROM"
-    ).otherwise(F.col("m.label"))
-    typed = _flag(F.col("n1.kind") == "str")
-    ident = (
-        path
-        & ~u.isin(words.RESERVED)
-        & ~F.col("tok").endswith("*")
-        & ~_flag(n1.isin("(", "=>"))
-        & ~typed
-        & ~_flag(p1.isin("AS", "::", "AT", "FROM", "JOIN", "INTO", "UPDATE", "TABLE"))
-        & ~_flag(p2 == "AT")
-        & ~(operand_end("p1") & ~_flag(p2 == "TOP"))
-        & ~F.col("first")
-    )
-    math = (F.col("kind") == "op") & u.isin(words.ARITHMETIC) & operand_end("p1")
-    labelled = marked.withColumns(
-        {
-            "clause": clause,
-            "sel": F.col("block.sel"),
-            "has_distinct": _flag(F.col("block.dist")),
-            "comma_join": base
-            & (F.col("tok") == ",")
-            & F.col("block.sel").isNotNull()
-            & _flag(F.col("m.label").isin("FROM", "ON")),
-            "ident": ident,
-            "math": math,
-            "cmp": (F.col("kind") == "op") & u.isin(words.COMPARISONS),
-            "arm": F.col("nset") - _last(F.when(F.col("head"), F.col("nset")), _upto(_QUERY)),
-        }
-    ).drop("m", "block", "nset")
-    star = base & _flag(F.col("clause") == "SELECT") & (
-        ((F.col("tok") == "*") & ~F.col("math")) | (path & F.col("tok").endswith("*"))
-    )
-    ordinal = (
-        base
-        & _flag(F.col("clause") == "ORDER")
-        & (F.col("kind") == "num")
-        & _flag(p1.isin("BY", ","))
-        & ~_flag((F.col("n1.kind") == "op") & ~n1.isin(",", ")", ";"))
-    )
-    countable = F.col("ident") & ~F.col("in_opaque")
-    return labelled.withColumns({"star": star, "ordinal": ordinal}).withColumns(
-        {
-            "star_before": _last(at(F.col("star")), _before(_QUERY)),
-            "comma_join_before": _last(at(F.col("comma_join")), _before(_QUERY)),
-            "ordinal_before": _last(at(F.col("ordinal")), _before(_QUERY)),
-            "ids": F.coalesce(F.sum(_int(countable)).over(_before(_QUERY)), F.lit(0)),
-            "ids_plain": F.coalesce(
-                F.sum(_int(countable & ~F.col("in_case"))).over(_before(_QUERY)), F.lit(0)
-            ),
+            "ids": sum0(countable, _before(_QUERY)),
+            "ids_plain": sum0(countable & ~F.col("in_case"), _before(_QUERY)),
             "ids_total": F.sum(_int(countable)).over(_whole(_QUERY)),
         }
     )
+    moved_on = (F.col("m.label") == "ON") & _flag(F.col("comma_at") > F.col("m.pos"))
+    return (
+        marked.withColumns(
+            {
+                "clause": F.when(moved_on, "FROM").otherwise(F.col("m.label")),
+                "sel": F.col("block.sel"),
+                "has_distinct": _flag(F.col("block.dist")),
+                "comma_join": is_comma
+                & F.col("block.sel").isNotNull()
+                & _flag(F.col("m.label").isin("FROM", "ON")),
+            }
+        )
+        .drop("m", "block")
+        .withColumn(
+            "arm",
+            F.col("nset")
+            - _last(F.when(F.col("head").isNotNull(), F.col("nset")), _upto(_QUERY)),
+        )
+        .drop("nset")
+    )
 
 
 def cut_operands(tokens: DataFrame) -> DataFrame:
@@ -370,40 +496,29 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
     Inside one call level the tokens between two boundary words form one operand; the number of
     identifiers or operators in it is the difference of a running count at both ends.
     """
-    u, p1, p2 = F.col("u"), F.col("p1.u"), F.col("p2.u")
-    path = F.col("kind") == "path"
-    is_distinct = (u == "DISTINCT") & _flag((p1 == "IS") | ((p1 == "NOT") & (p2 == "IS")))
-    from_of_distinct = (u == "FROM") & _flag(p1 == "DISTINCT")
+    role = F.col("role")
     part = (
-        (path & u.isin(words.PART_WORDS) & ~is_distinct & ~from_of_distinct)
-        | F.col("tok").isin(",", ";")
-        | _flag(F.col("pk") != "plain")
-        | _flag(F.col("opk") != "plain")
-    )
-    marked = tokens.withColumn("part", part).withColumn(
-        "between_open",
-        _flag(
-            _last(
-                F.when(F.col("part") | (path & u.isin("AND", "BETWEEN")), u), _before(_CALL)
-            )
-            == "BETWEEN"
-        ),
+        _flag(role == "part") | _flag(F.col("pk") != "plain") | _flag(F.col("opk") != "plain")
     )
-    edge = F.col("part") | (path & (u == "AND") & ~F.col("between_open"))
-    counted = marked.withColumn("edge", edge).withColumns(
+    sum0 = lambda c: F.coalesce(F.sum(_int(c)).over(_before(_CALL)), F.lit(0))
+    predicate = role.isin("opaque", "between")
+    counted = tokens.withColumn("part", part).withColumns(
         {
-            "maths": F.coalesce(F.sum(_int(F.col("math"))).over(_before(_CALL)), F.lit(0)),
-            "maths_total": F.sum(_int(F.col("math"))).over(_whole(_CALL)),
-            "opaques": F.coalesce(
-                F.sum(_int(path & u.isin(words.OPAQUE_PREDICATES))).over(_before(_CALL)), F.lit(0)
-            ),
-            "opaques_total": F.sum(_int(path & u.isin(words.OPAQUE_PREDICATES))).over(
-                _whole(_CALL)
+            "between_open": _flag(
+                _last(
+                    F.when(F.col("part") | role.isin("and", "between"), role == "between"),
+                    _before(_CALL),
+                )
             ),
+            "maths": sum0(role == "math"),
+            "maths_total": F.sum(_int(role == "math")).over(_whole(_CALL)),
+            "opaques": sum0(predicate),
+            "opaques_total": F.sum(_int(predicate)).over(_whole(_CALL)),
         }
     )
-    edge_counts = "CASE WHEN edge OR cmp THEN struct(maths, ids) END"
-    around = counted.withColumns(
+    edge = F.col("part") | (_flag(role == "and") & ~F.col("between_open"))
+    edge_counts = "CASE WHEN edge OR role = 'cmp' THEN struct(maths, ids) END"
+    around = counted.withColumn("edge", edge).withColumns(
         {
             "lo": _near(edge_counts, "lag", "fd"),
             "hi": _near(edge_counts, "lead", "fd"),
@@ -428,7 +543,7 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
     )
     return around.withColumns(
         {
-            "math_operand": F.col("cmp") & (left_math | right_math),
+            "math_operand": _flag(role == "cmp") & (left_math | right_math),
             "call_on_ident": _flag((F.col("pk") == "call") & (call_ids > 0)),
             "seg_opaque": F.coalesce(F.col("seg_hi"), F.col("opaques_total"))
             > F.coalesce(F.col("seg_lo"), zero),
@@ -439,22 +554,14 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
 
 def scope_kind() -> Column:
     """What a query in parentheses is used as, from the words before it and its clause."""
-    p1, p2, clause = F.col("p1.u"), F.col("p2.u"), F.col("clause")
-    setops = words.SET_OPERATORS
+    use, clause = F.col("use"), F.col("clause")
     kind = (
-        F.when(p1.isNull() | p1.isin(*setops, ";"), "set_arm")
-        .when(p1.isin("ALL", "DISTINCT") & _flag(p2.isin(setops)), "set_arm")
-        .when((p1 == "AS") & _flag(clause == "WITH"), "cte")
-        .when(p1 == "EXISTS", "exists")
-        .when(p1 == "IN", "in_subquery")
-        .when(p1.isin("ANY", "ALL", "SOME"), "quantified")
+        F.when(use == "set_arm", "set_arm")
+        .when((use == "as") & _flag(clause == "WITH"), "cte")
+        .when(use.isin("exists", "in_subquery", "quantified"), use)
         .when(_flag(clause == "FROM"), "derived")
         .when(_flag(clause.isin("STMT", "INTO", "END")), "statement_part")
-        .when(
-            (F.col("p1.kind") == "path")
-            & (~p1.isin(words.RESERVED) | p1.isin(words.FUNCTION_WORDS)),
-            "call_argument",
-        )
+        .when(use == "call_argument", use)
         .otherwise("scalar")
     )
     return F.when(F.col("pk") == "query", kind)
@@ -463,40 +570,38 @@ def scope_kind() -> Column:
 def mark_visibility(tokens: DataFrame) -> DataFrame:
     """Which tokens the recursion of a tree walker would reach (and which it would count).
 
-    ``inv`` closes over parentheses whose inside is never visited; a token is hidden when one of
-    them opened before it and closes after it, i.e. when the running maximum of their closing
-    positions is beyond the token.
+    A token is hidden when a parenthesis whose inside is never visited opened before it and
+    closes after it, i.e. when the running maximum of their closing positions is beyond it.
     """
+    # a parenthesis that opens a call is keyed inside it; its segment is the one just before
+    outer_segment = F.when(
+        _flag(F.col("pk") != "plain"), F.coalesce(F.lag("seg_opaque", 1).over(_TEXT), F.lit(False))
+    ).otherwise(F.col("seg_opaque"))
+    tokens = tokens.withColumn("seg_opaque", outer_segment)
     query = F.col("pk") == "query"
-    in_list = _flag(F.col("p1.u") == "IN")
     linted = _flag(F.col("clause").isin(LINTED_CLAUSES))
-    hidden_segment = F.col("seg_opaque") & ~in_list
+    hidden_segment = F.col("seg_opaque") & ~F.col("in_next")
     expression_query = F.col("scope_kind").isin("in_subquery", "scalar") & linted & ~hidden_segment
     seen_query = (F.col("scope_kind") == "set_arm") | expression_query
-    closes_unseen = F.when(
-        F.when(query, ~seen_query)
-        .when(F.col("pk") == "opaque", F.lit(True))
-        .otherwise(F.col("seg_opaque") & F.col("pk").isNotNull()),
-        F.col("close"),
-    )
-    closes_uncounted = F.when(
-        F.when(query, ~seen_query & (F.col("scope_kind") != "derived"))
+    closes = lambda shut_query: F.when(
+        F.when(query, shut_query)
         .when(F.col("pk") == "opaque", F.lit(True))
         .otherwise(F.col("seg_opaque") & F.col("pk").isNotNull()),
         F.col("close"),
     )
+    uncounted_query = ~seen_query & (F.col("scope_kind") != "derived")
     is_query = _flag(F.col("verb").isin("SELECT", "WITH", "("))
-    kinded = tokens.withColumn("scope_kind", scope_kind())
+    inside = lambda c: _flag(F.max(c).over(_before(_TEXT)) > F.col("pos"))
+    headed = F.col("head").isNotNull()
     return (
-        kinded.withColumns(
+        tokens.withColumn("scope_kind", scope_kind())
+        .withColumns(
             {
-                "reached": is_query
-                & ~_flag(F.max(closes_unseen).over(_before(_TEXT)) > F.col("pos")),
-                "counted": is_query
-                & ~_flag(F.max(closes_uncounted).over(_before(_TEXT)) > F.col("pos")),
-                "parent_sel": F.when(F.col("head"), F.lag("sel", 1).over(_TEXT)),
+                "reached": is_query & ~inside(closes(~seen_query)),
+                "counted": is_query & ~inside(closes(uncounted_query)),
+                "parent_sel": F.when(headed, F.lag("sel", 1).over(_TEXT)),
                 "own_kind": F.when(
-                    F.col("head"),
+                    headed,
                     F.when(F.col("first"), "top").otherwise(F.lag("scope_kind", 1).over(_TEXT)),
                 ),
             }
