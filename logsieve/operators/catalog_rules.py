@@ -54,67 +54,45 @@ def named_things(tokens: DataFrame) -> DataFrame:
     )
 
 
-def unknown_tables(things: DataFrame, catalog: DataFrame) -> DataFrame:
-    """L020: a table that is not in the catalog. Names of CTEs count as known, but the walker
-    does not know them."""
-    same_name = W.partitionBy("text_id", "stmt", "key")
-    named = (
-        things.filter(F.col("thing").isin("table", "cte"))
-        .withColumn("key", F.when(F.col("thing") == "cte", F.col("alias")).otherwise(F.col("table_name")))
-        .withColumn("is_cte", F.max(F.col("thing") == "cte").over(same_name))
-        .filter(F.col("thing") == "table")
-    )
-    known = catalog.select("table_name").distinct()
-    return named.join(known, "table_name", "left_anti").select(
-        "text_id",
-        "stmt",
-        F.lit("L020").alias("rule_id"),
-        F.lit("table").alias("variant"),
-        "pos",
-        F.col("reached").alias("visible"),
-        F.col("text").alias("p1"),
-        F.lit(None).cast("string").alias("p2"),
-        F.col("is_cte").alias("quirk"),
-    )
-
-
 def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Column references, each with the sources its name may come from.
+    """Column references, each with the sources its name may come from; table references too.
 
     A bare name may come from every source of its SELECT; a qualified one from the source with
     that alias or name, or failing that from the innermost enclosing query having one.
     """
     tables = catalog.groupBy("table_name").agg(F.max("is_indexed").alias("has_index"))
-    with_known = (
-        things.filter(F.col("thing") != "cte")
-        .join(tables, "table_name", "left")
-        .withColumn("known", F.col("has_index").isNotNull())
+    thing = F.col("thing")
+    is_source = thing.isin("table", "derived")
+    with_known = things.join(tables, "table_name", "left").withColumn(
+        "known", F.col("has_index").isNotNull()
     )
-    is_source = F.col("thing").isin("table", "derived")
     source = F.struct(
         "pos", "scope", "scope_end", "table_name", "alias", "known",
         F.coalesce("has_index", F.lit(False)).alias("has_index"),
     )
-    block = W.partitionBy("text_id", "stmt", "sel")
-    in_block = with_known.withColumn(
-        "sources", F.collect_list(F.when(is_source, source)).over(block)
-    ).withColumn(
-        "keys",
-        F.when(is_source, F.array_distinct(F.array("alias", "table_name"))).otherwise(
-            F.array(F.lower("qualifier"))
-        ),
+    qualifier = F.lower("qualifier")
+    keys = (
+        F.when(is_source, F.array_compact(F.array_distinct(F.array("alias", "table_name"))))
+        .when(thing == "cte", F.array("alias"))
+        .otherwise(F.array(qualifier))
     )
-    matches = lambda s: (s["alias"] == F.lower("qualifier")) | (s["table_name"] == F.lower("qualifier"))
-    # sources sharing a name meet the references qualified with it; the rest pass through
+    block = W.partitionBy("text_id", "stmt", "sel")
+    # sources sharing a name meet the references qualified with it; bare names pass through
     same_name = W.partitionBy("text_id", "stmt", "key")
     keyed = (
-        in_block.withColumn("key", F.explode("keys"))
-        .filter(~is_source | F.col("key").isNotNull())
-        .withColumn(
-            "namesakes",
-            F.when(F.col("key").isNotNull(), F.collect_list(F.when(is_source, source)).over(same_name)),
+        with_known.withColumns(
+            {"sources": F.collect_list(F.when(is_source, source)).over(block), "keys": keys}
         )
-        .filter(F.col("thing") == "column")
+        .withColumn("key", F.explode("keys"))
+        .withColumns(
+            {
+                "namesakes": F.when(
+                    F.col("key").isNotNull(), F.collect_list(F.when(is_source, source)).over(same_name)
+                ),
+                "is_cte": F.max(thing == "cte").over(same_name),
+            }
+        )
+        .filter((thing == "column") | ((thing == "table") & (F.col("key") == F.col("table_name"))))
     )
     around = F.filter(
         "namesakes",
@@ -123,61 +101,46 @@ def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
     innermost = F.reverse(
         F.array_sort(F.transform(around, lambda s: F.struct(s["scope"].alias("at"), s.alias("s"))))
     )
-    return (
-        keyed.withColumn(
-            "own",
-            F.when(F.col("qualifier").isNull(), F.col("sources")).otherwise(F.filter("sources", matches)),
-        )
-        .withColumn("outer", F.when(F.col("qualifier").isNotNull() & (F.size("own") == 0), F.get(innermost, 0)["s"]))
-        .drop("keys", "key", "namesakes")
-    )
-
-
-def unknown_aliases(refs: DataFrame) -> DataFrame:
-    """L020: a qualifier that names no source; the walker does not look at enclosing queries."""
-    return refs.filter(F.col("qualifier").isNotNull() & (F.size("own") == 0)).select(
-        "text_id",
-        "stmt",
-        F.lit("L020").alias("rule_id"),
-        F.lit("alias").alias("variant"),
-        "pos",
-        F.col("linted_expr").alias("visible"),
-        F.col("qualifier").alias("p1"),
-        F.lit(None).cast("string").alias("p2"),
-        F.col("outer").isNotNull().alias("quirk"),
+    matches = lambda s: (s["alias"] == qualifier) | (s["table_name"] == qualifier)
+    own = (
+        F.when(thing == "table", F.slice("sources", 1, 0))
+        .when(F.col("qualifier").isNull(), F.col("sources"))
+        .otherwise(F.filter("sources", matches))
     )
+    unowned = F.col("qualifier").isNotNull() & (F.size("own") == 0)
+    return keyed.withColumn("own", own).withColumn("outer", F.when(unowned, F.get(innermost, 0)["s"]))
 
 
-def resolved_columns(refs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each column reference with the number of its sources that have the column, and its type."""
-    usable = refs.filter(F.col("column_name").isNotNull() & (F.col("column_name") != "*")).withColumn(
-        "from_outer", F.col("outer").isNotNull()
+def resolved_names(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Each reference with the number of its sources that have the column, and its type."""
+    sources = F.when(F.col("outer").isNotNull(), F.array("outer")).otherwise(F.col("own"))
+    pairs = refs.withColumns(
+        {
+            "from_outer": F.col("outer").isNotNull(),
+            "n_own": F.size("own"),
+            "source": F.explode_outer(sources),
+            "lookup": F.lower("column_name"),
+        }
     )
-    sources = F.when(F.col("from_outer"), F.array("outer")).otherwise(F.col("own"))
-    pairs = usable.withColumn("source", F.explode(sources)).withColumn("lookup", F.lower("column_name"))
     columns = catalog.select(
         F.col("table_name").alias("cat_table"),
-        F.col("column_name").alias("lookup"),
+        F.col("column_name").alias("cat_column"),
         "type_family",
         "is_indexed",
     )
     joined = pairs.join(
         columns,
-        (F.col("source.table_name") == columns["cat_table"]) & (pairs["lookup"] == columns["lookup"]),
+        (F.col("source.table_name") == F.col("cat_table")) & (F.col("lookup") == F.col("cat_column")),
         "left",
     )
     has = F.col("cat_table").isNotNull()
     names = F.array_compact(F.array("source.alias", "source.table_name"))
+    carried = ["thing", "qualifier", "column_name", "text", "clause", "against", "linted_expr",
+               "reached", "from_outer", "n_own", "known", "is_cte"]
     return (
         joined.groupBy("text_id", "stmt", "pos")
         .agg(
-            F.first("qualifier").alias("qualifier"),
-            F.first("column_name").alias("column_name"),
-            F.first("text").alias("text"),
-            F.first("clause").alias("clause"),
-            F.first("against").alias("against"),
-            F.first("linted_expr").alias("linted_expr"),
-            F.first("from_outer").alias("from_outer"),
+            *[F.first(x).alias(x) for x in carried],
             F.max("source.known").alias("any_known"),
             F.sum(F.when(has, 1).otherwise(0)).alias("owners"),
             F.collect_list(F.when(has, names)).alias("owner_names"),
@@ -190,26 +153,35 @@ def resolved_columns(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def column_findings(resolved: DataFrame) -> DataFrame:
-    """L020 (missing, ambiguous), L021 (type mismatch) and L022 (unindexed filter)."""
+def name_findings(resolved: DataFrame) -> DataFrame:
+    """L020 (table, alias, column, ambiguous), L021 (type mismatch) and L022 (unindexed filter).
+
+    Names of CTEs and aliases of enclosing queries count as known, and a column is ambiguous when
+    two sources have it; a walker without these notions reports more, marked ``quirk``.
+    """
     c = F.col
-    bare = c("qualifier").isNull()
+    column = (c("thing") == "column") & c("column_name").isNotNull()
+    real = column & (c("column_name") != "*")
+    bare = real & c("qualifier").isNull()
     visible = c("linted_expr") & ~c("from_outer")
-    filtered = c("clause").isin(FILTER_CLAUSES) & c("against").isNotNull()
+    filtered = real & c("clause").isin(FILTER_CLAUSES) & c("against").isNotNull()
     family = c("column.type_family")
-    missing = c("any_known") & (c("owners") == 0)
-    ambiguous = bare & (c("owner_names") > 1)
     mismatch = ((family == "numeric") & (c("against") == "str")) | (
         (family == "string") & (c("against") == "num")
     )
     unindexed = c("column.has_index") & ~c("column.is_indexed")
     none, no = F.lit(None).cast("string"), F.lit(False)
     rows = [
-        (missing, "L020", F.lit("column"), c("text"), none, no),
-        (ambiguous, "L020", F.lit("ambiguous"), c("text"), F.array_join("tables", ", "), c("owners") < 2),
-        (filtered & mismatch, "L021", family, c("text"), none, no),
-        (filtered & unindexed, "L022", F.lit(""), F.lower("column_name"), c("column.cat_table"), no),
-    ]
+        ((c("thing") == "table") & ~c("known"), "L020", F.lit("table"), c("reached"), c("text"), none,
+         c("is_cte")),
+        (column & c("qualifier").isNotNull() & (c("n_own") == 0), "L020", F.lit("alias"),
+         c("linted_expr"), c("qualifier"), none, c("from_outer")),
+        (real & c("any_known") & (c("owners") == 0), "L020", F.lit("column"), visible, c("text"), none, no),
+        (bare & (c("owner_names") > 1), "L020", F.lit("ambiguous"), visible, c("text"),
+         F.array_join("tables", ", "), c("owners") < 2),
+        (filtered & mismatch, "L021", family, visible, c("text"), none, no),
+        (filtered & unindexed, "L022", F.lit(""), visible, F.lower("column_name"), c("column.cat_table"), no),
+    ]
     hits = [
         F.when(
             cond,
@@ -218,7 +190,7 @@ def column_findings(resolved: DataFrame) -> DataFrame:
                 p1.alias("p1"), p2.alias("p2"), quirk.alias("quirk"),
             ),
         )
-        for cond, rule, variant, p1, p2, quirk in rows
+        for cond, rule, variant, visible, p1, p2, quirk in rows
     ]
     return (
         resolved.select("text_id", "stmt", "pos", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
@@ -229,13 +201,7 @@ def column_findings(resolved: DataFrame) -> DataFrame:
 
 def catalog_findings(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
     """All findings of the catalog rules; an empty catalog gives none."""
-    things = named_things(tokens)
-    # with an empty catalog nothing is known and nothing may be reported
     filled = catalog.select(F.lit(True).alias("filled")).limit(1)
-    refs = candidate_sources(things, catalog)
-    found = (
-        unknown_tables(things, catalog)
-        .unionByName(unknown_aliases(refs))
-        .unionByName(column_findings(resolved_columns(refs, catalog)))
-    )
+    refs = candidate_sources(named_things(tokens), catalog)
+    found = name_findings(resolved_names(refs, catalog))
     return found.join(F.broadcast(filled), F.lit(True), "left_semi")  # one row

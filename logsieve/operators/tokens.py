@@ -18,10 +18,21 @@ LINTED_CLAUSES = ["SELECT", "WHERE", "GROUP", "HAVING"]
 FILTER_CLAUSES = ["WHERE", "GROUP", "HAVING"]
 VISIBLE_SCOPES = ["set_arm", "in_subquery", "scalar"]
 
-_TEXT = W.partitionBy("text_id").orderBy("pos")
-_LEVEL = W.partitionBy("text_id", "lvl").orderBy("pos")
-_QUERY = W.partitionBy("text_id", "qd").orderBy("pos")
-_CALL = W.partitionBy("text_id", "fd").orderBy("pos")
+
+def _text():
+    return W.partitionBy("text_id").orderBy("pos")
+
+
+def _level():
+    return W.partitionBy("text_id", "lvl").orderBy("pos")
+
+
+def _query():
+    return W.partitionBy("text_id", "qd").orderBy("pos")
+
+
+def _call():
+    return W.partitionBy("text_id", "fd").orderBy("pos")
 
 
 def _upto(w):
@@ -255,7 +266,7 @@ def _neighbour_facts(near: DataFrame) -> DataFrame:
         F.coalesce(F.when(left_free("p3"), literal("p2")), F.lit("other")),
     )
     glued = p1.isNull() | (p1.isin("(", "::")) | u.isin(",", ")", ";", "::") | (
-        (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.OPAQUE_CALLS[:12])))
+        (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.OPAQUE_CALLS[:11])))
     )
     is_open, is_close = F.col("tok") == "(", F.col("tok") == ")"
     return (
@@ -291,12 +302,12 @@ def screen(tokens: DataFrame) -> DataFrame:
     here = F.struct("u", "kind", "tok")
     near = tokens.select(
         "*",
-        *[F.lag(here, i).over(_TEXT).alias(f"p{i}") for i in (1, 2, 3)],
-        *[F.lead(here, i).over(_TEXT).alias(f"n{i}") for i in (1, 2, 3, 4)],
+        *[F.lag(here, i).over(_text()).alias(f"p{i}") for i in (1, 2, 3)],
+        *[F.lead(here, i).over(_text()).alias(f"n{i}") for i in (1, 2, 3, 4)],
         F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0))
-        .over(_upto(_TEXT))
+        .over(_upto(_text()))
         .alias("cum"),
-        F.coalesce(F.sum(_int(F.col("tok") == ";")).over(_before(_TEXT)), F.lit(0)).alias("stmt"),
+        F.coalesce(F.sum(_int(F.col("tok") == ";")).over(_before(_text())), F.lit(0)).alias("stmt"),
     ).withColumn(
         "first",
         (F.col("tok") != ";")
@@ -320,9 +331,9 @@ def screen(tokens: DataFrame) -> DataFrame:
             "error": F.min(
                 F.when(F.col("problem").isNotNull(), F.struct("pos", F.col("problem").alias("code")))
             )
-            .over(_whole(_TEXT))
+            .over(_whole(_text()))
             .getField("code"),
-            "verb": _last(F.when(F.col("first"), F.col("u")), _upto(_TEXT)),
+            "verb": _last(F.when(F.col("first"), F.col("u")), _upto(_text())),
         }
     ).filter(F.col("error").isNull() | (F.col("pos") == 0))
     failed = F.col("error").isNotNull()
@@ -356,7 +367,7 @@ def match_parentheses(tokens: DataFrame) -> DataFrame:
                     is_open,
                     _near("CASE WHEN tok = ')' THEN struct(pos, alias) END", "lead", "lvl"),
                 ),
-                "opk": F.when(is_close, _last(F.col("pk"), _upto(_LEVEL))),
+                "opk": F.when(is_close, _last(F.col("pk"), _upto(_level()))),
             }
         )
         .withColumns(
@@ -373,15 +384,15 @@ def match_parentheses(tokens: DataFrame) -> DataFrame:
     opens_case, ends_case = F.col("u") == "CASE", (F.col("u") == "END") & ~F.col("first")
     return matched.withColumns(
         {
-            "qd": F.sum(step(q_open, q_shut)).over(_upto(_TEXT)) - _int(q_open),
-            "fd": F.sum(step(f_open, f_shut)).over(_upto(_TEXT)) + _int(f_shut),
+            "qd": F.sum(step(q_open, q_shut)).over(_upto(_text())) - _int(q_open),
+            "fd": F.sum(step(f_open, f_shut)).over(_upto(_text())) + _int(f_shut),
             "in_opaque": _flag(
-                F.max(F.when(F.col("pk") == "opaque", F.col("close"))).over(_before(_TEXT))
+                F.max(F.when(F.col("pk") == "opaque", F.col("close"))).over(_before(_text()))
                 > F.col("pos")
             ),
-            "in_case": F.sum(step(opens_case, ends_case)).over(_upto(_TEXT)) > 0,
-            "next_close": F.lead(F.when(F.col("pk") == "plain", F.col("close")), 1).over(_TEXT),
-            "prev_close": F.lag(F.when(F.col("pk") == "query", F.col("close")), 1).over(_TEXT),
+            "in_case": F.sum(step(opens_case, ends_case)).over(_upto(_text())) > 0,
+            "next_close": F.lead(F.when(F.col("pk") == "plain", F.col("close")), 1).over(_text()),
+            "prev_close": F.lag(F.when(F.col("pk") == "query", F.col("close")), 1).over(_text()),
         }
     )
 
@@ -402,7 +413,7 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
                         (F.col("head") != "nested").alias("query_level"),
                     ),
                 ),
-                _upto(_QUERY),
+                _upto(_query()),
             ),
         )
         .withColumns(
@@ -433,10 +444,10 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
         {
             "m": _last(
                 F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("label"), "pos")),
-                _upto(_QUERY),
+                _upto(_query()),
             ),
-            "comma_at": _last(at(is_comma), _upto(_QUERY)),
-            "comma_before": _last(at(is_comma), _before(_QUERY)),
+            "comma_at": _last(at(is_comma), _upto(_query())),
+            "comma_before": _last(at(is_comma), _before(_query())),
             "block": _last(
                 F.when(
                     F.col("head").isNotNull() | (F.col("marker") == "SELECT"),
@@ -445,27 +456,27 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
                         (F.col("distinct_next") & (F.col("marker") == "SELECT")).alias("dist"),
                     ),
                 ),
-                _upto(_QUERY),
+                _upto(_query()),
             ),
-            "from_at": _last(at(base & (word == "FROM")), _upto(_QUERY)),
-            "where_at": _last(at(F.col("marker") == "WHERE"), _upto(_QUERY)),
-            "group_at": _last(at(F.col("marker") == "GROUP"), _upto(_QUERY)),
-            "order_at": _last(at(F.col("marker") == "ORDER"), _upto(_QUERY)),
-            "limit_at": _last(at(F.col("marker") == "LIMIT"), _upto(_QUERY)),
-            "setop_at": _last(at(setop), _upto(_QUERY)),
-            "nset": F.sum(_int(setop)).over(_upto(_QUERY)),
-            "star_before": _last(at(base & (F.col("hint") == "star")), _before(_QUERY)),
-            "ordinal_before": _last(at(base & (F.col("hint") == "ordinal")), _before(_QUERY)),
+            "from_at": _last(at(base & (word == "FROM")), _upto(_query())),
+            "where_at": _last(at(F.col("marker") == "WHERE"), _upto(_query())),
+            "group_at": _last(at(F.col("marker") == "GROUP"), _upto(_query())),
+            "order_at": _last(at(F.col("marker") == "ORDER"), _upto(_query())),
+            "limit_at": _last(at(F.col("marker") == "LIMIT"), _upto(_query())),
+            "setop_at": _last(at(setop), _upto(_query())),
+            "nset": F.sum(_int(setop)).over(_upto(_query())),
+            "star_before": _last(at(base & (F.col("hint") == "star")), _before(_query())),
+            "ordinal_before": _last(at(base & (F.col("hint") == "ordinal")), _before(_query())),
             "free_join": _last(
                 F.when(base & F.col("hint").isin("join", "free_join"), F.col("hint") == "free_join"),
-                _upto(_QUERY),
+                _upto(_query()),
             ),
             "after_join": _near(
                 "CASE WHEN base AND (marker IS NOT NULL OR tok = ',') THEN u END", "lead", "qd"
             ),
-            "ids": sum0(countable, _before(_QUERY)),
-            "ids_plain": sum0(countable & ~F.col("in_case"), _before(_QUERY)),
-            "ids_total": F.sum(_int(countable)).over(_whole(_QUERY)),
+            "ids": sum0(countable, _before(_query())),
+            "ids_plain": sum0(countable & ~F.col("in_case"), _before(_query())),
+            "ids_total": F.sum(_int(countable)).over(_whole(_query())),
         }
     )
     moved_on = (F.col("m.label") == "ON") & _flag(F.col("comma_at") > F.col("m.pos"))
@@ -484,7 +495,7 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
         .withColumn(
             "arm",
             F.col("nset")
-            - _last(F.when(F.col("head").isNotNull(), F.col("nset")), _upto(_QUERY)),
+            - _last(F.when(F.col("head").isNotNull(), F.col("nset")), _upto(_query())),
         )
         .drop("nset")
     )
@@ -500,20 +511,20 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
     part = (
         _flag(role == "part") | _flag(F.col("pk") != "plain") | _flag(F.col("opk") != "plain")
     )
-    sum0 = lambda c: F.coalesce(F.sum(_int(c)).over(_before(_CALL)), F.lit(0))
+    sum0 = lambda c: F.coalesce(F.sum(_int(c)).over(_before(_call())), F.lit(0))
     predicate = role.isin("opaque", "between")
     counted = tokens.withColumn("part", part).withColumns(
         {
             "between_open": _flag(
                 _last(
                     F.when(F.col("part") | role.isin("and", "between"), role == "between"),
-                    _before(_CALL),
+                    _before(_call()),
                 )
             ),
             "maths": sum0(role == "math"),
-            "maths_total": F.sum(_int(role == "math")).over(_whole(_CALL)),
+            "maths_total": F.sum(_int(role == "math")).over(_whole(_call())),
             "opaques": sum0(predicate),
-            "opaques_total": F.sum(_int(predicate)).over(_whole(_CALL)),
+            "opaques_total": F.sum(_int(predicate)).over(_whole(_call())),
         }
     )
     edge = F.col("part") | (_flag(role == "and") & ~F.col("between_open"))
@@ -522,7 +533,7 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
         {
             "lo": _near(edge_counts, "lag", "fd"),
             "hi": _near(edge_counts, "lead", "fd"),
-            "seg_lo": _last(F.when(F.col("edge"), F.col("opaques")), _upto(_CALL)),
+            "seg_lo": _last(F.when(F.col("edge"), F.col("opaques")), _upto(_call())),
             "seg_hi": _near("CASE WHEN edge THEN opaques END", "lead", "fd"),
             "args": _near(
                 "CASE WHEN opk IS NOT NULL AND opk <> 'plain' THEN struct(ids, ids_plain) END",
@@ -575,7 +586,7 @@ def mark_visibility(tokens: DataFrame) -> DataFrame:
     """
     # a parenthesis that opens a call is keyed inside it; its segment is the one just before
     outer_segment = F.when(
-        _flag(F.col("pk") != "plain"), F.coalesce(F.lag("seg_opaque", 1).over(_TEXT), F.lit(False))
+        _flag(F.col("pk") != "plain"), F.coalesce(F.lag("seg_opaque", 1).over(_text()), F.lit(False))
     ).otherwise(F.col("seg_opaque"))
     tokens = tokens.withColumn("seg_opaque", outer_segment)
     query = F.col("pk") == "query"
@@ -591,7 +602,7 @@ def mark_visibility(tokens: DataFrame) -> DataFrame:
     )
     uncounted_query = ~seen_query & (F.col("scope_kind") != "derived")
     is_query = _flag(F.col("verb").isin("SELECT", "WITH", "("))
-    inside = lambda c: _flag(F.max(c).over(_before(_TEXT)) > F.col("pos"))
+    inside = lambda c: _flag(F.max(c).over(_before(_text())) > F.col("pos"))
     headed = F.col("head").isNotNull()
     return (
         tokens.withColumn("scope_kind", scope_kind())
@@ -599,10 +610,10 @@ def mark_visibility(tokens: DataFrame) -> DataFrame:
             {
                 "reached": is_query & ~inside(closes(~seen_query)),
                 "counted": is_query & ~inside(closes(uncounted_query)),
-                "parent_sel": F.when(headed, F.lag("sel", 1).over(_TEXT)),
+                "parent_sel": F.when(headed, F.lag("sel", 1).over(_text())),
                 "own_kind": F.when(
                     headed,
-                    F.when(F.col("first"), "top").otherwise(F.lag("scope_kind", 1).over(_TEXT)),
+                    F.when(F.col("first"), "top").otherwise(F.lag("scope_kind", 1).over(_text())),
                 ),
             }
         )

@@ -72,7 +72,7 @@ TEMPLATES = [
     "INSERT INTO orders (o_orderkey, o_orderstatus) VALUES ({e}, 'it''s; (new')",
     "UPDATE part SET p_name = NULL WHERE p_partkey = {e}; SELECT COUNT(*) FROM part WHERE p_partkey = {e}",
     "(SELECT c_custkey FROM customer WHERE c_custkey = {u} LIMIT 3) UNION ALL (SELECT o_custkey FROM orders ORDER BY 1)",
-    "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey FROM big WHERE total > {e}) SELECT c.c_name FROM customer c JOIN top t ON t.o_custkey = c.c_custkey WHERE CASE WHEN c.c_acctbal + 1 > 0 THEN 1 ELSE 0 END = 1 LIMIT 20",
+    "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), best AS (SELECT o_custkey FROM big WHERE total > {e}) SELECT c.c_name FROM customer c JOIN best t ON t.o_custkey = c.c_custkey WHERE CASE WHEN c.c_acctbal + 1 > 0 THEN 1 ELSE 0 END = 1 LIMIT 20",
     "SELECT s.s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_orderkey = {e}) OR COALESCE((SELECT MAX(l_tax) FROM lineitem), 0) > s.s_acctbal * 2 LIMIT 5",
     "SELECT p_partkey FROM part WHERE UPPER(p_name) LIKE '%{e}' OR CAST(p_size AS VARCHAR) = '7' OR (p_size * 2) = {e} LIMIT 5",
     "SELECT l_orderkey, COUNT(*) FROM lineitem JOIN orders o USING (o_orderkey), nation WHERE l_quantity IN ({u}, {e}) AND l_shipdate > DATE '1996-01-01' - INTERVAL '3' DAY GROUP BY l_orderkey LIMIT 7",
@@ -92,3 +92,37 @@ def sample_log(events: DataFrame, templates: list[str] = TEMPLATES) -> DataFrame
         F.lit("generic").alias("dialect"),
         F.replace(sql, F.lit("{e}"), F.col("event_id").cast("string")).alias("sql"),
     )
+
+
+# DDL templates; event_id modulo their number picks one.
+DDL_TEMPLATES = [
+    "CREATE TABLE users (id INT);",
+    "CREATE TABLE users (id INT, name VARCHAR(50));",
+    "CREATE TABLE users (id INT, name VARCHAR(50)); CREATE TABLE orders (id INT, user_id INT);",
+    "CREATE TABLE users (id INT PRIMARY KEY, name VARCHAR(50));",
+    "CREATE TABLE t_{u} (a BIGINT, b TEXT, c DECIMAL(10, 2), PRIMARY KEY (a, b)); CREATE INDEX i ON t_{u} (c)",
+    "CREATE TABLE IF NOT EXISTS Shop.Item_{e} (Id BIGINT NOT NULL UNIQUE, Made DATE DEFAULT CURRENT_DATE, CONSTRAINT u UNIQUE (made), FOREIGN KEY (id) REFERENCES x (id))",
+    "CREATE INDEX early ON log_{e} (b); CREATE TABLE log_{e} (a INT, b INT); CREATE UNIQUE INDEX late ON log_{e} (a, lower(b))",
+    "CREATE TABLE twice_{e} (a INT PRIMARY KEY, b INT); CREATE TABLE twice_{e} (b DOUBLE, c TIMESTAMP)",
+    "CREATE TABLE broken_{e} (a INT",
+    "DROP TABLE users; CREATE VIEW v AS SELECT 1; CREATE TABLE n_{u} (name STRING, size FLOAT)",
+]
+
+# Spellings of dialect names found in logs; some unknown.
+DIALECT_SPELLINGS = [
+    "PostgreSQL", "mysql", "MSSQL", "BigQuery", "sqlite", "ANSI", "generic", "oracle", "Snowflake",
+]
+
+
+def sample_ddl(events: DataFrame) -> DataFrame:
+    """``ddl(ddl_id, dialect, sql)`` from ``events``, one DDL text per event."""
+    return sample_log(events, DDL_TEMPLATES).select(
+        F.col("query_id").alias("ddl_id"), "dialect", "sql"
+    )
+
+
+def spread_dialects(log: DataFrame) -> DataFrame:
+    """The log with dialect names as users spell them."""
+    names = F.array(*[F.lit(d) for d in DIALECT_SPELLINGS])
+    pick = (F.col("query_id") % len(DIALECT_SPELLINGS)).cast("int") + 1
+    return log.withColumn("dialect", F.element_at(names, pick))
