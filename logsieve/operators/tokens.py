@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import words
 from logsieve.functions.lexing import token_array, token_kind, unshield
+from logsieve.functions.memo import per_session
 
 LINTED_CLAUSES = ["SELECT", "WHERE", "GROUP", "HAVING"]
 FILTER_CLAUSES = ["WHERE", "GROUP", "HAVING"]
@@ -64,6 +65,7 @@ def _int(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
+@per_session
 def operand_end(t: str) -> Column:
     """The token can close an operand, so what follows is an operator or an alias."""
     u, kind = F.col(f"{t}.u"), F.col(f"{t}.kind")
@@ -75,16 +77,19 @@ def operand_end(t: str) -> Column:
     )
 
 
+@per_session
 def left_free(t: str) -> Column:
     """Nothing before the operand binds it into a longer expression."""
     return ~_flag(F.col(f"{t}.u").isin(words.BINDING_BEFORE))
 
 
+@per_session
 def right_free(t: str) -> Column:
     stops = words.BINDING_AFTER + words.OPAQUE_PREDICATES
     return ~_flag(F.col(f"{t}.u").isin(stops))
 
 
+@per_session
 def ends_condition(t: str) -> Column:
     """The token after a complete join condition."""
     return F.col(f"{t}.u").isNull() | F.col(f"{t}.u").isin(words.AFTER_CONDITION)
@@ -121,6 +126,7 @@ def explode_tokens(texts: DataFrame) -> DataFrame:
     )
 
 
+@per_session
 def _roles() -> Column:
     """What part the token plays in an expression, from its neighbours alone."""
     u, p1, p2, n1 = F.col("u"), F.col("p1.u"), F.col("p2.u"), F.col("n1.u")
@@ -150,6 +156,7 @@ def _roles() -> Column:
     )
 
 
+@per_session
 def _words() -> Column:
     """Clause label the token would start, if it turns out to stand at the level of its query."""
     u, p1, n1 = F.col("u"), F.col("p1.u"), F.col("n1.u")
@@ -170,6 +177,7 @@ def _words() -> Column:
     return F.when(u == ";", "END").when((F.col("kind") == "path") | (u == "("), label)
 
 
+@per_session
 def _hints() -> Column:
     """Finding the token would cause, as far as its neighbours can tell."""
     u, p1, p2, n1, n2 = (F.col(c) for c in ("u", "p1.u", "p2.u", "n1.u", "n2.u"))
@@ -214,7 +222,8 @@ def _hints() -> Column:
     )
 
 
-def _neighbour_facts(near: DataFrame) -> DataFrame:
+@per_session
+def _fact_columns() -> tuple[dict, dict]:
     """Everything the neighbouring tokens say, so the neighbours need not be carried along."""
     u, p1, p2, n1 = F.col("u"), F.col("p1.u"), F.col("p2.u"), F.col("n1.u")
     p1_path = F.col("p1.kind") == "path"
@@ -269,29 +278,23 @@ def _neighbour_facts(near: DataFrame) -> DataFrame:
         (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.OPAQUE_CALLS[:11])))
     )
     is_open, is_close = F.col("tok") == "(", F.col("tok") == ")"
-    return (
-        near.withColumns({"head": head, "role": _roles()})
-        .withColumns(
-            {
-                "word": _words(),
-                "hint": _hints(),
-                "pk": F.when(is_open, paren),
-                "use": F.when(is_open, use),
-                "src": F.when(is_open, derived).otherwise(source),
-                "alias": F.when(is_close | source.isNotNull(), alias),
-                "called": source.isNotNull() & _flag(n1 == "("),
-                "against": F.when(F.col("role") == "ident", against),
-                "stop": F.when(n1.isNull() | (n1 == ";"), "end").when(n1 == ")", "close"),
-                "distinct_next": _flag(n1 == "DISTINCT"),
-                "cte_name": F.when(is_open & (p1 == "AS"), F.col("p2.tok")),
-                "in_next": is_open & _flag(p1 == "IN"),
-                "glued": glued,
-                "prev_u": p1,
-                "next_u": n1,
-            }
-        )
-        .drop("p1", "p2", "p3", "n1", "n2", "n3", "n4")
-    )
+    return {"head": head, "role": _roles()}, {
+        "word": _words(),
+        "hint": _hints(),
+        "pk": F.when(is_open, paren),
+        "use": F.when(is_open, use),
+        "src": F.when(is_open, derived).otherwise(source),
+        "alias": F.when(is_close | source.isNotNull(), alias),
+        "called": source.isNotNull() & _flag(n1 == "("),
+        "against": F.when(F.col("role") == "ident", against),
+        "stop": F.when(n1.isNull() | (n1 == ";"), "end").when(n1 == ")", "close"),
+        "distinct_next": _flag(n1 == "DISTINCT"),
+        "cte_name": F.when(is_open & (p1 == "AS"), F.col("p2.tok")),
+        "in_next": is_open & _flag(p1 == "IN"),
+        "glued": glued,
+        "prev_u": p1,
+        "next_u": n1,
+    }
 
 
 def screen(tokens: DataFrame) -> DataFrame:
@@ -325,7 +328,13 @@ def screen(tokens: DataFrame) -> DataFrame:
             "incomplete statement",
         )
     )
-    facts = _neighbour_facts(near.withColumn("problem", problem))
+    own, derived = _fact_columns()
+    facts = (
+        near.withColumn("problem", problem)
+        .withColumns(own)
+        .withColumns(derived)
+        .drop("p1", "p2", "p3", "n1", "n2", "n3", "n4")
+    )
     checked = facts.withColumns(
         {
             "error": F.min(
@@ -397,37 +406,24 @@ def match_parentheses(tokens: DataFrame) -> DataFrame:
     )
 
 
-def label_clauses(tokens: DataFrame) -> DataFrame:
-    """Query scope, SELECT block, set-operation arm and clause of each token."""
-    scoped = (
-        tokens.withColumn(
-            "h",
-            _last(
-                F.when(
-                    F.col("head").isNotNull(),
-                    F.struct(
-                        F.col("pos").alias("scope"),
-                        F.col("depth").alias("bd"),
-                        F.col("fd").alias("bfd"),
-                        F.col("prev_close").alias("scope_end"),
-                        (F.col("head") != "nested").alias("query_level"),
-                    ),
-                ),
-                _upto(_query()),
-            ),
-        )
-        .withColumns(
-            {
-                "scope": F.col("h.scope"),
-                "scope_end": F.col("h.scope_end"),
-                "bd": F.col("h.bd"),
-                "query_level": _flag(F.col("h.query_level")),
-                "base": _flag(F.col("depth") == F.col("h.bd")),
-                "same_call": _flag(F.col("fd") == F.col("h.bfd")),
-            }
-        )
-        .drop("h")
-    )
+@per_session
+def _clause_columns() -> list[dict]:
+    """The columns of ``label_clauses``, layer by layer."""
+    head = F.struct(
+        F.col("pos").alias("scope"),
+        F.col("depth").alias("bd"),
+        F.col("fd").alias("bfd"),
+        F.col("prev_close").alias("scope_end"),
+        (F.col("head") != "nested").alias("query_level"),
+    )
+    place = {
+        "scope": F.col("h.scope"),
+        "scope_end": F.col("h.scope_end"),
+        "bd": F.col("h.bd"),
+        "query_level": _flag(F.col("h.query_level")),
+        "base": _flag(F.col("depth") == F.col("h.bd")),
+        "same_call": _flag(F.col("fd") == F.col("h.bfd")),
+    }
     word, base = F.col("word"), F.col("base")
     stands = (
         F.when(word.isin("ON", "JOIN"), F.col("same_call"))
@@ -439,66 +435,58 @@ def label_clauses(tokens: DataFrame) -> DataFrame:
     is_comma = base & (F.col("tok") == ",")
     setop = base & (word == "SETOP") & (F.col("kind") == "path")
     countable = (F.col("role") == "ident") & ~F.col("in_opaque")
-    sum0 = lambda c, w: F.coalesce(F.sum(_int(c)).over(w), F.lit(0))
-    marked = scoped.withColumn("marker", F.when(stands, label)).withColumns(
-        {
-            "m": _last(
-                F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("label"), "pos")),
-                _upto(_query()),
-            ),
-            "comma_at": _last(at(is_comma), _upto(_query())),
-            "comma_before": _last(at(is_comma), _before(_query())),
-            "block": _last(
-                F.when(
-                    F.col("head").isNotNull() | (F.col("marker") == "SELECT"),
-                    F.struct(
-                        at(F.col("marker") == "SELECT").alias("sel"),
-                        (F.col("distinct_next") & (F.col("marker") == "SELECT")).alias("dist"),
-                    ),
-                ),
-                _upto(_query()),
-            ),
-            "from_at": _last(at(base & (word == "FROM")), _upto(_query())),
-            "where_at": _last(at(F.col("marker") == "WHERE"), _upto(_query())),
-            "group_at": _last(at(F.col("marker") == "GROUP"), _upto(_query())),
-            "order_at": _last(at(F.col("marker") == "ORDER"), _upto(_query())),
-            "limit_at": _last(at(F.col("marker") == "LIMIT"), _upto(_query())),
-            "setop_at": _last(at(setop), _upto(_query())),
-            "nset": F.sum(_int(setop)).over(_upto(_query())),
-            "star_before": _last(at(base & (F.col("hint") == "star")), _before(_query())),
-            "ordinal_before": _last(at(base & (F.col("hint") == "ordinal")), _before(_query())),
-            "free_join": _last(
-                F.when(base & F.col("hint").isin("join", "free_join"), F.col("hint") == "free_join"),
-                _upto(_query()),
-            ),
-            "after_join": _near(
-                "CASE WHEN base AND (marker IS NOT NULL OR tok = ',') THEN u END", "lead", "qd"
-            ),
-            "ids": sum0(countable, _before(_query())),
-            "ids_plain": sum0(countable & ~F.col("in_case"), _before(_query())),
-            "ids_total": F.sum(_int(countable)).over(_whole(_query())),
-        }
-    )
+    upto, before, whole = _upto(_query()), _before(_query()), _whole(_query())
+    sum0 = lambda c: F.coalesce(F.sum(_int(c)).over(before), F.lit(0))
+    mark = F.struct(F.col("marker").alias("label"), "pos")
+    block = F.struct(
+        at(F.col("marker") == "SELECT").alias("sel"),
+        (F.col("distinct_next") & (F.col("marker") == "SELECT")).alias("dist"),
+    )
+    marks = {
+        "m": _last(F.when(F.col("marker").isNotNull(), mark), upto),
+        "comma_at": _last(at(is_comma), upto),
+        "comma_before": _last(at(is_comma), before),
+        "block": _last(
+            F.when(F.col("head").isNotNull() | (F.col("marker") == "SELECT"), block), upto
+        ),
+        "from_at": _last(at(base & (word == "FROM")), upto),
+        "where_at": _last(at(F.col("marker") == "WHERE"), upto),
+        "group_at": _last(at(F.col("marker") == "GROUP"), upto),
+        "order_at": _last(at(F.col("marker") == "ORDER"), upto),
+        "limit_at": _last(at(F.col("marker") == "LIMIT"), upto),
+        "setop_at": _last(at(setop), upto),
+        "nset": F.sum(_int(setop)).over(upto),
+        "star_before": _last(at(base & (F.col("hint") == "star")), before),
+        "ordinal_before": _last(at(base & (F.col("hint") == "ordinal")), before),
+        "free_join": _last(
+            F.when(base & F.col("hint").isin("join", "free_join"), F.col("hint") == "free_join"), upto
+        ),
+        "after_join": _near(
+            "CASE WHEN base AND (marker IS NOT NULL OR tok = ',') THEN u END", "lead", "qd"
+        ),
+        "ids": sum0(countable),
+        "ids_plain": sum0(countable & ~F.col("in_case")),
+        "ids_total": F.sum(_int(countable)).over(whole),
+    }
     moved_on = (F.col("m.label") == "ON") & _flag(F.col("comma_at") > F.col("m.pos"))
-    return (
-        marked.withColumns(
-            {
-                "clause": F.when(moved_on, "FROM").otherwise(F.col("m.label")),
-                "sel": F.col("block.sel"),
-                "has_distinct": _flag(F.col("block.dist")),
-                "comma_join": is_comma
-                & F.col("block.sel").isNotNull()
-                & _flag(F.col("m.label").isin("FROM", "ON")),
-            }
-        )
-        .drop("m", "block")
-        .withColumn(
-            "arm",
-            F.col("nset")
-            - _last(F.when(F.col("head").isNotNull(), F.col("nset")), _upto(_query())),
-        )
-        .drop("nset")
-    )
+    labels = {
+        "clause": F.when(moved_on, "FROM").otherwise(F.col("m.label")),
+        "sel": F.col("block.sel"),
+        "has_distinct": _flag(F.col("block.dist")),
+        "comma_join": is_comma
+        & F.col("block.sel").isNotNull()
+        & _flag(F.col("m.label").isin("FROM", "ON")),
+        "arm": F.col("nset") - _last(F.when(F.col("head").isNotNull(), F.col("nset")), upto),
+    }
+    headed = {"h": _last(F.when(F.col("head").isNotNull(), head), upto)}
+    return [headed, place, {"marker": F.when(stands, label)}, marks, labels]
+
+
+def label_clauses(tokens: DataFrame) -> DataFrame:
+    """Query scope, SELECT block, set-operation arm and clause of each token."""
+    for layer in _clause_columns():
+        tokens = tokens.withColumns(layer)
+    return tokens.drop("h", "m", "block", "nset")
 
 
 def cut_operands(tokens: DataFrame) -> DataFrame:
@@ -563,6 +551,7 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
            "lo", "hi", "seg_lo", "seg_hi", "args", "ids", "ids_plain", "ids_total")
 
 
+@per_session
 def scope_kind() -> Column:
     """What a query in parentheses is used as, from the words before it and its clause."""
     use, clause = F.col("use"), F.col("clause")

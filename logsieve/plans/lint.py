@@ -36,6 +36,9 @@ def prepare(log: DataFrame) -> Workload:
     # generated methods longer than 8000 bytes are never compiled by the JVM; splitting them is
     # several times faster on the wide token rows
     log.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # a union that claims its children's partitioning cannot be read by adaptive execution when
+    # it coalesces one of them ("can't zip RDDs with unequal numbers of partitions")
+    log.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     cleaned = clean_log(log)
     texts = distinct_texts(cleaned)
     return Workload(with_text_key(cleaned), texts, annotate(texts))
