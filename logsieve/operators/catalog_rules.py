@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,12 @@ from logsieve.operators.tokens import FILTER_CLAUSES
 _FINDING = ["text_id", "stmt", "rule_id", "variant", "pos", "visible", "p1", "p2", "quirk"]
 
 
+def _spread(name: Column) -> Column:
+    """Join key that never meets in one task for the many rows without a table name."""
+    nowhere = F.concat(F.lit("?"), F.pmod("text_id", F.lit(4096)).cast("string"))
+    return F.coalesce(name, nowhere)
+
+
 def named_things(tokens: DataFrame) -> DataFrame:
     """The tokens the catalog rules look at: table sources, column references, CTE names."""
     derived = F.coalesce(F.col("scope_kind") == "derived", F.lit(False)) & F.col("sel").isNotNull()
@@ -63,8 +69,10 @@ def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
     tables = catalog.groupBy("table_name").agg(F.max("is_indexed").alias("has_index"))
     thing = F.col("thing")
     is_source = thing.isin("table", "derived")
-    with_known = things.join(tables, "table_name", "left").withColumn(
-        "known", F.col("has_index").isNotNull()
+    with_known = (
+        things.withColumn("table_key", _spread(F.col("table_name")))
+        .join(tables.withColumnRenamed("table_name", "table_key"), "table_key", "left")
+        .withColumn("known", F.col("has_index").isNotNull())
     )
     source = F.struct(
         "pos", "scope", "scope_end", "table_name", "alias", "known",
@@ -128,9 +136,9 @@ def resolved_names(refs: DataFrame, catalog: DataFrame) -> DataFrame:
         "type_family",
         "is_indexed",
     )
-    joined = pairs.join(
+    joined = pairs.withColumn("table_key", _spread(F.col("source.table_name"))).join(
         columns,
-        (F.col("source.table_name") == F.col("cat_table")) & (F.col("lookup") == F.col("cat_column")),
+        (F.col("table_key") == F.col("cat_table")) & (F.col("lookup") == F.col("cat_column")),
         "left",
     )
     has = F.col("cat_table").isNotNull()

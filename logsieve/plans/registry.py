@@ -223,3 +223,89 @@ def lint_queries() -> dict[str, Query]:
         }
     )
     return out
+
+
+def _holes(df: DataFrame, key: str, every: int, column: str) -> DataFrame:
+    """The table with NULL in ``column`` on every n-th key; the test tables have no NULLs."""
+    return df.withColumn(column, F.when(F.col(key) % every != 0, F.col(column)))
+
+
+def impact_queries() -> dict[str, Query]:
+    from logsieve.operators import impact as im
+
+    def on(name, run):
+        return lambda spark, d: run(table(spark, d, name))
+
+    def on_two(a, b, run):
+        return lambda spark, d: run(table(spark, d, a), table(spark, d, b))
+
+    holed = lambda t: _holes(t, "o_orderkey", 10, "o_custkey")
+    suffix = lambda c: c.withColumn("column_name", F.substring_index("column_name", "_", -1))
+
+    def schema_check(spark, d):
+        cat = tables_catalog(spark, d)
+        pick = lambda t: suffix(cat.filter(F.col("table_name") == t))
+        return im.schema_diff(pick("orders"), pick("lineitem"))
+
+    return {
+        "impact_column_bytes": on_two("orders", "lineitem", lambda o, li: im.column_bytes(o, "orders")
+            .unionByName(im.column_bytes(li, "lineitem"))),
+        "impact_or_split": on("orders", lambda o: im.or_split(
+            holed(o), F.col("o_orderstatus") == "F", F.col("o_custkey") < 500)),
+        "impact_like_forms": on("part", lambda p: im.like_forms(p, "p_name", "ring", "p_brand")),
+        "impact_distinct": on("lineitem", lambda li: im.distinct_gain(li, ["l_orderkey", "l_linenumber"])
+            .unionByName(im.distinct_gain(li, ["l_orderkey"]))
+            .unionByName(im.distinct_gain(li, ["l_returnflag", "l_linestatus"]))),
+        "impact_not_in": on_two("customer", "orders", lambda c, o: im.not_in_check(
+            _holes(c, "c_custkey", 10, "c_custkey"), holed(o), "c_custkey", "o_custkey")),
+        "impact_not_in_rows": on_two("customer", "orders", lambda c, o: im.not_in(
+            _holes(c.withColumn("id", F.col("c_custkey")), "id", 10, "c_custkey"),
+            o.filter("o_orderstatus = 'P'"), "c_custkey", "o_custkey").select("id")),
+        "impact_scalar_subquery": on_two("orders", "lineitem", lambda o, li: im.scalar_as_join(
+            o.select("o_orderkey", "o_custkey"), li, "o_orderkey", "l_orderkey",
+            F.max("l_extendedprice").alias("max_price"), F.max("l_shipdate").alias("last_ship"))),
+        "impact_union": on_two("customer", "supplier", lambda c, s: im.union_dedup(
+            c.select("c_nationkey"), s.select("s_nationkey"))),
+        "impact_sargable_year": on("orders", lambda o: im._count(
+            o.filter(F.year("o_orderdate") == 1996), "function").unionByName(
+            im._count(o.filter(im.year_range("o_orderdate", 1996)), "range"))),
+        "impact_sargable_math": on("part", lambda p: im._count(
+            p.filter(F.col("p_size") + 10 > 20), "column").unionByName(
+            im._count(p.filter(F.col("p_size") > 10), "literal"))),
+        "impact_having": on("orders", lambda o: im.global_having(
+            o, F.col("n") > 5, F.max("o_totalprice").alias("top"), F.count(F.lit(1)).alias("n"))),
+        "impact_self_comparison": on("orders", lambda o: im.self_comparison(holed(o), "o_custkey")),
+        "impact_join_fanout": on_two("events", "orders", lambda e, o: im.join_fanout(
+            e, o, "user_id", "o_custkey").orderBy(F.col("pairs").desc(), "key").limit(10)),
+        "impact_join_totals": on_two("events", "orders", lambda e, o: im.fanout_totals(
+            e, o, "user_id", "o_custkey")),
+        "impact_ordinal_sort": on("customer", lambda c: im.top_by_name(
+            c.select("c_name", "c_acctbal", "c_custkey"), [F.col("c_acctbal").desc(), F.col("c_custkey")], 20)),
+        "impact_comma_join": on_two("customer", "nation", lambda c, n: c.join(
+            n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))),
+        "impact_schema_diff": schema_check,
+        "impact_cast_share": on("events", lambda e: im.castable_share(e, {
+            "props": F.col("props"), "k": F.regexp_extract("props", "[0-9]+", 0),
+            "event_type": F.col("event_type"),
+            "k_below_50": F.when(F.regexp_extract("props", "[0-9]+", 0).cast("int") < 50,
+                                 F.regexp_extract("props", "[0-9]+", 0)).otherwise("many")})),
+        "impact_column_layout": on("orders", lambda o: im.column_layout(
+            holed(o), ["o_custkey", "o_orderstatus", "o_orderpriority"])),
+        "impact_null_comparison": on("orders", lambda o: im.null_comparison(holed(o), "o_custkey")),
+        "impact_guarded_rows": on("orders", lambda o: im.guarded_rows(holed(o), F.col("o_custkey") < 100)),
+        "impact_page": on("orders", lambda o: im.page(
+            o.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10, 2)),
+    }
+
+
+def stream_rule_windows(spark, sf_dir):
+    from logsieve.streaming.stream import run_rule_windows
+
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    log = sample_log(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    return run_rule_windows(spark, log)
+
+
+def stream_queries() -> dict[str, Query]:
+    return {"stream_rule_windows": stream_rule_windows}

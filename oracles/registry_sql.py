@@ -138,6 +138,11 @@ def lint_oracles() -> dict[str, str]:
         "rules_rollup": f"""WITH {TOKENS}, {FOUND} SELECT user_id, rule_id, count(*) AS findings, grouping_id(user_id, rule_id)::BIGINT AS level
           FROM ids JOIN found USING (text_id) GROUP BY ROLLUP (user_id, rule_id)""",
     }
+    out["stream_rule_windows"] = f"""WITH {TOKENS}, {FOUND}, issues AS (SELECT ts, rule_id FROM ids JOIN found USING (text_id))
+      SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end,
+        rule_id, count(*) AS findings FROM issues
+      WHERE time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes'
+        <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM issues) GROUP BY ALL"""
     for rule in RULE_SQL:
         out[f"lint_{rule}"] = rule_query(rule)
     for rule in ("L020", "L021", "L022"):
