@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.operators.relations import bare_lower, is_column, is_table, name_parts
+from logsieve.operators.rules import FINDING, finding, token_hits
 from logsieve.operators.tokens import FILTER_CLAUSES
 
-_FINDING = ["text_id", "stmt", "rule_id", "variant", "pos", "visible", "p1", "p2", "quirk"]
+CATALOG_RULES = ["L020", "L021", "L022"]
 
 
 def _spread(name: Column) -> Column:
@@ -18,8 +19,12 @@ def _spread(name: Column) -> Column:
     return F.coalesce(name, nowhere)
 
 
-def named_things(tokens: DataFrame) -> DataFrame:
-    """The tokens the catalog rules look at: table sources, column references, CTE names."""
+def named_things(tokens: DataFrame, hits: Column) -> DataFrame:
+    """The tokens the catalog rules look at: table sources, column references, CTE names.
+
+    Tokens with findings of their own (``hits``) come along, so that all rules together read the
+    token relation once.
+    """
     derived = F.coalesce(F.col("scope_kind") == "derived", F.lit(False)) & F.col("sel").isNotNull()
     cte = F.coalesce(F.col("scope_kind") == "cte", F.lit(False))
     column, table = is_column(), is_table()
@@ -35,7 +40,8 @@ def named_things(tokens: DataFrame) -> DataFrame:
             "thing",
             F.when(table, "table").when(derived, "derived").when(cte, "cte").when(column | star, "column"),
         )
-        .filter(F.col("thing").isNotNull())
+        .withColumn("hits", hits)
+        .filter(F.col("thing").isNotNull() | (F.size("hits") > 0))
         .withColumn("parts", F.when(F.col("thing") == "column", col_parts))
         .select(
             "text_id",
@@ -56,6 +62,7 @@ def named_things(tokens: DataFrame) -> DataFrame:
             F.when(star, F.col("reached")).otherwise(F.col("linted_expr")).alias("linted_expr"),
             "reached",
             F.col("tok").alias("text"),
+            "hits",
         )
     )
 
@@ -82,8 +89,9 @@ def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
     keys = (
         F.when(is_source, F.array_compact(F.array_distinct(F.array("alias", "table_name"))))
         .when(thing == "cte", F.array("alias"))
-        .otherwise(F.array(qualifier))
+        .when(thing == "column", F.array(qualifier))
     )
+    named_once = (thing == "table") & (F.col("key") == F.col("table_name"))
     block = W.partitionBy("text_id", "stmt", "sel")
     # sources sharing a name meet the references qualified with it; bare names pass through
     same_name = W.partitionBy("text_id", "stmt", "key")
@@ -91,16 +99,20 @@ def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
         with_known.withColumns(
             {"sources": F.collect_list(F.when(is_source, source)).over(block), "keys": keys}
         )
-        .withColumn("key", F.explode("keys"))
+        .withColumn("key", F.explode_outer("keys"))
         .withColumns(
             {
                 "namesakes": F.when(
                     F.col("key").isNotNull(), F.collect_list(F.when(is_source, source)).over(same_name)
                 ),
-                "is_cte": F.max(thing == "cte").over(same_name),
+                "is_cte": F.max(F.coalesce(thing, F.lit("")) == "cte").over(same_name),
             }
         )
-        .filter((thing == "column") | ((thing == "table") & (F.col("key") == F.col("table_name"))))
+        .filter(
+            F.coalesce(thing == "column", F.lit(False))
+            | F.coalesce(named_once, F.lit(False))
+            | (F.coalesce(~thing.isin("column", "table"), F.lit(True)) & (F.size("hits") > 0))
+        )
     )
     around = F.filter(
         "namesakes",
@@ -111,7 +123,7 @@ def candidate_sources(things: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     matches = lambda s: (s["alias"] == qualifier) | (s["table_name"] == qualifier)
     own = (
-        F.when(thing == "table", F.slice("sources", 1, 0))
+        F.when(F.coalesce(thing != "column", F.lit(True)), F.slice("sources", 1, 0))
         .when(F.col("qualifier").isNull(), F.col("sources"))
         .otherwise(F.filter("sources", matches))
     )
@@ -149,6 +161,7 @@ def resolved_names(refs: DataFrame, catalog: DataFrame) -> DataFrame:
         joined.groupBy("text_id", "stmt", "pos")
         .agg(
             *[F.first(x).alias(x) for x in carried],
+            F.first("hits").alias("hits"),
             F.max("source.known").alias("any_known"),
             F.sum(F.when(has, 1).otherwise(0)).alias("owners"),
             F.collect_list(F.when(has, names)).alias("owner_names"),
@@ -179,6 +192,7 @@ def name_findings(resolved: DataFrame) -> DataFrame:
     )
     unindexed = c("column.has_index") & ~c("column.is_indexed")
     none, no = F.lit(None).cast("string"), F.lit(False)
+    filled = c("filled").isNotNull()
     rows = [
         ((c("thing") == "table") & ~c("known"), "L020", F.lit("table"), c("reached"), c("text"), none,
          c("is_cte")),
@@ -191,25 +205,25 @@ def name_findings(resolved: DataFrame) -> DataFrame:
         (filtered & unindexed, "L022", F.lit(""), visible, F.lower("column_name"), c("column.cat_table"), no),
     ]
     hits = [
-        F.when(
-            cond,
-            F.struct(
-                F.lit(rule).alias("rule_id"), variant.alias("variant"), visible.alias("visible"),
-                p1.alias("p1"), p2.alias("p2"), quirk.alias("quirk"),
-            ),
-        )
+        F.when(cond & filled, finding(rule, variant, F.col("pos"), visible, p1, p2, quirk))
         for cond, rule, variant, visible, p1, p2, quirk in rows
-    ]
-    return (
-        resolved.select("text_id", "stmt", "pos", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        .select("text_id", "stmt", "pos", "hit.*")
-        .select(*_FINDING)
+    ]
+    all_hits = F.concat(F.array_compact(F.array(*hits)), F.col("hits"))
+    return resolved.select("text_id", "stmt", F.explode(all_hits).alias("hit")).select(
+        "text_id", "stmt", "hit.*"
     )
 
 
-def catalog_findings(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
-    """All findings of the catalog rules; an empty catalog gives none."""
+def all_findings(tokens: DataFrame, catalog: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Findings of the catalog rules and of the token rules, in one pass over the tokens.
+
+    With an empty catalog nothing is known about names and no catalog rule reports anything.
+    """
+    no_hits = F.array().cast(f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")
+    wanted = only is None or bool(set(only) - set(CATALOG_RULES))
+    things = named_things(tokens, token_hits(only) if wanted else no_hits)
     filled = catalog.select(F.lit(True).alias("filled")).limit(1)
-    refs = candidate_sources(named_things(tokens), catalog)
-    found = name_findings(resolved_names(refs, catalog))
-    return found.join(F.broadcast(filled), F.lit(True), "left_semi")  # one row
+    refs = candidate_sources(things, catalog)
+    resolved = resolved_names(refs, catalog).join(F.broadcast(filled), F.lit(True), "left")  # one row
+    found = name_findings(resolved)
+    return found if only is None else found.filter(F.col("rule_id").isin(only))

@@ -76,30 +76,39 @@ TOKEN_RULES = [
 ]
 
 
-def token_findings(tokens: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Findings of the token rules, in one pass over the tokens.
+FINDING = "rule_id string, variant string, pos int, visible boolean, p1 string, p2 string, quirk boolean"
+
+
+def finding(rule_id, variant, pos, visible, p1, p2, quirk) -> Column:
+    """``visible``: a walker that skips what it does not descend into reports it too.
+    ``quirk``: only such a walker reports it."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
+        as_col(rule_id).alias("rule_id"),
+        as_col(variant).alias("variant"),
+        as_col(pos).cast("int").alias("pos"),
+        as_col(visible).alias("visible"),
+        as_col(p1).alias("p1"),
+        as_col(p2).alias("p2"),
+        as_col(quirk).alias("quirk"),
+    )
 
-    ``visible`` tells whether a walker that skips what it does not descend into would report it;
-    ``quirk`` is true for findings that only such a walker reports.
-    """
+
+def token_hits(only: list[str] | None = None) -> Column:
+    """Array of the findings of the token rules caused by one token."""
     found = [
-        F.when(
-            cond,
-            F.struct(
-                F.lit(rule_id).alias("rule_id"),
-                (F.lit(variant) if isinstance(variant, str) else variant).alias("variant"),
-                at.cast("int").alias("pos"),
-                visible.alias("visible"),
-                p1.alias("p1"),
-                p2.alias("p2"),
-            ),
-        )
+        F.when(cond, finding(rule_id, variant, at, visible, p1, p2, False))
         for rule_id, variant, cond, at, visible, p1, p2 in _rules()
         if only is None or rule_id in only
     ]
-    hits = tokens.select("text_id", "stmt", F.array_compact(F.array(*found)).alias("hits"))
+    return F.array_compact(F.array(*found))
+
+
+def token_findings(tokens: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Findings of the token rules, in one pass over the tokens."""
+    hits = tokens.select("text_id", "stmt", token_hits(only).alias("hits"))
     return (
         hits.filter(F.size("hits") > 0)
-        .select("text_id", "stmt", F.explode("hits").alias("hit"))
-        .select("text_id", F.col("stmt").cast("int").alias("stmt"), "hit.*", F.lit(False).alias("quirk"))
+        .select("text_id", F.col("stmt").cast("int").alias("stmt"), F.explode("hits").alias("hit"))
+        .select("text_id", "stmt", "hit.*")
     )

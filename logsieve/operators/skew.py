@@ -22,12 +22,13 @@ def attach_to_log(
     There are at most (log rows / rows_per_salt) such texts, which bounds what is broadcast.
     """
     salts = F.ceil(F.col("uses") / rows_per_salt).cast("int")
-    hot = texts.filter(F.col("uses") > rows_per_salt).select("k1", "k2", salts.alias("salts"))
-    salted_log = log.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn(
-        "salt",
-        F.when(
-            F.col("salts").isNotNull(), F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int")
-        ).otherwise(0),
+    hot = texts.filter(F.col("uses") > rows_per_salt).select("k1", "k2", "text_id", salts.alias("salts"))
+    spread = F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int")
+    # reading text_id makes the aggregate behind ``hot`` the same as the one behind ``keyed``
+    salted_log = (
+        log.join(F.broadcast(hot), ["k1", "k2"], "left")
+        .withColumn("salt", F.when(F.col("text_id").isNotNull(), spread).otherwise(0))
+        .drop("text_id")
     )
     keyed = texts.select(
         "text_id", "k1", "k2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")

@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.operators import outputs, relations
-from logsieve.operators.catalog_rules import catalog_findings
+from logsieve.operators.catalog_rules import CATALOG_RULES, all_findings
 from logsieve.operators.rules import TOKEN_RULES, token_findings
 from logsieve.operators.skew import attach_to_log
 from logsieve.operators.tokens import annotate
 from logsieve.sources.querylog import clean_log, distinct_texts, with_text_key
 
-CATALOG_RULES = ["L020", "L021", "L022"]
-
 
 @dataclass(frozen=True)
 class Workload:
@@ -41,7 +39,9 @@ def prepare(log: DataFrame) -> Workload:
     log.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     cleaned = clean_log(log)
     texts = distinct_texts(cleaned)
-    return Workload(with_text_key(cleaned), texts, annotate(texts))
+    # asking for ``uses`` here keeps this aggregate equal to the one behind the join to the log,
+    # so that the shuffle of distinct texts is made once and reused
+    return Workload(with_text_key(cleaned), texts, annotate(texts.filter("uses > 0")))
 
 
 def findings(work: Workload, catalog: DataFrame | None = None, parity: bool = False,
@@ -52,17 +52,12 @@ def findings(work: Workload, catalog: DataFrame | None = None, parity: bool = Fa
     skips derived tables, CTEs, EXISTS, join conditions and operands it does not descend into,
     and that knows no CTE names or outer aliases.
     """
-    parts = []
-    if only is None or set(only) & set(TOKEN_RULES):
-        parts.append(token_findings(work.tokens, only))
     if catalog is not None and (only is None or set(only) & set(CATALOG_RULES)):
-        named = catalog_findings(work.tokens, catalog)
-        parts.append(named if only is None else named.filter(F.col("rule_id").isin(only)))
-    if not parts:
+        found = all_findings(work.tokens, catalog, only)
+    elif only is None or set(only) & set(TOKEN_RULES):
+        found = token_findings(work.tokens, only)
+    else:
         raise ValueError("catalog rules need a catalog")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
     return found.filter("visible") if parity else found.filter(~F.col("quirk"))
 
 

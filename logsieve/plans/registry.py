@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.operators import outputs, relations
+from logsieve.operators.catalog_rules import CATALOG_RULES
 from logsieve.operators.rules import TOKEN_RULES
 from logsieve.plans import lint
 from logsieve.session import TABLES, table
@@ -113,8 +114,8 @@ def rule_hits(rule_id, spark, sf_dir):
 def name_rule_hits(rule_id, spark, sf_dir):
     work = _work(spark, sf_dir)
     # both kinds of findings: those of the default mode and those only a walker reports
-    found = lint.catalog_findings(work.tokens, tables_catalog(spark, sf_dir))
-    return work.per_query(found.filter(F.col("rule_id") == rule_id)).select(
+    found = lint.all_findings(work.tokens, tables_catalog(spark, sf_dir), [rule_id])
+    return work.per_query(found).select(
         "query_id", "stmt", "variant", "pos", "visible", "p1", "p2", "quirk"
     )
 
@@ -204,7 +205,7 @@ def lint_queries() -> dict[str, Query]:
     }
     for rule in TOKEN_RULES:
         out[f"lint_{rule}"] = partial(rule_hits, rule)
-    for rule in lint.CATALOG_RULES:
+    for rule in CATALOG_RULES:
         out[f"lint_{rule}"] = partial(name_rule_hits, rule)
     out.update(
         {
