@@ -248,6 +248,7 @@ def _fact_columns() -> tuple[dict, dict]:
     use = (
         F.when(_flag(after_set | after_set_word), "set_arm")
         .when(p1 == "AS", "as")
+        .when(p1 == "USING", "statement_part")
         .when(p1 == "EXISTS", "exists")
         .when(p1 == "IN", "in_subquery")
         .when(p1.isin("ANY", "ALL", "SOME"), "quantified")
@@ -558,7 +559,7 @@ def scope_kind() -> Column:
     kind = (
         F.when(use == "set_arm", "set_arm")
         .when((use == "as") & _flag(clause == "WITH"), "cte")
-        .when(use.isin("exists", "in_subquery", "quantified"), use)
+        .when(use.isin("exists", "in_subquery", "quantified", "statement_part"), use)
         .when(_flag(clause == "FROM"), "derived")
         .when(_flag(clause.isin("STMT", "INTO", "END")), "statement_part")
         .when(use == "call_argument", use)

@@ -207,6 +207,7 @@ k0 AS (
       CASE WHEN coalesce(p1 IN ('UNION', 'INTERSECT', 'EXCEPT', 'MINUS', ';'), true) THEN 'set_arm'
            WHEN p1 IN ('ALL', 'DISTINCT') AND p2 IN {among(words.SET_OPERATORS)} THEN 'set_arm'
            WHEN p1 = 'AS' AND clause = 'WITH' THEN 'cte'
+           WHEN p1 = 'USING' THEN 'statement_part'
            WHEN p1 = 'EXISTS' THEN 'exists'
            WHEN p1 = 'IN' THEN 'in_subquery'
            WHEN p1 IN ('ANY', 'ALL', 'SOME') THEN 'quantified'
