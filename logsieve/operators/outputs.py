@@ -104,7 +104,8 @@ def weighted_rules(log: DataFrame, texts: DataFrame, findings: DataFrame, *by) -
     uses = (
         log.groupBy("k1", "k2", *cols)
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(texts.select("text_id", "k1", "k2"), ["k1", "k2"])
+        # asking for uses keeps the aggregate behind ``texts`` equal to the one behind the tokens
+        .join(texts.filter("uses > 0").select("text_id", "k1", "k2"), ["k1", "k2"])
     )
     rules = findings.groupBy("text_id", "rule_id").agg(F.count(F.lit(1)).alias("per_text"))
     return (
