@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from logsieve.llm.runtime import fresh_name, ship
 
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5)
 STYLE = 4
-FOLDS = 5
-KNOWN_WORDS = 200_000  # entries of a worker's word cache before it is emptied
+FOLDS = 4
+KNOWN_WORDS = 100_000  # entries of a worker's word cache before it is emptied
 
 
 @dataclass
@@ -64,7 +64,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("fold"), *columns], ["fold", "labels", "terms", "style"])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """Fit the chain, in the order of `categories` (0/1 columns of `labels`).
 
     At most `sample` labelled documents are used: those with the least hashes of their ids. Their ids
@@ -91,60 +91,73 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     names, flat = np.unique(terms.flatten().to_numpy(), return_inverse=True)
     row_of = np.repeat(np.arange(len(y)), np.diff(starts))
     chain, earlier = [], np.zeros((len(y), 0), np.float32)
+    data = _Sparse(row_of, flat.ravel(), len(names))
     for k, category in enumerate(categories):
         base = np.hstack([dense, earlier, np.ones((len(y), 1), np.float32)])
-        held = np.zeros(len(y), np.float32)
+        held = np.zeros(len(y))
         for f in range(FOLDS):
-            inside = folds != f
-            picked, weights = _fit(row_of, flat, len(names), base, y[:, k], inside)
-            held[~inside] = _logits(row_of, flat, picked, base, weights)[~inside]
-        picked, weights = _fit(row_of, flat, len(names), base, y[:, k], np.ones(len(y), bool))
+            picked, weights = _fit(data, base, y[:, k], folds != f)
+            held[folds == f] = _logits(data.part(picked), base, weights)[folds == f]
+        picked, weights = _fit(data, base, y[:, k], np.ones(len(y), bool))
         columns = {int(names[j]): i for i, j in enumerate(picked)}
         chain.append(Link(category, columns, weights, _threshold(_sigmoid(held), y[:, k])))
         earlier = np.hstack([earlier, _sigmoid(held)[:, None].astype(np.float32)])
     return chain
 
 
-def _fit(row_of, flat, n_names, base, y, inside, most: int = 1000, rounds: int = 150):
+@dataclass
+class _Sparse:
+    """Places of the ones in a matrix of presences."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    width: int
+
+    def part(self, picked: np.ndarray) -> _Sparse:
+        where = np.full(self.width, -1, np.int32)
+        where[picked] = np.arange(len(picked))
+        column = where[self.columns]
+        return _Sparse(self.rows[column >= 0], column[column >= 0], len(picked))
+
+    def times(self, w: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.rows, w[self.columns], n)
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, r[self.rows], self.width)
+
+
+def _fit(data: _Sparse, base: np.ndarray, y: np.ndarray, inside: np.ndarray, most: int = 1000, rounds: int = 120):
     """Logistic regression with ridge on the features that lean most towards either label."""
-    here = inside[row_of]
-    n = np.bincount(flat[here], minlength=n_names)
-    hits = np.bincount(flat[here], weights=y[row_of[here]], minlength=n_names)
+    here = inside[data.rows]
+    n = np.bincount(data.columns[here], minlength=data.width)
+    hits = np.bincount(data.columns[here], weights=y[data.rows[here]], minlength=data.width)
     share = y[inside].mean() if inside.any() else 0.0
     if not 0 < share < 1:
         return np.zeros(0, int), np.r_[np.zeros(base.shape[1] - 1), -20.0 if share == 0 else 20.0]
     lean = np.where(n >= 2, np.abs(hits - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share)), 0)
     picked = np.argsort(-lean, kind="stable")[:most]
     picked = picked[lean[picked] >= 3]
-    x = np.hstack([_presence(row_of, flat, picked, len(base)), base])[inside]
-    goal, w = y[inside], np.zeros(x.shape[1], np.float32)
-    weigh = np.where(goal == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) / len(goal)
-    ridge = np.full(len(w), 1.0 / len(goal), np.float32)
+    x, width = data.part(picked), len(picked)
+    weigh = inside * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / inside.sum()
+    ridge = np.full(width + base.shape[1], 1.0 / inside.sum())
     ridge[-1] = 0
-    v = np.ones(len(w), np.float32)
+    apply = lambda w: x.times(w[:width], len(y)) + base @ w[width:]
+    back = lambda r: np.concatenate([x.turned(r), r @ base])
+    v = np.ones(len(ridge))
     for _ in range(8):  # largest curvature, for the step width
-        v = x.T @ (weigh * (x @ v)) / 4
+        v = back(weigh * apply(v)) / 4
         size = float(np.linalg.norm(v))
         v /= max(size, 1e-12)
-    ahead, step = w, 1 / (size * 1.1 + float(ridge.max()))
+    w = ahead = np.zeros(len(ridge))
+    step = 1 / (size * 1.1 + float(ridge.max()))
     for t in range(rounds):  # Nesterov's gradient descent
-        slope = x.T @ (weigh * (_sigmoid(x @ ahead) - goal)) + ridge * ahead
-        after = (ahead - step * slope).astype(np.float32)
-        ahead, w = after + np.float32(t / (t + 3)) * (after - w), after
+        after = ahead - step * (back(weigh * (_sigmoid(apply(ahead)) - y)) + ridge * ahead)
+        ahead, w = after + t / (t + 3) * (after - w), after
     return picked, w
 
 
-def _presence(row_of, flat, picked, rows) -> np.ndarray:
-    where = np.full(int(flat.max()) + 1 if len(flat) else 1, -1)
-    where[picked] = np.arange(len(picked))
-    x = np.zeros((rows, len(picked)), np.float32)
-    column = where[flat]
-    x[row_of[column >= 0], column[column >= 0]] = 1
-    return x
-
-
-def _logits(row_of, flat, picked, base, weights) -> np.ndarray:
-    return np.hstack([_presence(row_of, flat, picked, len(base)), base]) @ weights
+def _logits(x: _Sparse, base: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return x.times(weights[: x.width], len(base)) + base @ weights[x.width :]
 
 
 def _sigmoid(z):
