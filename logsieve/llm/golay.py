@@ -148,7 +148,8 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
     if radius > 5:
         raise ValueError("two segments have at most two differing bits each only up to a radius of 5")
     ship(prints.sparkSession)
-    keys = prints.select("fingerprint").mapInArrow(_keyed, "key int, fingerprint long")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table yields very many keys
+    keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed, "key int, fingerprint long")
     sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     small = keys.join(sizes.where(F.col("n") <= SMALL), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("f"))
