@@ -170,5 +170,5 @@ def identify(docs: DataFrame, net: Net | None, text: Column, **keep: Column) ->
     """
     ship(docs.sparkSession)
     rows = docs.select(*(c.alias(n) for n, c in keep.items()), text.alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_identify(net), f"{schema}, lang_pred string, score double")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(_identify(net), f"{schema}lang_pred string, score double")
