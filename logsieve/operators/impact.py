@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WIDTH = {T.LongType: 8, T.IntegerType: 4, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8}
+_WIDTH = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
+    T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
 
 
 def _counts(df: DataFrame, **conditions: Column) -> DataFrame:
@@ -20,17 +23,20 @@ def _count(df: DataFrame, form: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(form).alias("form"), "rows")
 
 
+def _bytes(field: T.StructField) -> Column:
+    c, kind = F.col(field.name), field.dataType
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.sum(F.octet_length(c)).cast("bigint")
+    if isinstance(kind, T.DecimalType):
+        return F.count(c) * (8 if kind.precision <= 18 else 16)
+    width = _WIDTH.get(type(kind))
+    return F.count(c) * width if width else F.lit(None).cast("bigint")
+
+
 def column_bytes(df: DataFrame, name: str) -> DataFrame:
-    """L001: bytes each column holds, so what reading fewer columns saves."""
-    sizes = {
-        f.name: F.sum(F.octet_length(f.name)).cast("bigint")
-        if isinstance(f.dataType, T.StringType)
-        else F.count(f.name) * _WIDTH[type(f.dataType)]
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.StringType) or type(f.dataType) in _WIDTH
-    }
-    one = df.agg(*[v.alias(k) for k, v in sizes.items()])
-    return one.unpivot([], list(sizes), "column_name", "bytes").withColumn("table_name", F.lit(name))
+    """L001: bytes each column holds, so what reading fewer columns saves; NULL for nested types."""
+    one = df.agg(*[_bytes(f).cast("bigint").alias(f.name) for f in df.schema.fields])
+    return one.unpivot([], df.columns, "column_name", "bytes").withColumn("table_name", F.lit(name))
 
 
 def or_split(df: DataFrame, first: Column, second: Column) -> DataFrame:
@@ -175,22 +181,26 @@ def castable_share(df: DataFrame, columns: dict[str, Column], to: str = "int") -
 
 
 def column_layout(df: DataFrame, columns: list[str]) -> DataFrame:
-    """L022: distinct values, NULLs, the most frequent value and the range of filter columns.
+    """L022: distinct values, NULLs, the most frequent value and the range of filter columns, and advice.
 
-    Values are counted first, so a value that fills a third of the table is one row from then on.
+    Each column is counted by its own values first, so a value that fills a third of the table is one row
+    from then on, and the range keeps the order of the column's type. Advice: few values make partitions;
+    with many, a filter profits from buckets or sorting unless one value fills most of the table.
     """
-    values = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    )
-    per_value = df.select(values.alias("v")).groupBy("v.column_name", "v.value").agg(F.count(F.lit(1)).alias("n"))
-    return per_value.groupBy("column_name").agg(
-        F.sum("n").alias("rows"),
-        F.count("value").alias("distinct_values"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
-        F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top_rows"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    )
+    out = None
+    for name in columns:
+        per_value = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        one = per_value.agg(
+            F.sum("n").alias("rows"),
+            F.count("value").alias("distinct_values"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"),
+            F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top_rows"),
+            F.min("value").cast("string").alias("min_value"),
+            F.max("value").cast("string").alias("max_value"),
+        ).withColumn("column_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    few, filled = F.col("distinct_values") <= 50, F.col("top_rows") * 2 > F.col("rows")
+    return out.withColumn("advice", F.when(few, "partition").when(filled, "none").otherwise("bucket"))
 
 
 def null_comparison(df: DataFrame, column: str) -> DataFrame:
@@ -206,5 +216,6 @@ def guarded_rows(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """L026: page ``number`` (from 0) of the rows in a total order."""
-    return df.orderBy(*order).offset(size * number).limit(size)
+    """L026: page ``number`` (from 0) of the rows in a total order, with the number of rows without a bound."""
+    total = df.agg(F.count(F.lit(1)).alias("all_rows"))  # one row
+    return df.orderBy(*order).offset(size * number).limit(size).join(total)

@@ -19,14 +19,14 @@ def attach_to_log(
 
     ``log`` and ``texts`` carry the 128-bit text key; ``texts`` also the number of uses. A text
     used more than ``rows_per_salt`` times is spread over several salts, on its own rows only.
-    There are at most (log rows / rows_per_salt) such texts, which bounds what is broadcast.
+    Their number grows with the log, so whether to broadcast them is left to adaptive execution.
     """
     salts = F.ceil(F.col("uses") / rows_per_salt).cast("int")
     hot = texts.filter(F.col("uses") > rows_per_salt).select("k1", "k2", "text_id", salts.alias("salts"))
     spread = F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int")
     # reading text_id makes the aggregate behind ``hot`` the same as the one behind ``keyed``
     salted_log = (
-        log.join(F.broadcast(hot), ["k1", "k2"], "left")
+        log.join(hot, ["k1", "k2"], "left")
         .withColumn("salt", F.when(F.col("text_id").isNotNull(), spread).otherwise(0))
         .drop("text_id")
     )

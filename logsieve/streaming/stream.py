@@ -17,6 +17,8 @@ ISSUE_COLUMNS = ["query_id", "ts", "user_id", "stmt", "pos", "rule_id", "severit
 def work_folder(spark: SparkSession) -> str:
     """A new folder for stream state and results, in the shared folder the session names."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder, or set spark.checkpoint.dir to one that driver and executors share")
     if shared is None:
         return tempfile.mkdtemp(prefix="logsieve-")
     return f"{shared.rstrip('/')}/logsieve-{uuid.uuid4().hex}"
@@ -28,7 +30,7 @@ def lint_batch(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     return work.per_query(found, "ts", "user_id").select(*ISSUE_COLUMNS)
 
 
-def lint_stream(log: DataFrame, out: str, state: str, catalog: DataFrame | None = None) -> StreamingQuery:
+def lint_stream(log: DataFrame, out: str, state: str, catalog: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Lint a streaming log, one micro-batch at a time, into parquet under ``out``.
 
     A query's findings depend on nothing but its text, so no state is held. Each batch overwrites
@@ -39,7 +41,7 @@ def lint_stream(log: DataFrame, out: str, state: str, catalog: DataFrame | None
         lint_batch(batch, catalog).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = log.writeStream.foreachBatch(write).option("checkpointLocation", state)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def rule_windows(issues: DataFrame, width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:

@@ -24,7 +24,7 @@ def _layout(column: str) -> str:
     return f"""SELECT '{column}' AS column_name, count(*) AS rows, count(DISTINCT {column}) AS distinct_values,
       count(*) - count({column}) AS null_rows,
       (SELECT max(n) FROM (SELECT count(*) AS n FROM o WHERE {column} IS NOT NULL GROUP BY {column})) AS top_rows,
-      min({column}::VARCHAR) AS min_value, max({column}::VARCHAR) AS max_value FROM o"""
+      min({column})::VARCHAR AS min_value, max({column})::VARCHAR AS max_value FROM o"""
 
 
 def _cast(name: str, expr: str) -> str:
@@ -76,8 +76,9 @@ def impact_oracles() -> dict[str, str]:
             WHEN expected <> actual THEN 'type' ELSE 'same' END AS status FROM e FULL JOIN a USING (column_name)""",
         "impact_cast_share": " UNION ALL ".join([_cast("props", "props"), _cast("k", _K), _cast("event_type", "event_type"),
             _cast("k_below_50", f"CASE WHEN {_K}::INT < 50 THEN {_K} ELSE 'many' END")]),
-        "impact_column_layout": f"WITH {_O} " + " UNION ALL ".join(_layout(c) for c in ("o_custkey", "o_orderstatus", "o_orderpriority")),
+        "impact_column_layout": f"WITH {_O} SELECT *, CASE WHEN distinct_values <= 50 THEN 'partition' WHEN top_rows * 2 > rows THEN 'none' ELSE 'bucket' END AS advice FROM ("
+        + " UNION ALL ".join(_layout(c) for c in ("o_custkey", "o_orderstatus", "o_orderpriority")) + ")",
         "impact_null_comparison": f"WITH {_O} " + _forms("o", equals_null="o_custkey = NULL", not_equals_null="o_custkey <> NULL", is_null="o_custkey IS NULL"),
         "impact_guarded_rows": f"WITH {_O} " + _forms("o", touched="true", meant="o_custkey < 100", protected="coalesce(NOT o_custkey < 100, true)"),
-        "impact_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
+        "impact_page": "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS all_rows FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
     }

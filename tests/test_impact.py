@@ -42,3 +42,14 @@ def test_fanout_equals_the_join(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
     b = spark.createDataFrame([(1,), (1,), (1,), (3,), (None,)], "y int")
     assert rows(impact.fanout_totals(a, b, "x", "y")) == {"joined": 6, "cartesian": 20}
+
+
+def test_bytes_of_every_type(spark):
+    df = spark.sql("SELECT true AS b, 1S AS s, CAST(1.5 AS DECIMAL(10,2)) AS d, DATE'2020-01-01' AS day, array(1) AS a")
+    got = {r.column_name: r.bytes for r in impact.column_bytes(df, "t").collect()}
+    assert got == {"b": 1, "s": 2, "d": 8, "day": 4, "a": None}
+
+
+def test_layout_range_follows_the_type(spark):
+    row = impact.column_layout(spark.range(8, 1500).toDF("k"), ["k"]).first()
+    assert (row.min_value, row.max_value, row.advice) == ("8", "1499", "bucket")
