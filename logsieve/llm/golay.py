@@ -5,6 +5,9 @@ fingerprint is cut into three segments, each padded to a word. The codewords tha
 with one bit changed, decodes to are its keys (one to six). Two segments within two bits share a key:
 some word is within one bit of both. With at most five differing bits in all, two of the three segments
 have at most two each, so keys of two segments together find every pair; the pair is then verified.
+With at most four, those two segments have at most two together: none and up to two, or one each. Then keys
+are enough in which one segment's codeword is its own. Where a segment is equal, its own codeword goes with
+the other's shared key; with one bit each, the one text's own codeword goes with the other text's own.
 """
 
 from __future__ import annotations
@@ -63,17 +66,19 @@ def segment_keys(words: np.ndarray, bits: int) -> np.ndarray:
     return keys
 
 
-def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pair_keys(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): all keys of two segments together, for unsigned 64-bit fingerprints."""
     segments, low = [], 0
     for bits in SEGMENTS:
         words = (prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        segments.append(segment_keys(words, bits))
+        keys = segment_keys(words, bits)
+        segments.append((keys, keys == decode(words)[:, None]))
         low += bits
     keys = []
     for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a, b = segments[i][:, :, None], segments[j][:, None, :]
-        keys.append(np.where((a >= 0) & (b >= 0), p << 24 | a << 12 | b, -1).reshape(len(prints), -1))
+        (a, own_a), (b, own_b) = (segments[i][0][:, :, None], segments[i][1][:, :, None]), (segments[j][0][:, None, :], segments[j][1][:, None, :])
+        useful = (a >= 0) & (b >= 0) & (own_a | own_b | (radius > 4))
+        keys.append(np.where(useful, p << 24 | a << 12 | b, -1).reshape(len(prints), -1))
     table = np.concatenate(keys, axis=1)
     rows, columns = np.nonzero(table >= 0)
     return rows, table[rows, columns]
@@ -115,12 +120,15 @@ def fingerprints(docs: DataFrame, text: Column, shingle: int = 4, **keep: Column
     return rows.mapInArrow(_simhashes(shingle), f"{schema}fingerprint long")
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column("fingerprint").to_numpy()
-        for i in range(0, len(prints), 4096):
-            rows, keys = pair_keys(prints[i : i + 4096].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[i : i + 4096][rows])], ["key", "fingerprint"])
+def _keyed(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column("fingerprint").to_numpy()
+            for i in range(0, len(prints), 4096):
+                rows, keys = pair_keys(prints[i : i + 4096].view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[i : i + 4096][rows])], ["key", "fingerprint"])
+
+    return run
 
 
 def _block_links(radius: int):
@@ -149,7 +157,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
         raise ValueError("two segments have at most two differing bits each only up to a radius of 5")
     ship(prints.sparkSession)
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table yields very many keys
-    keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed, "key int, fingerprint long")
+    keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed(radius), "key int, fingerprint long")
     sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     small = keys.join(sizes.where(F.col("n") <= SMALL), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("f"))

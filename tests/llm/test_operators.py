@@ -190,11 +190,12 @@ def test_next_row_over_buckets(spark):
     assert got == {a: ids[(k + 1) % len(ids)] for k, a in enumerate(ids)}
 
 
-def test_golay_keys_meet_within_five_bits():
+@pytest.mark.parametrize("radius", [4, 5])
+def test_golay_keys_meet_within_the_radius(radius):
     rnd = random.Random(2)
-    a = [rnd.getrandbits(64) for _ in range(400)]
-    b = [x ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(6))) for x in a]
-    keys = lambda x: (lambda rows, k: [set(k[rows == i].tolist()) for i in range(len(x))])(*golay.pair_keys(np.array(x, np.uint64)))
+    a = [rnd.getrandbits(64) for _ in range(4000)]
+    b = [x ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(radius + 1))) for x in a]
+    keys = lambda x: (lambda rows, k: [set(k[rows == i].tolist()) for i in range(len(x))])(*golay.pair_keys(np.array(x, np.uint64), radius))
     assert all(x & y for x, y in zip(keys(a), keys(b), strict=True))
     words = np.arange(1 << 14) * 509 % (1 << 23)
     parity, _ = golay._decoder()
