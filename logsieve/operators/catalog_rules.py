@@ -15,7 +15,7 @@ CATALOG_RULES = ["L020", "L021", "L022"]
 
 def _spread(name: Column) -> Column:
     """Join key that never meets in one task for the many rows without a table name."""
-    nowhere = F.concat(F.lit("?"), F.pmod("text_id", F.lit(4096)).cast("string"))
+    nowhere = F.concat(F.lit("?"), F.pmod(F.xxhash64("text_id"), F.lit(4096)).cast("string"))
     return F.coalesce(name, nowhere)
 
 

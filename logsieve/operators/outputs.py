@@ -70,12 +70,13 @@ def assembled(texts: DataFrame, findings: DataFrame, stats: DataFrame, formatted
     )
     counters = [c for c in stats.columns if c not in ("text_id", "error")]
     return (
-        texts.select("text_id", "dialect", "sql", "uses")
+        texts.select("text_id", "first_query", "dialect", "sql", "uses")
         .join(stats, "text_id", "left")
         .join(formatted, "text_id", "left")
         .join(lists, "text_id", "left")
         .select(
             "text_id",
+            "first_query",
             "dialect",
             "uses",
             F.col("error").isNull().alias("success"),
@@ -93,7 +94,7 @@ def as_json(records: DataFrame) -> DataFrame:
     return records.select("text_id", F.to_json(F.struct(*records.columns)).alias("result"))
 
 
-def weighted_rules(log: DataFrame, texts: DataFrame, findings: DataFrame, *by) -> DataFrame:
+def weighted_rules(log: DataFrame, findings: DataFrame, *by) -> DataFrame:
     """Findings per rule over the log, grouped by columns of the log.
 
     Both sides are reduced before they meet: the log to uses per text and group, the findings to
@@ -101,12 +102,7 @@ def weighted_rules(log: DataFrame, texts: DataFrame, findings: DataFrame, *by) -
     """
     names = [c if isinstance(c, str) else c[0] for c in by]
     cols = [F.col(c) if isinstance(c, str) else c[1].alias(c[0]) for c in by]
-    uses = (
-        log.groupBy("k1", "k2", *cols)
-        .agg(F.count(F.lit(1)).alias("n"))
-        # asking for uses keeps the aggregate behind ``texts`` equal to the one behind the tokens
-        .join(texts.filter("uses > 0").select("text_id", "k1", "k2"), ["k1", "k2"])
-    )
+    uses = log.groupBy("text_id", *cols).agg(F.count(F.lit(1)).alias("n"))
     rules = findings.groupBy("text_id", "rule_id").agg(F.count(F.lit(1)).alias("per_text"))
     return (
         uses.join(rules, "text_id")

@@ -17,20 +17,14 @@ def attach_to_log(
 ) -> DataFrame:
     """``log`` rows with the rows of ``per_text`` for their text.
 
-    ``log`` and ``texts`` carry the 128-bit text key; ``texts`` also the number of uses. A text
-    used more than ``rows_per_salt`` times is spread over several salts, on its own rows only.
+    ``log`` and ``texts`` carry ``text_id``; ``texts`` also the number of uses. A text used more
+    than ``rows_per_salt`` times is spread over several salts, on its own rows only.
     Their number grows with the log, so whether to broadcast them is left to adaptive execution.
     """
     salts = F.ceil(F.col("uses") / rows_per_salt).cast("int")
-    hot = texts.filter(F.col("uses") > rows_per_salt).select("k1", "k2", "text_id", salts.alias("salts"))
-    spread = F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int")
-    # reading text_id makes the aggregate behind ``hot`` the same as the one behind ``keyed``
-    salted_log = (
-        log.join(hot, ["k1", "k2"], "left")
-        .withColumn("salt", F.when(F.col("text_id").isNotNull(), spread).otherwise(0))
-        .drop("text_id")
-    )
-    keyed = texts.select(
-        "text_id", "k1", "k2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    ).join(per_text, "text_id")
-    return salted_log.join(keyed, ["k1", "k2", "salt"], how).drop("k1", "k2", "salt", "salts")
+    hot = texts.filter(F.col("uses") > rows_per_salt).select("text_id", salts.alias("salts"))
+    # over all columns, as query ids may repeat or be null
+    spread = F.pmod(F.xxhash64(*log.columns), F.col("salts")).cast("int")
+    salted_log = log.join(hot, "text_id", "left").withColumn("salt", F.coalesce(spread, F.lit(0)))
+    keyed = texts.select("text_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(per_text, "text_id")
+    return salted_log.join(keyed, ["text_id", "salt"], how).drop("salt", "salts")

@@ -25,9 +25,15 @@ class Workload:
 
     def per_query(self, per_text: DataFrame, *log_columns: str) -> DataFrame:
         """Rows per text spread to the queries that use the text."""
-        log = self.log.select("query_id", *log_columns, "k1", "k2")
+        log = self.log.select("query_id", *log_columns, "text_id")
         return attach_to_log(log, self.texts, per_text).drop("text_id")
 
+    def by_first_query(self, per_text: DataFrame) -> DataFrame:
+        """Rows per text, with the least query id that uses the text in place of its hash."""
+        first = self.texts.select("text_id", F.col("first_query"))
+        rest = [c for c in per_text.columns if c != "text_id"]
+        return per_text.join(first, "text_id").select(F.col("first_query").alias("text_id"), *rest)
+
 
 def prepare(log: DataFrame) -> Workload:
     """Clean the log and set up its token relation; each distinct text is tokenised once."""
@@ -91,10 +97,10 @@ def analyse(log: DataFrame, catalog: DataFrame | None = None, parity: bool = Fal
     )
 
 
-def clean_queries(log: DataFrame) -> DataFrame:
-    """Logged queries that are well formed and have no error and no warning."""
+def clean_queries(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Logged queries that are well formed and have no error and no warning, with a catalog also none on names."""
     work = prepare(log)
-    found = outputs.with_severity(findings(work)).filter(F.col("severity") != "info")
+    found = outputs.with_severity(findings(work, catalog)).filter(F.col("severity") != "info")
     valid = relations.text_stats(work.tokens).filter(F.col("error").isNull()).select("text_id")
     clean = valid.join(found.select("text_id").distinct(), "text_id", "left_anti")
     return work.per_query(clean)

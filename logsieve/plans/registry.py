@@ -54,7 +54,9 @@ def dialect_usage(spark, sf_dir):
 
 
 def text_usage(spark, sf_dir):
-    return distinct_texts(clean_log(events_log(spark, sf_dir))).select("text_id", "sql", "uses")
+    return distinct_texts(clean_log(events_log(spark, sf_dir))).select(
+        F.col("first_query").alias("text_id"), "sql", "uses"
+    )
 
 
 def ddl_catalog(spark, sf_dir):
@@ -68,7 +70,9 @@ def live_catalog(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return _work(spark, sf_dir).tokens.filter(F.col("error").isNull()).select(
+    """Texts that fail the well-formedness screen have no tokens here: all of a text or nothing."""
+    work = _work(spark, sf_dir)
+    return work.by_first_query(work.tokens.filter(F.col("error").isNull())).select(
         "text_id", "pos", "tok", "kind", F.col("stmt").cast("int").alias("stmt"),
         F.col("depth").cast("int").alias("depth"), F.col("scope").cast("int").alias("scope"),
         F.col("bd").cast("int").alias("bd"), F.col("arm").cast("int").alias("arm"), "clause",
@@ -82,27 +86,32 @@ def well_formed(spark, sf_dir):
 
 
 def scopes(spark, sf_dir):
-    return relations.query_scopes(_work(spark, sf_dir).tokens)
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.query_scopes(work.tokens))
 
 
 def table_references(spark, sf_dir):
-    return relations.table_refs(_work(spark, sf_dir).tokens).select(
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.table_refs(work.tokens)).select(
         "text_id", "stmt", "sel", "pos", "alias", "table_name", "ref_kind", "counted", "reached"
     )
 
 
 def column_references(spark, sf_dir):
-    return relations.column_refs(_work(spark, sf_dir).tokens).select(
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.column_refs(work.tokens)).select(
         "text_id", "stmt", "sel", "pos", "qualifier", "column_name", "clause", "against", "linted_expr"
     )
 
 
 def comparison_operands(spark, sf_dir):
-    return relations.comparisons(_work(spark, sf_dir).tokens)
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.comparisons(work.tokens))
 
 
 def projection_sizes(spark, sf_dir):
-    return relations.projection_items(_work(spark, sf_dir).tokens)
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.projection_items(work.tokens))
 
 
 def rule_hits(rule_id, spark, sf_dir):
@@ -127,7 +136,7 @@ def _all_findings(work, spark, sf_dir, parity=False):
 def lint_counts(parity, spark, sf_dir):
     work = _work(spark, sf_dir)
     found = _all_findings(work, spark, sf_dir, parity)
-    weighted = outputs.weighted_rules(work.log, work.texts, found)
+    weighted = outputs.weighted_rules(work.log, found)
     return outputs.with_severity(weighted).select("rule_id", "severity", "category", "findings", "queries")
 
 
@@ -136,19 +145,20 @@ def query_stats(spark, sf_dir):
 
 
 def formatted(spark, sf_dir):
-    return relations.normalised(_work(spark, sf_dir).tokens)
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.normalised(work.tokens))
 
 
 def severity_summary(spark, sf_dir):
     work = _work(spark, sf_dir)
-    return work.per_query(outputs.severity_counts(lint.findings(work))).select(
+    return work.per_query(outputs.severity_counts(_all_findings(work, spark, sf_dir))).select(
         "query_id", "errors", "warnings", "infos", "total", "worst", "badge"
     )
 
 
 def messages(lang, spark, sf_dir):
     work = _work(spark, sf_dir)
-    return outputs.localised(_all_findings(work, spark, sf_dir), lang).select(
+    return work.by_first_query(outputs.localised(_all_findings(work, spark, sf_dir), lang)).select(
         "text_id", "pos", "rule_id", "message", "advice", "severity_label", "category_label"
     )
 
@@ -156,24 +166,25 @@ def messages(lang, spark, sf_dir):
 def analysis_records(spark, sf_dir):
     records = lint.analyse(events_log(spark, sf_dir), tables_catalog(spark, sf_dir), parity=True)
     return records.select(
-        "text_id", "uses", "success", "error", "formatted_sql",
+        F.col("first_query").alias("text_id"), "uses", "success", "error", "formatted_sql",
         F.size("lint_issues").cast("bigint").alias("n_issues"), "stats.statement_count",
         "stats.table_count", "stats.has_where",
     )
 
 
 def lineage(spark, sf_dir):
-    return relations.lineage_edges(_work(spark, sf_dir).tokens)
+    work = _work(spark, sf_dir)
+    return work.by_first_query(relations.lineage_edges(work.tokens))
 
 
 def clean_queries(spark, sf_dir):
-    return lint.clean_queries(events_log(spark, sf_dir)).select("query_id")
+    return lint.clean_queries(events_log(spark, sf_dir), tables_catalog(spark, sf_dir)).select("query_id")
 
 
 def rules_per_user_day(spark, sf_dir):
     work = _work(spark, sf_dir)
     day = F.to_date("ts")
-    counts = outputs.weighted_rules(work.log, work.texts, lint.findings(work), "user_id", ("day", day))
+    counts = outputs.weighted_rules(work.log, _all_findings(work, spark, sf_dir), "user_id", ("day", day))
     return outputs.top_rules(counts, 3, "user_id", "day").select(
         "user_id", "day", "rule_id", "findings", "queries", "rank"
     )
@@ -181,7 +192,7 @@ def rules_per_user_day(spark, sf_dir):
 
 def rules_rollup(spark, sf_dir):
     work = _work(spark, sf_dir)
-    counts = outputs.weighted_rules(work.log, work.texts, lint.findings(work), "user_id")
+    counts = outputs.weighted_rules(work.log, _all_findings(work, spark, sf_dir), "user_id")
     return (
         counts.rollup("user_id", "rule_id")
         .agg(F.sum("findings").alias("findings"), F.grouping_id().cast("bigint").alias("level"))
@@ -305,7 +316,7 @@ def stream_rule_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
     log = sample_log(events).withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_rule_windows(spark, log)
+    return run_rule_windows(spark, log, catalog=tables_catalog(spark, sf_dir))
 
 
 def stream_queries() -> dict[str, Query]:

@@ -159,8 +159,8 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
             "is_indexed"
         ),
     )
-    return per_text.select(
-        F.col("text_id").alias("ddl_id"),
+    return per_text.join(texts.select("text_id", "first_query"), "text_id").select(
+        F.col("first_query").alias("ddl_id"),
         "table_name",
         "column_name",
         "data_type",

@@ -62,22 +62,20 @@ def clean_log(log: DataFrame) -> DataFrame:
 
 
 def with_text_key(log: DataFrame) -> DataFrame:
-    """A 128-bit key of (dialect, sql), so later joins carry 16 bytes and not the text."""
-    return log.withColumns(
-        {
-            "k1": F.xxhash64("dialect", "sql"),
-            "k2": F.xxhash64(F.lit("logsieve"), "sql", "dialect"),
-        }
-    )
+    """``text_id``: the SHA-256 of (dialect, sql), so later joins carry 32 bytes and not the text.
+
+    It is the identity of a text whatever the query ids are: they may repeat or be null.
+    """
+    return log.withColumn("text_id", F.unhex(F.sha2(F.concat_ws("\n", "dialect", "sql"), 256)))
 
 
 def distinct_texts(log: DataFrame) -> DataFrame:
     """One row per distinct (dialect, sql) with its number of uses; combined before the shuffle.
 
-    ``text_id`` is the smallest query id using the text.
+    ``first_query`` is the smallest query id using the text, null if none of them has an id.
     """
     grouped = log.groupBy("dialect", "sql").agg(
-        F.min("query_id").alias("text_id"), F.count(F.lit(1)).alias("uses")
+        F.min("query_id").alias("first_query"), F.count(F.lit(1)).alias("uses")
     )
     dims = F.broadcast(dialect_dim(log.sparkSession))  # seven rows
     return with_text_key(grouped).join(dims, "dialect")

@@ -59,10 +59,10 @@ def rule_windows(issues: DataFrame, width: str = "10 minutes", delay: str = "10
     )
 
 
-def run_rule_windows(spark: SparkSession, log: DataFrame, folder: str | None = None) -> DataFrame:
+def run_rule_windows(spark: SparkSession, log: DataFrame, folder: str | None = None, catalog: DataFrame | None = None) -> DataFrame:
     """Process all of a streaming log that is there now; the windows closed so far."""
     base = folder or work_folder(spark)
-    lint_stream(log, f"{base}/issues", f"{base}/lint-state").awaitTermination()
+    lint_stream(log, f"{base}/issues", f"{base}/lint-state", catalog).awaitTermination()
     stored = spark.read.parquet(f"{base}/issues")
     issues = spark.readStream.schema(stored.schema).parquet(f"{base}/issues")
     query = (

@@ -92,9 +92,9 @@ problems AS (
          WHEN (n1 IS NULL OR n1 = ';') AND u IN {among(words.DANGLING)} THEN 'incomplete statement'
     END AS code FROM tok2),
 bad_texts AS (SELECT text_id, arg_min(code, pos) AS error FROM problems WHERE code IS NOT NULL GROUP BY text_id),
-t AS (SELECT * FROM tok2 ANTI JOIN bad_texts USING (text_id)),
+t AS MATERIALIZED (SELECT * FROM tok2 ANTI JOIN bad_texts USING (text_id)),
 stmts AS (SELECT text_id, stmt, pos AS start_pos, u AS verb FROM t WHERE first),
-par AS (
+par AS MATERIALIZED (
   SELECT o.text_id, o.stmt, o.pos AS open_pos, min(c.pos) AS close_pos, any_value(o.depth) AS depth,
     CASE WHEN any_value(o.n1) IN ('SELECT', 'WITH') THEN 'query'
          WHEN any_value(o.k1) = 'path' AND any_value(o.p1) IN {among(words.OPAQUE_CALLS)} THEN 'opaque'
@@ -224,7 +224,7 @@ hidden AS (
            AND clause IN ('SELECT', 'WHERE', 'GROUP', 'HAVING') AND (p1 = 'IN' OR NOT seg_opaque)))
          WHEN pk = 'opaque' THEN true ELSE seg_opaque END AS shut
   FROM k0 WHERE pk IS NOT NULL),
-k AS (
+k AS MATERIALIZED (
   SELECT k0.*, k0.verb IN ('SELECT', 'WITH', '(') AND NOT EXISTS (
       SELECT 1 FROM hidden h WHERE h.text_id = k0.text_id AND h.shut AND h.open_pos < k0.pos AND k0.pos < h.close_pos) AS reached,
     k0.verb IN ('SELECT', 'WITH', '(') AND NOT EXISTS (

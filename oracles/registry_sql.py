@@ -49,6 +49,9 @@ printed AS (SELECT text_id, string_agg(piece, '' ORDER BY pos) AS formatted FROM
 ALL_FOUND = f"""{NAMES}, {FOUND},
 every AS (SELECT *, false AS quirk FROM found UNION ALL SELECT * FROM named)"""
 
+KEPT_FOUND = f"""{ALL_FOUND},
+all_found AS (SELECT * FROM every WHERE NOT quirk)"""
+
 _DDL_LOG = f"""
 log AS (
   SELECT event_id AS query_id,
@@ -97,7 +100,8 @@ def lint_oracles() -> dict[str, str]:
           FROM texts JOIN events ON event_id = ddl_id JOIN defs ON n = ddl_id % {len(DDL_TEMPLATES)}""",
         "live_catalog": f"WITH {CATALOG_CTE} SELECT * FROM cat",
         "tokens": f"""WITH {TOKENS} SELECT text_id, pos::INT AS pos, tok, kind, stmt, depth::INT AS depth, scope::INT AS scope,
-            bd::INT AS bd, (arm - coalesce((SELECT a.arm FROM k a WHERE a.text_id = k.text_id AND a.pos = k.scope), 0))::INT AS arm, clause FROM k""",
+            bd::INT AS bd, (k.arm - coalesce(a.arm, 0))::INT AS arm, clause
+          FROM k LEFT JOIN (SELECT text_id, pos AS scope, arm FROM k) a USING (text_id, scope)""",
         "well_formed": f"""WITH {TOKENS} SELECT query_id, error IS NULL AS success, error FROM ids LEFT JOIN bad_texts USING (text_id)""",
         "scopes": f"""WITH {TOKENS} SELECT h.text_id, h.stmt, h.pos::INT AS scope, CASE WHEN h.first THEN 'top' ELSE o.scope_kind END AS own_kind,
             CASE WHEN NOT h.first THEN o.sel END::INT AS parent_sel, h.reached, h.counted
@@ -114,9 +118,9 @@ def lint_oracles() -> dict[str, str]:
         "query_stats": f"""WITH {TOKENS}, {STATS} SELECT query_id, stat.* EXCLUDE (text_id), len(string_split(sql, chr(10)))::INT AS line_count,
             length(sql)::INT AS char_count FROM ids JOIN stat USING (text_id) JOIN texts USING (text_id)""",
         "formatted": f"WITH {TOKENS}, {FORMAT} SELECT * FROM printed",
-        "severity_summary": f"""WITH {TOKENS}, {FOUND}, {RULE_DIM}, per_text AS (
+        "severity_summary": f"""WITH {TOKENS}, {KEPT_FOUND}, {RULE_DIM}, per_text AS (
             SELECT text_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
-              count(*) FILTER (severity = 'info') AS infos, count(*) AS total FROM found JOIN rule_dim USING (rule_id) GROUP BY text_id)
+              count(*) FILTER (severity = 'info') AS infos, count(*) AS total FROM all_found JOIN rule_dim USING (rule_id) GROUP BY text_id)
           SELECT query_id, errors, warnings, infos, total,
             CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'info' END AS worst,
             CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'none' END AS badge
@@ -130,15 +134,15 @@ def lint_oracles() -> dict[str, str]:
           SELECT h.text_id, 'scope' AS edge, h.pos::INT AS child, o.sel::VARCHAR AS parent
           FROM k h JOIN k o ON o.text_id = h.text_id AND o.pos = h.pos - 1 WHERE h.head AND NOT h.first AND o.sel IS NOT NULL
           UNION ALL SELECT text_id, 'table', sel::INT, table_name FROM refs WHERE table_name IS NOT NULL""",
-        "clean_queries": f"""WITH {TOKENS}, {FOUND}, {RULE_DIM} SELECT query_id FROM ids WHERE text_id NOT IN (SELECT text_id FROM bad_texts)
-          AND text_id NOT IN (SELECT text_id FROM found JOIN rule_dim USING (rule_id) WHERE severity <> 'info')""",
-        "rules_per_user_day": f"""WITH {TOKENS}, {FOUND}, counts AS (
-            SELECT user_id, ts::DATE AS day, rule_id, count(*) AS findings, count(DISTINCT query_id) AS queries FROM ids JOIN found USING (text_id) GROUP BY ALL)
+        "clean_queries": f"""WITH {TOKENS}, {KEPT_FOUND}, {RULE_DIM} SELECT query_id FROM ids WHERE text_id NOT IN (SELECT text_id FROM bad_texts)
+          AND text_id NOT IN (SELECT text_id FROM all_found JOIN rule_dim USING (rule_id) WHERE severity <> 'info')""",
+        "rules_per_user_day": f"""WITH {TOKENS}, {KEPT_FOUND}, counts AS (
+            SELECT user_id, ts::DATE AS day, rule_id, count(*) AS findings, count(DISTINCT query_id) AS queries FROM ids JOIN all_found USING (text_id) GROUP BY ALL)
           SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY findings DESC, rule_id)::INT AS rank FROM counts QUALIFY rank <= 3""",
-        "rules_rollup": f"""WITH {TOKENS}, {FOUND} SELECT user_id, rule_id, count(*) AS findings, grouping_id(user_id, rule_id)::BIGINT AS level
-          FROM ids JOIN found USING (text_id) GROUP BY ROLLUP (user_id, rule_id)""",
+        "rules_rollup": f"""WITH {TOKENS}, {KEPT_FOUND} SELECT user_id, rule_id, count(*) AS findings, grouping_id(user_id, rule_id)::BIGINT AS level
+          FROM ids JOIN all_found USING (text_id) GROUP BY ROLLUP (user_id, rule_id)""",
     }
-    out["stream_rule_windows"] = f"""WITH {TOKENS}, {FOUND}, issues AS (SELECT ts, rule_id FROM ids JOIN found USING (text_id))
+    out["stream_rule_windows"] = f"""WITH {TOKENS}, {KEPT_FOUND}, issues AS (SELECT ts, rule_id FROM ids JOIN all_found USING (text_id))
       SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end,
         rule_id, count(*) AS findings FROM issues
       WHERE time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes'

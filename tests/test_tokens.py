@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from logsieve.operators import relations
 from logsieve.plans import lint
 from logsieve.plans.registry import events_log
-from tests.helpers import found, make_log
+from tests.helpers import LOG_SCHEMA, found, make_log
 
 
 def toks(spark, sql, dialect="generic"):
@@ -71,13 +71,30 @@ def test_blank_texts_are_dropped(spark):
     assert lint.stats(make_log(spark, ["  \n\t ", "SELECT 1"])).count() == 1
 
 
+def test_repeated_and_null_query_ids_lose_no_finding(spark):
+    rows = [(7, None, 1, "generic", "SELECT * FROM a"), (7, None, 1, "generic", "DELETE FROM b"),
+            (None, None, 1, "generic", "DROP TABLE c"), (None, None, 1, "generic", "DELETE FROM b")]
+    log = spark.createDataFrame(rows, LOG_SCHEMA)
+    found = sorted((str(r.query_id), r.rule_id) for r in lint.lint(log).collect())
+    assert {f for f in found if f[1] in ("L001", "L002", "L007")} == {("7", "L001"), ("7", "L002"), ("None", "L002"), ("None", "L007")}
+    assert lint.stats(log).count() == 4
+
+
+def test_unknown_table_is_not_clean_with_a_catalog(spark):
+    log = make_log(spark, ["SELECT x FROM no_such_table LIMIT 5", "SELECT x FROM known LIMIT 5"])
+    schema = "table_name string, column_name string, data_type string, type_family string, is_indexed boolean"
+    catalog = spark.createDataFrame([("known", "x", "int", "numeric", False)], schema)
+    assert [r.query_id for r in lint.clean_queries(log, catalog).collect()] == [1]
+    assert lint.clean_queries(log).count() == 2
+
+
 def test_hot_text_is_salted(spark, sf_dir):
     from logsieve.operators.skew import attach_to_log
 
     log = events_log(spark, sf_dir)
     work = lint.prepare(log.withColumn("sql", F.when(F.col("query_id") % 3 == 0, "DELETE FROM t").otherwise(F.col("sql"))))
     per_text = lint.findings(work, only=["L002"])
-    keyed = work.log.select("query_id", "k1", "k2")
+    keyed = work.log.select("query_id", "text_id")
     plain = attach_to_log(keyed, work.texts, per_text)
     salted = attach_to_log(keyed, work.texts, per_text, rows_per_salt=7)
     cols = ["query_id", "pos", "rule_id"]
