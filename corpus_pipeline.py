@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import fuzzy_lines, golay, packing, surrogates, toxicity
+from logsieve.llm import fuzzy_lines, near_texts, packing, surrogates, toxicity
 from logsieve.llm.queries import SURROGATE_KEY, TOXIC_CHAIN, chain_labels
 from logsieve.llm.runtime import Scratch, fresh_name
 
@@ -35,12 +35,14 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least id, ids before none; five-word shingles.
+    """One document of each group of near copies: the one with the least id, ids before none.
+
+    Near copies share at least 0.8 of their five-word shingles (Jaccard), verified on each link.
 
     Of rows that repeat an id and a text one stays.
     """
     scratch = Scratch(spark, "documents")
-    found = golay.near_components(docs, scratch, shingle=5)
+    found = near_texts.near_components(docs, scratch)
     first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r"))
     kept = scratch.save(first.select(F.col("r.id").alias("id"), F.col("r.h").alias("h")), "kept")
     ident, text = fresh_name(docs.columns, "ident"), fresh_name(docs.columns, "text_hash")

@@ -1,0 +1,197 @@
+"""Near-duplicate texts by the Jaccard similarity of their word shingles, found through Golay-decoded SimHashes.
+
+The SimHash of a text's distinct shingles has SEGMENTS segments of 23 bits. Each segment gives the codewords
+that it, or it with one bit changed, decodes to. Texts that share a codeword in each of two segments are
+candidates: at a similarity of 0.8 one bit in seven differs, so single segments often fail, but seldom all
+pairs of them. Candidates are screened by differing bits and size, then verified on their shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logsieve.llm.components import components
+from logsieve.llm.golay import segment_keys
+from logsieve.llm.runtime import Scratch, ship
+
+SEGMENTS, BITS = 4, 23
+PAIRS = list(combinations(range(SEGMENTS), 2))
+LOOSE = 26  # of 92 bits; at a similarity of 0.8 the mean is 14 with a deviation of 3.4
+SMALL, BLOCK = 48, 1024  # members of a bucket compared in one expression, and of a part of a larger one
+TOGETHER = 1 << 16
+KEYS = len(PAIRS) << 24
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """(n, 16) bytes: hashes of the distinct shingles. Words are split at ASCII white space, A-Z lower-cased."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros((0, 16), np.uint8)
+    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - size + 1)
+    starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[-n:].tolist()
+    found = {xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts, stops, strict=True)}
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+
+
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two halves of SEGMENTS * BITS / 2 bits, each bit set in over half the hashes; zero without any."""
+    votes = np.zeros(128, np.int64)
+    for i in range(0, len(hashes), TOGETHER):
+        votes += np.unpackbits(hashes[i : i + TOGETHER], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits, half = (votes * 2 > len(hashes)).astype(np.int64), SEGMENTS * BITS // 2
+    places = 1 << np.arange(half, dtype=np.int64)
+    return int(bits[:half] @ places), int(bits[half : 2 * half] @ places)
+
+
+def _prints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column("text").to_pylist():
+                hashes = shingles(text, size)
+                made.append((*fingerprint(hashes), len(hashes)))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *columns], ["id", "h", "lo", "hi", "n"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.sort(shingles(t, size).view("<u8")[:, 0]).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(made, pa.binary())], ["h", "hashes"])
+
+    return run
+
+
+def pair_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): all keys of two segments together."""
+    words = [half >> (BITS * s) & ((1 << BITS) - 1) for half in (lo, hi) for s in range(SEGMENTS // 2)]
+    found = [segment_keys(w, BITS) for w in words]
+    keys = []
+    for p, (i, j) in enumerate(PAIRS):
+        a, b = found[i][:, :, None], found[j][:, None, :]
+        keys.append(np.where((a >= 0) & (b >= 0), p << 24 | a << 12 | b, -1).reshape(len(lo), -1))
+    table = np.concatenate(keys, axis=1)
+    rows, columns = np.nonzero(table >= 0)
+    return rows, table[rows, columns].astype(np.int32)
+
+
+def _keyed(shared=None):
+    """Keys of each node; of all, or of those whose bit is set in `shared` together with the node's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+            for i in range(0, len(lo), 2048):
+                rows, keys = pair_keys(lo[i : i + 2048], hi[i : i + 2048])
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+                    continue
+                bits = shared.value
+                met = (bits[keys >> 3] >> (keys & 7) & 1).astype(bool)
+                at = pa.array(rows[met] + i)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[met]), *(c.take(at) for c in batch.columns)], ["key", *batch.schema.names])
+
+    return run
+
+
+def _nearest(least: float):
+    """Edges of a spanning forest over the members of a block, by fewest differing bits (Prim's algorithm)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("name").sort_values("name")
+        name, n = group["name"].to_numpy(), group["n"].to_numpy()
+        halves = [group[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi")]
+        far = 1 << 20
+        best, parent, waiting = np.full(len(name), far), np.zeros(len(name), np.int64), np.ones(len(name), bool)
+        at, edges = 0, []
+        for _ in range(len(name) - 1):
+            waiting[at] = False
+            bits = sum(np.bitwise_count(half ^ half[at]).astype(np.int64) for half in halves)
+            bits[np.minimum(n, n[at]) < least * np.maximum(n, n[at])] = far
+            closer = waiting & (bits < best)
+            best[closer], parent[closer] = bits[closer], at
+            at = int(np.where(waiting, best, far + 1).argmin())
+            if best[at] <= LOOSE:
+                edges.append((parent[at], at))
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": name[pairs.min(axis=1)] if len(pairs) else name[:0], "b": name[pairs.max(axis=1)] if len(pairs) else name[:0]})
+
+    return run
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted arrays of distinct hashes; 1 for two empty ones."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [jaccard(x, y) >= least for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
+
+
+def candidates(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(a, b) pairs of nodes (name, lo, hi, n) to be verified, each once.
+
+    Buckets of up to SMALL members give every pair that passes the screen. Larger ones are cut into parts that
+    meet two by two; each meeting gives a spanning forest of the closest members, not its pairs. Which keys
+    are shared is a bit array of fixed size (KEYS bits), whatever the number of texts.
+    """
+    spark = nodes.sparkSession
+    nodes = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small table yields very many keys
+    keys = nodes.select("lo", "hi").mapInArrow(_keyed(), "key int")
+    sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    slot = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("key") % 32))
+    words = sizes.groupBy((F.col("key") / 32).cast("int").alias("word")).agg(F.bit_or(slot).alias("bits")).toArrow()
+    bits = np.zeros(KEYS // 32, "<u4")
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
+    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+    met = nodes.select("name", "lo", "hi", "n").mapInArrow(_keyed(shared), "key int, name long, lo long, hi long, n long").join(sizes, "key")
+    apart = lambda x, y: F.bit_count(x["lo"].bitwiseXOR(y["lo"])) + F.bit_count(x["hi"].bitwiseXOR(y["hi"]))
+    alike = lambda x, y: (y["name"] > x["name"]) & (apart(x, y) <= LOOSE) & (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"]))
+    small = met.where(F.col("members") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("name", "lo", "hi", "n")).alias("m"))
+    found = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: alike(x, y)), lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b")))))
+    pairs = small.select(F.explode(found).alias("p")).select("p.a", "p.b")
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    cut = met.where(F.col("members") > SMALL).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    blocks = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "name", "lo", "hi", "n", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    forest = blocks.groupBy("key", "i", "j").applyInPandas(_nearest(least), "a long, b long")
+    return pairs.union(forest).distinct()
+
+
+def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, h, label) per row: h is a hash of the text, label names the group of texts linked at `least` or more.
+
+    A null text counts as empty; all texts without words are one group. Rows with a null id take part. Texts
+    with equal fingerprints and equal numbers of shingles are one node from the start, so copies cost nothing.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    made = rows.mapInArrow(_prints(size), "id long, h long, lo long, hi long, n long")
+    made = scratch.save(made.withColumn("name", F.xxhash64("lo", "hi", "n")), "rows")
+    nodes = scratch.save(made.groupBy("name").agg(*(F.min(c).alias(c) for c in ("lo", "hi", "n", "h"))), "nodes")
+    pairs = scratch.save(candidates(nodes, scratch, least), "pairs")
+    needed = nodes.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").select("name", "h")
+    found = rows.select("h", "text").join(needed.select("h"), "h", "left_semi").mapInArrow(_sets(size), "h long, hashes binary").groupBy("h").agg(F.min("hashes").alias("hashes"))
+    sets = scratch.save(needed.join(found, "h").select("name", "hashes"), "sets")
+    one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
+    links = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_verify(least), "a long, b long")
+    grouped = components(scratch.save(links, "links"), scratch)
+    return made.join(grouped, made.name == grouped.node, "left").select("id", "h", F.coalesce("component", "name").alias("label"))

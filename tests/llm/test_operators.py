@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logsieve.llm import byte_bpe, fuzzy_lines, golay, hyperplanes, langid, neighbours, packing, queries, secret_ledger, simhash_tables, surrogates, toxicity
+from logsieve.llm import byte_bpe, fuzzy_lines, golay, hyperplanes, langid, near_texts, neighbours, packing, queries, secret_ledger, simhash_tables, surrogates, toxicity
 from logsieve.llm.components import components
 from logsieve.llm.runtime import Scratch
 
@@ -236,6 +236,37 @@ def test_golay_query_against_brute_force(spark, scratch, odd, tmp_path, small, m
     assert Counter(map(tuple, got)) == Counter((d, f"{p:016x}", least[x]) for (d, p), x in zip(rows, label, strict=True))
 
 
+@pytest.mark.parametrize("small", [48, 1])
+def test_near_texts_against_brute_force(spark, scratch, odd, small, monkeypatch):
+    monkeypatch.setattr(near_texts, "SMALL", small)
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rnd.randrange(900)}" for _ in range(rnd.randrange(60, 300))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.06):
+            texts.append(" ".join(f"z{rnd.randrange(9)}" if rnd.random() < share else w for w in words))
+    docs = odd.union(spark.createDataFrame([(100 + i, t, "y", 1.0) for i, t in enumerate(texts)], odd.schema))
+    label = {(r.id, r.h): r.label for r in near_texts.near_components(docs, scratch).collect()}
+    rows = [(r.doc_id, r.h, set(map(bytes, near_texts.shingles(r.text, 5)))) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i][2], rows[j][2])]
+    same = [(i, j) for i in range(len(rows)) for j in range(i) if label[rows[i][:2]] == label[rows[j][:2]]]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in close:
+        parent[root(i)] = root(j)
+    assert all(root(i) == root(j) for i, j in same)  # nothing is joined that no chain of true links joins
+    assert len(set(close) & set(same)) >= 0.9 * len(close) > 60
+    assert label[1, 42] == label[2, rows[1][1]] == label[3, rows[2][1]]  # null, empty, blank
+    assert near_texts.near_components(empty(docs), scratch).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_edit_distance(a, b):
