@@ -295,6 +295,28 @@ def test_lines(spark, scratch, odd, small, monkeypatch):
     assert fuzzy_lines.dedup_lines(empty(docs), scratch).count() == 0
 
 
+def test_lines_with_replaced_words_against_brute_force(spark, scratch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghiklmnoprstuvwz", k=rnd.randrange(4, 10)))
+    lines = []
+    for n in (6, 8, 12, 20, 40, 80) * 5:
+        words = [word() for _ in range(n)]
+        lines.append(" ".join(words))
+        for changes in (1, max(1, n // 8)):
+            again = list(words)
+            for i in rnd.sample(range(n), changes):
+                again[i] = word()
+            lines.append(" ".join(again))
+    rnd.shuffle(lines)
+    close = {(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.similar(lines[i], lines[j], 0.8)}
+    label = list(range(len(lines)))
+    for i, j in close:
+        label = [label[j] if x == label[i] else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    left = sum(r.text != "" for r in fuzzy_lines.dedup_lines(docs, scratch).collect())
+    assert len(close) > 50 and len(set(label)) <= left <= len(set(label)) + 1
+
+
 def test_vectors_against_brute_force(spark, scratch, monkeypatch):
     monkeypatch.setattr(hyperplanes, "BLOCK", 16)
     rng = np.random.default_rng(1)
