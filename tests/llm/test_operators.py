@@ -317,6 +317,13 @@ def test_lines_with_replaced_words_against_brute_force(spark, scratch):
     assert len(close) > 50 and len(set(label)) <= left <= len(set(label)) + 1
 
 
+def test_lines_of_few_words(spark, scratch):
+    chinese = "这本书讲述了一个关于山中老人和他三个儿子的古老故事每年春天都会在村里重新讲一遍"
+    rows = [(1, f"{chinese}\nall rights reserved\nyes"), (2, chinese.replace("山中", "海边")), (3, "All rights reserved.\nyes"), (4, "天气很好我们一起去河边散步然后回家做饭\nyes"), (5, "all sights reversed, or\n好的")]
+    got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "yes", 4: rows[3][1], 5: rows[4][1]}
+
+
 def test_vectors_against_brute_force(spark, scratch, monkeypatch):
     monkeypatch.setattr(hyperplanes, "BLOCK", 16)
     rng = np.random.default_rng(1)
