@@ -5,7 +5,7 @@ distinct unit of the corpus gets one replacement, drawn with a key from the valu
 format and length for numbers (cards keep a valid or invalid check digit), same gender and script for
 given names, same script for surnames. Candidates that equal another unit's replacement, or any value that
 really occurs, are drawn again, so different units stay different, and a unit looks the same wherever it
-occurs: in another format, after a title, or alone later in the text.
+occurs: in another format, after a title, or alone in the text, given names as well as surnames.
 """
 
 from __future__ import annotations
@@ -55,14 +55,19 @@ def kind_of(entity: Column) -> Column:
     )
 
 
+def _is_title(word: Column) -> Column:
+    return F.array_contains(_words(t for g in TITLES.values() for t in g), F.lower(F.rtrim(word, F.lit("."))))
+
+
 def hits(text: Column) -> tuple[Column, Column]:
     """(entities in order, the pattern that finds them): names found once are also found alone."""
     first = F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
     people = F.filter(first, lambda e: kind_of(e) == "PERSON")
-    surnames = F.array_distinct(F.transform(people, lambda e: F.element_at(F.split(e, " "), -1)))
-    alone = F.array_join(F.transform(surnames, lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "|")
-    pattern = F.when(F.size(surnames) > 0, F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), alone, F.lit(r")(?!\p{L})"))).otherwise(F.lit(ENTITY))
-    return F.when(F.size(surnames) > 0, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(first), pattern
+    every = F.array_distinct(F.flatten(F.transform(people, lambda e: F.split(e, " "))))
+    names = F.filter(every, lambda w: ~_is_title(w))
+    alone = F.array_join(F.transform(names, lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "|")
+    pattern = F.when(F.size(names) > 0, F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), alone, F.lit(r")(?!\p{L})"))).otherwise(F.lit(ENTITY))
+    return F.when(F.size(names) > 0, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(first), pattern
 
 
 def units(entity: Column) -> Column:
@@ -72,7 +77,6 @@ def units(entity: Column) -> Column:
     canon = F.when(kind == "EMAIL", F.lower(entity)).when(kind == "IP", entity).otherwise(plain)
     words = F.split(entity, " ")
     bare = lambda w: F.rtrim(w, F.lit("."))
-    title = lambda w: F.array_contains(_words(t for g in TITLES.values() for t in g), F.lower(bare(w)))
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "CYRILLIC").otherwise("LATIN")
     led = lambda g: F.array_contains(_words(TITLES[g]), F.lower(bare(F.element_at(words, 1))))
 
@@ -84,12 +88,19 @@ def units(entity: Column) -> Column:
         guessed = F.when(i == F.size(words) - 1, F.concat(F.lit("SURNAME_"), script(w))).otherwise(F.concat(F.lit("GIVEN_"), gender, F.lit("_"), script(w)))
         last = (i == F.size(words) - 1) & (F.size(words) > 1)
         of_kind = F.when(last, F.concat(F.lit("SURNAME_"), script(w))).otherwise(F.coalesce(listed, guessed))
-        return F.struct(i.cast("int").alias("unit"), F.when(title(w), None).otherwise(of_kind).alias("kind"), F.lower(w).alias("canon"))
+        return F.struct(i.cast("int").alias("unit"), F.when(_is_title(w), None).otherwise(of_kind).alias("kind"), F.lower(w).alias("canon"))
 
     person = F.filter(F.transform(words, of), lambda u: u["kind"].isNotNull())
     return F.when(kind == "PERSON", person).otherwise(F.array(F.struct(F.lit(0).alias("unit"), kind.alias("kind"), canon.alias("canon"))))
 
 
+def _as_named(unit: Column, entity: Column) -> Column:
+    """A word that stands alone has the kind that it has in the first person of its text (column named) with it."""
+    before = F.get(F.filter("named", lambda n: n["canon"] == unit["canon"]), F.lit(0))["kind"]
+    alone = ~F.contains(entity, F.lit(" ")) & unit["kind"].rlike("^(GIVEN|SURNAME)_")
+    return F.struct(unit["unit"].alias("unit"), F.when(alone, F.coalesce(before, unit["kind"])).otherwise(unit["kind"]).alias("kind"), unit["canon"].alias("canon"))
+
+
 def draw(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     """A candidate for (kind, canon); other for each attempt."""
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, canon, F.lit(str(attempt))), 512)
@@ -180,7 +191,10 @@ def replace_entities(docs: DataFrame, scratch: Scratch, key: str, id_col: str =
     text, ident = (F.col(f"c{docs.columns.index(c)}") for c in (text_col, id_col))
     keyed = plain.withColumn("id", ident.cast("string")).withColumn("text", text).withColumn("h", F.xxhash64("id", "text"))
     searched = keyed.select("id", "h", hits(F.col("text"))[0].alias("hits")).where(F.size("hits") > 0)
-    found = searched.select("id", "h", F.posexplode("hits").alias("at", "entity")).select("id", "h", "at", "entity", F.explode(units(F.col("entity"))).alias("u"))
+    people = F.filter("hits", lambda e: F.contains(e, F.lit(" ")) & (kind_of(e) == "PERSON"))
+    searched = searched.select("id", "h", "hits", F.flatten(F.transform(people, units)).alias("named"))
+    each = searched.select("id", "h", "named", F.posexplode("hits").alias("at", "entity"))
+    found = each.select("id", "h", "at", "entity", F.explode(F.transform(units(F.col("entity")), lambda u: _as_named(u, F.col("entity")))).alias("u"))
     found = scratch.save(found.select("id", "h", "at", "entity", "u.unit", "u.kind", "u.canon"), "found")
     chosen = scratch.save(choose(found, scratch, key), "chosen")
     named = found.join(chosen, ["kind", "canon"]).groupBy("id", "h", "at", "entity").agg(F.map_from_entries(F.collect_set(F.struct("unit", "surrogate"))).alias("chosen"))

@@ -362,6 +362,16 @@ def test_surrogates(spark, scratch, odd):
     assert surrogates.replace_entities(empty(docs), scratch, "k").count() == 0
 
 
+def test_given_names_that_recur_alone(spark, scratch):
+    rows = [(1, "Mary Jones met Mr. John Smith. Mary said John was late; Smith agreed."), (2, "Herr Zoltan Bauer came. Zoltan left, Dr Bauer stayed."), (3, "A text with no person, mary or zoltan.")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), scratch, "k").collect()}
+    m = re.fullmatch(r"(\w+) (\w+) met Mr\. (\w+) (\w+)\. (\w+) said (\w+) was late; (\w+) agreed\.", got[1])
+    assert m and m[1] == m[5] in surrogates.GIVEN["GIVEN_F_LATIN"] and m[3] == m[6] in surrogates.GIVEN["GIVEN_M_LATIN"] and m[4] == m[7]
+    assert not {"Mary", "Jones", "John", "Smith"} & set(re.findall(r"\w+", got[1]))
+    m = re.fullmatch(r"Herr (\w+) (\w+) came\. (\w+) left, Dr (\w+) stayed\.", got[2])
+    assert m and m[1] == m[3] != "Zoltan" and m[2] == m[4] != "Bauer" and got[3] == rows[2][1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 2048), max_size=60), st.sampled_from(["norm", "dot"]))
 def test_every_capacity_holds(lengths, rule):
