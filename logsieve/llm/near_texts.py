@@ -147,11 +147,53 @@ def _verify(least: float):
     return run
 
 
-def candidates(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """(a, b) pairs of nodes (name, lo, hi, n) to be verified, each once.
+def _near(group: pd.DataFrame, least: float):
+    """For each member, by position: the later members that pass the screen and have another label."""
+    label, n = group["label"].to_numpy(), group["n"].to_numpy()
+    halves = [group[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi")]
+    for at in range(len(group) - 1):
+        bits = sum(np.bitwise_count(half[at + 1 :] ^ half[at]).astype(np.int64) for half in halves)
+        sized = np.minimum(n[at + 1 :], n[at]) >= least * np.maximum(n[at + 1 :], n[at])
+        yield at, np.flatnonzero((bits <= LOOSE) & sized & (label[at + 1 :] != label[at])) + at + 1
+
+
+def _undecided(least: float):
+    """Members of a block that pass the screen with a member of another label."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("name").sort_values("name")
+        taken = np.zeros(len(group), bool)
+        for at, others in _near(group, least):
+            taken[others] = True
+            taken[at] |= len(others) > 0
+        return group[taken]
+
+    return run
+
+
+def _decided(least: float):
+    """Verified links that join the labels of a block as all its pairs that pass the screen would."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        name, label, hashes = group["name"].to_numpy(), group["label"].to_numpy().copy(), group["hashes"].tolist()
+        edges = []
+        for at, others in _near(group, least):
+            for j in others.tolist():
+                if label[at] != label[j] and jaccard(hashes[at], hashes[j]) >= least:
+                    label[label == label[j]] = label[at]
+                    edges.append((name[at], name[j]))
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def candidates(nodes: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of nodes (name, lo, hi, n) to be verified, each once; and the blocks of crowded buckets.
 
     Buckets of up to SMALL members give every pair that passes the screen. Larger ones are cut into parts that
-    meet two by two; each meeting gives a spanning forest of the closest members, not its pairs. Which keys
+    meet two by two; each meeting is a block and gives a spanning forest of the closest members, not its pairs; what that leaves
+    undecided is settled once the forest is verified. Which keys
     are shared is a bit array of fixed size (KEYS bits), whatever the number of texts.
     """
     spark = nodes.sparkSession
@@ -170,10 +212,11 @@ def candidates(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     found = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: alike(x, y)), lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b")))))
     pairs = small.select(F.explode(found).alias("p")).select("p.a", "p.b")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    cut = met.where(F.col("members") > SMALL).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    crowded = scratch.save(met.where(F.col("members") > SMALL), "crowded")
+    cut = crowded.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     blocks = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "name", "lo", "hi", "n", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
     forest = blocks.groupBy("key", "i", "j").applyInPandas(_nearest(least), "a long, b long")
-    return pairs.union(forest).distinct()
+    return pairs.union(forest).distinct(), blocks
 
 
 def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -187,11 +230,25 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     made = rows.mapInArrow(_prints(size), "id long, h long, lo long, hi long, n long")
     made = scratch.save(made.withColumn("name", F.xxhash64("lo", "hi", "n")), "rows")
     nodes = scratch.save(made.groupBy("name").agg(*(F.min(c).alias(c) for c in ("lo", "hi", "n", "h"))), "nodes")
-    pairs = scratch.save(candidates(nodes, scratch, least), "pairs")
-    needed = nodes.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").select("name", "h")
-    found = rows.select("h", "text").join(needed.select("h"), "h", "left_semi").mapInArrow(_sets(size), "h long, hashes binary").groupBy("h").agg(F.min("hashes").alias("hashes"))
-    sets = scratch.save(needed.join(found, "h").select("name", "hashes"), "sets")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        needed = nodes.join(names.distinct(), "name", "left_semi").select("name", "h")
+        found = rows.select("h", "text").join(needed.select("h"), "h", "left_semi").mapInArrow(_sets(size), "h long, hashes binary").groupBy("h").agg(F.min("hashes").alias("hashes"))
+        return scratch.save(needed.join(found, "h").select("name", "hashes"), "sets")
+
+    pairs, blocks = candidates(nodes, scratch, least)
+    pairs = scratch.save(pairs, "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("name")).union(pairs.select("b")))
     one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_verify(least), "a long, b long")
-    grouped = components(scratch.save(links, "links"), scratch)
+    links = scratch.save(links, "links")
+    grouped = components(links, scratch)
+    # a forest edge that failed may have hidden a pair that holds: blocks that still have near members apart check them all
+    labels = nodes.select("name").join(grouped, nodes.name == grouped.node, "left").select("name", F.coalesce("component", "name").alias("label"))
+    apart = blocks.join(scratch.save(labels, "labels"), "name").select("key", "i", "j", "name", "lo", "hi", "n", "label")
+    undecided = scratch.save(apart.groupBy("key", "i", "j").applyInPandas(_undecided(least), apart.schema), "undecided")
+    if not undecided.isEmpty():
+        again = undecided.join(sets_of(undecided.select("name")), "name")
+        more = again.groupBy("key", "i", "j").applyInPandas(_decided(least), "a long, b long")
+        grouped = components(scratch.save(links.union(more), "links"), scratch)
     return made.join(grouped, made.name == grouped.node, "left").select("id", "h", F.coalesce("component", "name").alias("label"))

@@ -267,6 +267,19 @@ def test_near_texts_against_brute_force(spark, scratch, odd, small, monkeypatch)
     assert near_texts.near_components(empty(docs), scratch).count() == 0
 
 
+def test_near_texts_of_a_crowd_do_not_depend_on_its_size(spark, scratch, monkeypatch):
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(304)]
+    texts = [" ".join(f"z{rnd.randrange(5000)}" if rnd.random() < share else w for w in words) for share in (rnd.uniform(0.004, 0.044) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for small in (1, 1000):
+        monkeypatch.setattr(near_texts, "SMALL", small)
+        found.append({r.id: r.label for r in near_texts.near_components(docs, scratch).collect()})
+    print(len(set(found[0].values())), len(set(found[1].values())))
+    assert found[0] == found[1] and 1 < len(set(found[0].values())) < 150
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_edit_distance(a, b):
