@@ -1,8 +1,9 @@
 """Column expressions that cut SQL text into tokens.
 
-The patterns use no lookaround and no unbounded repetition of groups, so matching needs a
-fixed amount of stack however long a literal or comment is. To get there, two-character
-sequences that would need such a repetition are first replaced by one control character.
+The patterns use no lookaround, and the one unbounded repetition of a group, over the parts of a
+dotted name, is possessive, which Java matches in a loop; so matching needs a fixed amount of stack
+however long a name, literal or comment is. To get there, two-character sequences that would need
+another such repetition are first replaced by one control character.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from pyspark.sql import functions as F
 # stand-in character -> the text it replaces, in order of replacement
 QUOTE_PAIR, COMMENT_END, BACKSLASH_PAIR, BACKSLASH_QUOTE = "\x01", "\x05", "\x03", "\x04"
 BLANK = r" \t\r\n\f\x0B"
+ANY_PARTS = "*+"
 
 
-def token_pattern(bracket_names: bool) -> str:
-    """Regular expression for one token; ``[name]`` is a name only in some dialects."""
+def token_pattern(bracket_names: bool, parts: str = "{0,7}") -> str:
+    """Regular expression for one token; ``[name]`` is a name only in some dialects.
+
+    ``parts`` is how often a further part of a name may follow. The SQL oracles keep the default:
+    their engine knows no possessive repetition.
+    """
     name = r'[\p{L}_@][\p{L}\p{N}_$@]*|"[^"]*"|`[^`]*`'
     if bracket_names:
         name += r"|\[[^\]]*\]"
@@ -26,7 +32,7 @@ def token_pattern(bracket_names: bool) -> str:
             r"/\*[^\x05]*\x05",
             r"\x01*'[^']*'",
             r"\x01+",
-            rf"(?:{name})(?:\.(?:{name})){{0,7}}(?:\.\*)?",
+            rf"(?:{name})(?:\.(?:{name})){parts}(?:\.\*)?",
             r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?",
             r"<=>|->>|<=|>=|<>|!=|==|\|\||::|->|=>|:=",
             rf"[^{BLANK}]",
@@ -57,8 +63,8 @@ def token_array(sql: Column, backslash_escapes: Column, bracket_names: Column) -
     """All tokens of a text in order, comments dropped."""
     text = shield(sql, backslash_escapes)
     found = F.when(
-        bracket_names, F.regexp_extract_all(text, F.lit(token_pattern(True)), F.lit(0))
-    ).otherwise(F.regexp_extract_all(text, F.lit(token_pattern(False)), F.lit(0)))
+        bracket_names, F.regexp_extract_all(text, F.lit(token_pattern(True, ANY_PARTS)), F.lit(0))
+    ).otherwise(F.regexp_extract_all(text, F.lit(token_pattern(False, ANY_PARTS)), F.lit(0)))
     return F.filter(found, lambda t: ~(t.startswith("--") | t.startswith("/*")))
 
 

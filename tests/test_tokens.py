@@ -20,6 +20,15 @@ def test_literals_and_names(spark):
     ]
 
 
+def test_names_of_many_parts(spark):
+    deep = ".".join("abcdefghijkl")
+    assert toks(spark, f"SELECT {deep}, {deep}.* FROM t")[1:4] == [(deep, "path"), (",", "op"), (f"{deep}.*", "path")]
+    assert toks(spark, f"SELECT {'[x y].' * 11}z FROM t", "MSSQL")[1] == ("[x y]." * 11 + "z", "path")
+    very = ".".join(["part"] * 20_000)
+    assert toks(spark, f"SELECT {very} FROM t")[1] == (very, "path")
+    assert found(spark, [f"SELECT a FROM t WHERE {deep} = {deep} LIMIT 1"]) == [["L015"]]
+
+
 def test_dialects(spark):
     assert toks(spark, 'SELECT "a"', "MySQL")[1] == ('"a"', "str")
     assert toks(spark, 'SELECT "a"', "oracle")[1] == ('"a"', "path")
