@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import byte_bpe, fuzzy_lines, golay, hyperplanes, langid, neighbours, packing, secret_ledger, simhash_tables, surrogates, toxicity
+from logsieve.llm import (
+    byte_bpe, filter_audit, fuzzy_lines, golay, hyperplanes, langid, lexical_search, neighbours, packing, secret_ledger, simhash_tables, surrogates, toxicity,
+)
 from logsieve.llm.runtime import Scratch
 
 TOXIC_CHAIN = ("low_quality", "toxic")
@@ -111,11 +113,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), Scratch(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "search")
+    lists = scratch.save(lexical_search.index(documents(spark, sf_dir)), "index")
+    return lexical_search.search(lists, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.document_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(masks, "ABCDE", ("good", "toxic"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_language, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_golay, op7_lines, op8_hyperplanes, op9_surrogates, op10_packing]
+    named = [op1_toxicity, op2_language, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_golay, op7_lines, op8_hyperplanes, op9_surrogates, op10_packing, op11_search, op12_filter_audit]
     return {f.__name__: f for f in named}
 
 
 def llm_oracles() -> dict[str, str]:
     """Queries that SQL can express at whole-table cost; the others are tested against brute force."""
-    return {}
+    return {"op11_search": lexical_search.SEARCH_SQL, "op12_filter_audit": filter_audit.AUDIT_SQL}
