@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.llm import (
-    byte_bpe, filter_audit, fuzzy_lines, golay, hyperplanes, langid, lexical_search, neighbours, packing, secret_ledger, simhash_tables, surrogates, toxicity,
+    byte_bpe, filter_audit, fuzzy_lines, golay, hyperplanes, langid, lexical_search, neighbours, packing, pstable, secret_ledger, simhash_tables, surrogates, toxicity,
 )
 from logsieve.llm.runtime import Scratch
 
@@ -124,8 +124,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masks, "ABCDE", ("good", "toxic"))
 
 
+def op13_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pstable.nearest(vectors, F.col("id") % 20 == 0, Scratch(spark, "nearest"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_language, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_golay, op7_lines, op8_hyperplanes, op9_surrogates, op10_packing, op11_search, op12_filter_audit]
+    named = [op1_toxicity, op2_language, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_golay, op7_lines, op8_hyperplanes, op9_surrogates, op10_packing, op11_search, op12_filter_audit, op13_pstable]
     return {f.__name__: f for f in named}
 
 
