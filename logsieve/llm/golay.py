@@ -5,9 +5,11 @@ fingerprint is cut into three segments, each padded to a word. The codewords tha
 with one bit changed, decodes to are its keys (one to six). Two segments within two bits share a key:
 some word is within one bit of both. With at most five differing bits in all, two of the three segments
 have at most two each, so keys of two segments together find every pair; the pair is then verified.
-With at most four, those two segments have at most two together: none and up to two, or one each. Then keys
-are enough in which one segment's codeword is its own. Where a segment is equal, its own codeword goes with
-the other's shared key; with one bit each, the one text's own codeword goes with the other text's own.
+Those keys have 24 bits, and chance meetings grow with the square of the table. With at most four differing bits, longer
+keys do (33 to 36 bits). Either some segment is equal, and one of the other two has at most two differing bits: the key is that
+segment itself with a codeword shared in the other one. Or each segment differs, two of them in one bit and
+the third in one or two: the key is a codeword of all three. There it is enough to make those keys in which one codeword is the
+segment's own: (one shared, the own one of the one text, the own one of the other) is among the keys of both.
 """
 
 from __future__ import annotations
@@ -66,20 +68,27 @@ def segment_keys(words: np.ndarray, bits: int) -> np.ndarray:
     return keys
 
 
-def pair_keys(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): all keys of two segments together, for unsigned 64-bit fingerprints."""
-    segments, low = [], 0
+def bucket_keys(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): all keys of unsigned 64-bit fingerprints; two within the radius have one in common."""
+    words, near, own, low = [], [], [], 0
     for bits in SEGMENTS:
-        words = (prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        keys = segment_keys(words, bits)
-        segments.append((keys, keys == decode(words)[:, None]))
+        part = (prints >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        words.append(part)
+        near.append(segment_keys(part, bits))
+        own.append(near[-1] == decode(part)[:, None])
         low += bits
-    keys = []
-    for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (a, own_a), (b, own_b) = (segments[i][0][:, :, None], segments[i][1][:, :, None]), (segments[j][0][:, None, :], segments[j][1][:, None, :])
-        useful = (a >= 0) & (b >= 0) & (own_a | own_b | (radius > 4))
-        keys.append(np.where(useful, p << 24 | a << 12 | b, -1).reshape(len(prints), -1))
-    table = np.concatenate(keys, axis=1)
+    made = []
+    if radius > 4:
+        for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+            a, b = near[i][:, :, None], near[j][:, None, :]
+            made.append(np.where((a >= 0) & (b >= 0), kind << 40 | a << 12 | b, -1))
+    else:
+        for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+            made.append(np.where(near[j] >= 0, kind << 40 | words[i][:, None] << 12 | near[j], -1))
+        x, y, z = near[0][:, :, None, None], near[1][:, None, :, None], near[2][:, None, None, :]
+        some_own = own[0][:, :, None, None] | own[1][:, None, :, None] | own[2][:, None, None, :]
+        made.append(np.where((x >= 0) & (y >= 0) & (z >= 0) & some_own, 6 << 40 | x << 24 | y << 12 | z, -1))
+    table = np.concatenate([m.reshape(len(prints), -1) for m in made], axis=1)
     rows, columns = np.nonzero(table >= 0)
     return rows, table[rows, columns]
 
@@ -125,8 +134,8 @@ def _keyed(radius: int):
         for batch in batches:
             prints = batch.column("fingerprint").to_numpy()
             for i in range(0, len(prints), 4096):
-                rows, keys = pair_keys(prints[i : i + 4096].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[i : i + 4096][rows])], ["key", "fingerprint"])
+                rows, keys = bucket_keys(prints[i : i + 4096].view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[i : i + 4096][rows])], ["key", "fingerprint"])
 
     return run
 
@@ -157,7 +166,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
         raise ValueError("two segments have at most two differing bits each only up to a radius of 5")
     ship(prints.sparkSession)
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table yields very many keys
-    keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed(radius), "key int, fingerprint long")
+    keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed(radius), "key long, fingerprint long")
     sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     small = keys.join(sizes.where(F.col("n") <= SMALL), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("f"))
@@ -183,8 +192,10 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     rows = scratch.save(fingerprints(docs, F.col(text_col), shingle, id=F.col(id_col).cast("long"), h=F.xxhash64(text_col)), "rows")
     prints = scratch.save(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "prints")
-    found = components(scratch.save(links(prints, scratch, radius), "pairs").select("a", "b"), scratch)
+    pairs = scratch.save(links(prints, scratch, radius), "pairs")
+    found = components(pairs, scratch)
     labelled = scratch.save(prints.join(found, prints.fingerprint == found.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("label")), "labelled")
     names = labelled.groupBy("label").agg(F.min("least").alias("component"))
     named = scratch.save(labelled.join(names, "label").select(F.col("fingerprint").alias("print"), "label", "component"), "named")
+    scratch.drop(prints, pairs, labelled)
     return rows.join(named, rows.fingerprint == named.print).select("id", "h", "fingerprint", "label", "component")

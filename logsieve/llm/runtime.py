@@ -51,12 +51,18 @@ class Scratch:
         saved.scratch_path = path
         return saved
 
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table.scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables of the job, once what was made of them has been written."""
+        self._delete(self.path)
 
 
 def fresh_name(taken: Iterable[str], base: str) -> str:

@@ -16,8 +16,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from logsieve.llm import byte_bpe, fuzzy_lines, golay, hyperplanes, langid, near_texts, neighbours, packing, queries, secret_ledger, simhash_tables, surrogates, toxicity
+from logsieve.llm import byte_bpe, fuzzy_lines, golay, hyperplanes, langid, neighbours, packing, queries, secret_ledger, simhash_tables, surrogates, toxicity
 from logsieve.llm.components import components
 from logsieve.llm.runtime import Scratch
 
@@ -195,7 +196,7 @@ def test_golay_keys_meet_within_the_radius(radius):
     rnd = random.Random(2)
     a = [rnd.getrandbits(64) for _ in range(4000)]
     b = [x ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(radius + 1))) for x in a]
-    keys = lambda x: (lambda rows, k: [set(k[rows == i].tolist()) for i in range(len(x))])(*golay.pair_keys(np.array(x, np.uint64), radius))
+    keys = lambda x: (lambda rows, k: [set(k[rows == i].tolist()) for i in range(len(x))])(*golay.bucket_keys(np.array(x, np.uint64), radius))
     assert all(x & y for x, y in zip(keys(a), keys(b), strict=True))
     words = np.arange(1 << 14) * 509 % (1 << 23)
     parity, _ = golay._decoder()
@@ -236,50 +237,6 @@ def test_golay_query_against_brute_force(spark, scratch, odd, tmp_path, small, m
     assert Counter(map(tuple, got)) == Counter((d, f"{p:016x}", least[x]) for (d, p), x in zip(rows, label, strict=True))
 
 
-@pytest.mark.parametrize("small", [48, 1])
-def test_near_texts_against_brute_force(spark, scratch, odd, small, monkeypatch):
-    monkeypatch.setattr(near_texts, "SMALL", small)
-    rnd = random.Random(6)
-    texts = []
-    for _ in range(40):
-        words = [f"w{rnd.randrange(900)}" for _ in range(rnd.randrange(60, 300))]
-        texts.append(" ".join(words))
-        for share in (0.01, 0.02, 0.06):
-            texts.append(" ".join(f"z{rnd.randrange(9)}" if rnd.random() < share else w for w in words))
-    docs = odd.union(spark.createDataFrame([(100 + i, t, "y", 1.0) for i, t in enumerate(texts)], odd.schema))
-    label = {(r.id, r.h): r.label for r in near_texts.near_components(docs, scratch).collect()}
-    rows = [(r.doc_id, r.h, set(map(bytes, near_texts.shingles(r.text, 5)))) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
-    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-    close = [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i][2], rows[j][2])]
-    same = [(i, j) for i in range(len(rows)) for j in range(i) if label[rows[i][:2]] == label[rows[j][:2]]]
-    parent = list(range(len(rows)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in close:
-        parent[root(i)] = root(j)
-    assert all(root(i) == root(j) for i, j in same)  # nothing is joined that no chain of true links joins
-    assert len(set(close) & set(same)) >= 0.9 * len(close) > 60
-    assert label[1, 42] == label[2, rows[1][1]] == label[3, rows[2][1]]  # null, empty, blank
-    assert near_texts.near_components(empty(docs), scratch).count() == 0
-
-
-def test_near_texts_of_a_crowd_do_not_depend_on_its_size(spark, scratch, monkeypatch):
-    rnd = random.Random(11)
-    words = [f"w{rnd.randrange(5000)}" for _ in range(304)]
-    texts = [" ".join(f"z{rnd.randrange(5000)}" if rnd.random() < share else w for w in words) for share in (rnd.uniform(0.004, 0.044) for _ in range(150))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = []
-    for small in (1, 1000):
-        monkeypatch.setattr(near_texts, "SMALL", small)
-        found.append({r.id: r.label for r in near_texts.near_components(docs, scratch).collect()})
-    print(len(set(found[0].values())), len(set(found[1].values())))
-    assert found[0] == found[1] and 1 < len(set(found[0].values())) < 150
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_edit_distance(a, b):
@@ -418,6 +375,19 @@ def test_chunked_encoding_equals_the_whole(text):
     assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "a", "bc", " ", "  ", "\n", "é"]), max_size=12).map("".join))
+def test_ids_with_the_name_of_a_special_token(text):
+    """The ids are those that the library gives for the whole text by default."""
+    encoder = ENCODERS.setdefault(0, None) or packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ENCODERS[0] = encoder
+    plain = ENCODERS.setdefault(1, None) or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ENCODERS[1] = plain
+    assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    hello = np.frombuffer(next(encoder.encode(["hello <|endoftext|> world"])), "<u4").tolist()
+    assert hello == [31373, 220, 50256, 995]
+
+
 ENCODERS: dict = {}
 
 
