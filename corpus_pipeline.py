@@ -11,13 +11,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import fuzzy_lines, near_texts, packing, surrogates, toxicity
+from logsieve.llm import fuzzy_lines, golay, packing, surrogates, toxicity
 from logsieve.llm.queries import SURROGATE_KEY, TOXIC_CHAIN, chain_labels
 from logsieve.llm.runtime import Scratch, fresh_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+_LEFT: dict[str, list[Scratch]] = {}  # of each application: tables of a stage whose output the next one reads
+
+
+def _input_is_written(spark: SparkSession) -> None:
+    """Delete what the stage before wrote on the way."""
+    left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+    while left:
+        left.pop().clear()
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A place for a stage's tables, until the next stage begins."""
+    _input_is_written(spark)
+    place = Scratch(spark, name)
+    _LEFT[spark.sparkContext.applicationId].append(place)
+    return place
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -31,18 +49,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each group of equal or similar lines left in one place only."""
-    return _recounted(fuzzy_lines.dedup_lines(docs, Scratch(spark, "lines")).select(*docs.columns))
+    return _recounted(fuzzy_lines.dedup_lines(docs, _scratch(spark, "lines")).select(*docs.columns))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id, ids before none.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard), verified on each link.
-
-    Of rows that repeat an id and a text one stays.
+    Near copies have SimHash fingerprints of four-word shingles that differ in at most four bits. Documents without
+    a word have fingerprint 0 and are near copies of each other. Of rows that repeat an id and a text one stays.
     """
-    scratch = Scratch(spark, "documents")
-    found = near_texts.near_components(docs, scratch)
+    scratch = _scratch(spark, "documents")
+    found = golay.near_components(docs, scratch, shingle=4, radius=4)
     first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r"))
     kept = scratch.save(first.select(F.col("r.id").alias("id"), F.col("r.h").alias("h")), "kept")
     ident, text = fresh_name(docs.columns, "ident"), fresh_name(docs.columns, "text_hash")
@@ -53,11 +70,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for personal data."""
-    return _recounted(surrogates.replace_entities(docs, Scratch(spark, "surrogates"), SURROGATE_KEY).select(*docs.columns))
+    return _recounted(surrogates.replace_entities(docs, _scratch(spark, "surrogates"), SURROGATE_KEY).select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
+    _input_is_written(spark)
     return packing.pack(docs, Scratch(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -69,7 +87,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: No stage but the last could be put in SQL; the whole is tested against a brute-force version.
+#: Models, hashes and tokenizers have no SQL form; the operators are tested one by one against brute force.
 ORACLE_SQL = None
 
 
@@ -77,6 +95,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, over documents; what lies between is written to the shared folder."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        made = scratch.save(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
