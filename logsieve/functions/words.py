@@ -14,6 +14,13 @@ RESERVED = [
     "OVER", "PARTITION", "ASC", "DESC", "TABLESAMPLE", "PIVOT", "UNPIVOT",
 ]
 
+# Reserved words that are names where an operand is expected, and what may stand before one.
+SOMETIMES_NAMES = ["INDEX", "VIEW", "SET", "PARTITION"]
+BEFORE_OPERAND = [
+    "SELECT", "DISTINCT", "WHERE", "AND", "OR", "NOT", "ON", "BY", "HAVING", "CASE", "WHEN", "THEN",
+    "ELSE", "BETWEEN", ",", "(", "=", "==", "<>", "!=", "<", "<=", ">", ">=", "+", "-", "*", "/", "%", "||",
+]
+
 # Words that may start a statement; an opening parenthesis may too.
 STATEMENT_VERBS = [
     "SELECT", "WITH", "VALUES", "TABLE", "(",
@@ -46,6 +53,13 @@ OPAQUE_CALLS = [
     "OVERLAY", "CEIL", "FLOOR", "IN", "OVER", "USING", "ANY", "ALL", "SOME", "EXISTS", "VALUES",
     "CUBE", "ROLLUP", "SETS",
 ]
+# Those after which an opening parenthesis follows without a blank when a text is printed again.
+CALL_PRINTED = [
+    "CAST", "TRY_CAST", "SAFE_CAST", "CONVERT", "EXTRACT", "TRIM", "SUBSTRING", "POSITION",
+    "OVERLAY", "CEIL", "FLOOR",
+]
+# Words that begin the main part of a statement after its WITH list.
+MAIN_VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "VALUES", "TABLE"]
 # Reserved words that are functions when a parenthesis follows.
 FUNCTION_WORDS = ["LEFT", "RIGHT"]
 JOIN_MODIFIERS = ["INNER", "LEFT", "RIGHT", "FULL", "OUTER", "CROSS", "NATURAL", "SEMI", "ANTI"]
@@ -62,6 +76,8 @@ AFTER_CONDITION = [
     "INTERSECT", "EXCEPT", "MINUS", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL",
     "WINDOW", "QUALIFY", "FOR",
 ]
+# Words besides those of PART_WORDS that no operand reaches across.
+SLICE_ENDS = [";", "FOR", "CROSS", "NATURAL", "INNER", "FULL", "OUTER", "PARTITION", "OVER", "INTO"]
 # Clause words whose label is the word itself.
 OTHER_CLAUSES = [
     "WHERE", "HAVING", "LIMIT", "OFFSET", "FETCH", "WINDOW", "QUALIFY", "SET", "VALUES",

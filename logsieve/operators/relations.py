@@ -78,18 +78,27 @@ def column_refs(tokens: DataFrame) -> DataFrame:
 
 
 def comparisons(tokens: DataFrame) -> DataFrame:
-    """Binary comparisons with the words on both sides."""
-    return tokens.filter((F.col("role") == "cmp") & F.col("sel").isNotNull()).select(
-        "text_id",
-        F.col("stmt").cast("int").alias("stmt"),
-        "sel",
-        "pos",
-        F.col("tok").alias("op"),
-        F.col("prev_u").alias("left_word"),
-        F.col("next_u").alias("right_word"),
-        "clause",
-        "math_operand",
-    )
+    """Binary comparisons with both operands, of any length, as they stand in the text.
+
+    One aggregate per text holds its tokens once; each comparison then takes its two slices of them.
+    """
+    place = F.struct(
+        F.col("stmt").cast("int").alias("stmt"), "sel", "pos", F.col("tok").alias("op"),
+        "left_from", "right_to", "clause", "math_operand", "same_sides",
+    )
+    compared = F.collect_list(F.when((F.col("role") == "cmp") & F.col("sel").isNotNull(), place))
+    per_text = tokens.groupBy("text_id").agg(compared.alias("found"), F.collect_list(F.struct("pos", "tok")).alias("toks"))
+    every = per_text.where(F.size("found") > 0).select(
+        "text_id", "found", F.transform(F.array_sort("toks"), lambda t: t["tok"]).alias("toks")
+    )
+    each = every.select("text_id", "toks", F.explode("found").alias("c"))
+    words_of = lambda start, end: F.array_join(F.slice("toks", start + 1, F.greatest(end - start, F.lit(0))), " ")
+    return each.select(
+        "text_id", "c.stmt", "c.sel", "c.pos", "c.op",
+        words_of(F.col("c.left_from"), F.col("c.pos")).alias("left_operand"),
+        words_of(F.col("c.pos") + 1, F.col("c.right_to").cast("int") + 1).alias("right_operand"),
+        "c.clause", "c.math_operand", "c.same_sides",
+    )
 
 
 def projection_items(tokens: DataFrame) -> DataFrame:

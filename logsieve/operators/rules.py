@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.operators.tokens import FILTER_CLAUSES, LINTED_CLAUSES
+from logsieve.functions import words
+from logsieve.operators.tokens import FILTER_CLAUSES, LINTED_CLAUSES, is_query_statement
 
 
 def last_name(tok: Column) -> Column:
@@ -53,6 +54,9 @@ def _rules() -> list[tuple]:
         ("L015", "", hint("L015") & linted, pos, expr, none, none),
         ("L016", "", hint("L016") & c("base") & (c("marker") == "ON") & ~c("free_join"), pos, reached,
          none, none),
+        ("L016", "", c("same_sides") & c("u").isin("=", "==") & (c("before_left") == "ON") & c("base")
+         & (c("after_right").isNull() | c("after_right").isin(words.AFTER_CONDITION)) & (c("clause") == "ON")
+         & ~c("free_join"), c("left_from") - 1, reached, none, none),
         ("L016", "", hint("join") & c("base") & block
          & ~F.coalesce(c("after_join").isin("ON", "USING"), F.lit(False)), pos, reached, none, none),
         ("L017", "", hint("ordinal") & c("base") & (c("clause") == "ORDER")
@@ -64,7 +68,7 @@ def _rules() -> list[tuple]:
         ("L024", "", (c("scope_kind") == "scalar") & (c("clause") == "SELECT"), pos, expr, none, none),
         ("L025", "", (c("pk") == "plain") & (c("next_close") == c("close") - 1)
          & c("clause").isin(*LINTED_CLAUSES, "ON"), pos, expr, none, none),
-        ("L026", "", ends & block & c("query_level") & c("verb").isin("SELECT", "WITH", "(")
+        ("L026", "", ends & block & c("query_level") & is_query_statement()
          & since(c("from_at"), sel) & ~since(c("limit_at"), scope) & ~since(c("setop_at"), scope),
          sel, reached, none, none),
     ]

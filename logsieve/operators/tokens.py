@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import words
-from logsieve.functions.lexing import token_array, token_kind, unshield
+from logsieve.functions.lexing import flat_text, lexemes, token_array, token_kind
 from logsieve.functions.memo import per_session
+from logsieve.functions.sequences import BASES, same_run, terms
 
 LINTED_CLAUSES = ["SELECT", "WHERE", "GROUP", "HAVING"]
 FILTER_CLAUSES = ["WHERE", "GROUP", "HAVING"]
@@ -28,6 +29,10 @@ def _level():
     return W.partitionBy("text_id", "lvl").orderBy("pos")
 
 
+def _expression():
+    return W.partitionBy("text_id", "xl").orderBy("pos")
+
+
 def _query():
     return W.partitionBy("text_id", "qd").orderBy("pos")
 
@@ -95,37 +100,79 @@ def ends_condition(t: str) -> Column:
     return F.col(f"{t}.u").isNull() | F.col(f"{t}.u").isin(words.AFTER_CONDITION)
 
 
+@per_session
+def _lower_words() -> Column:
+    return F.exists(
+        F.regexp_extract_all("sql", F.lit("[A-Za-z0-9_]+"), F.lit(0)),
+        lambda w: F.lower(w).isin(words.CASE_STYLE_WORDS) & (w != F.upper(w)),
+    )
+
+
+@per_session
+def _flat() -> Column:
+    return flat_text(F.col("sql"), F.col("dialect"))
+
+
+@per_session
+def _lexemes() -> Column:
+    return lexemes(F.col("flat"), F.col("dialect"))
+
+
+@per_session
+def _kept() -> Column:
+    return token_array(F.col("found"), F.col("flat"), F.col("dialect"))
+
+
+@per_session
+def _terms() -> list[Column]:
+    return terms(F.col("tok"), F.col("pos"))
+
+
+@per_session
+def _same_sides(size: int) -> Column:
+    left = [F.col(f"h{i}") - F.coalesce(f"from.h{i}", F.lit(0)) for i in range(size)]
+    right = [F.coalesce(f"to.h{i}", f"all{i}") - F.col(f"h{i}") - F.col(f"t{i}") for i in range(size)]
+    length = F.col("pos") - F.coalesce("from.pos", F.lit(-1))
+    until = F.coalesce("to.pos", "n_toks") - F.col("pos")
+    return (length > 1) & (length == until) & same_run(left, right, length)
+
+
 def explode_tokens(texts: DataFrame) -> DataFrame:
-    """One row per token of ``texts(text_id, sql, dq_is_string, backslash_escapes, brackets)``.
+    """One row per token of ``texts(text_id, dialect, sql)``.
 
     A text without any token keeps one row of kind ``none``.
     """
-    lower_words = F.exists(
-        F.regexp_extract_all("sql", F.lit("[A-Za-z0-9_]+"), F.lit(0)),
-        lambda w: F.lower(w).isin(words.CASE_STYLE_WORDS) & (w != F.upper(w)),
-    )
     return (
         # computed below the explode, so once per text and not once per token
-        texts.select(
-            "text_id",
-            "dq_is_string",
-            lower_words.alias("lower_words"),
-            token_array(F.col("sql"), F.col("backslash_escapes"), F.col("brackets")).alias("toks"),
-        )
-        .select("text_id", "dq_is_string", "lower_words", F.posexplode_outer("toks").alias("pos", "raw"))
+        texts.select("text_id", "dialect", _lower_words().alias("lower_words"), _flat().alias("flat"))
+        .select("*", _lexemes().alias("found"))
+        .select("text_id", "dialect", "lower_words", _kept().alias("toks"))
+        .select("text_id", "dialect", "lower_words", F.posexplode_outer("toks").alias("pos", "raw"))
         .select(
             "text_id",
             "lower_words",
             F.coalesce("pos", F.lit(0)).alias("pos"),
-            F.coalesce(unshield(F.col("raw")), F.lit("")).alias("tok"),
+            F.coalesce("raw", F.lit("")).alias("tok"),
             F.when(F.col("raw").isNull(), "none")
-            .otherwise(token_kind(F.col("raw"), F.col("dq_is_string")))
+            .otherwise(token_kind(F.col("raw"), F.col("dialect")))
             .alias("kind"),
         )
-        .withColumn("u", F.upper("tok"))
+        .withColumn("upper", F.upper("tok"))
+        .withColumn("u", F.when(_named_by_place(), F.concat(F.lit('"'), "upper", F.lit('"'))).otherwise(F.col("upper")))
+        .drop("upper")
     )
 
 
+def _named_by_place() -> Column:
+    """A reserved word that stands for a name here: an operand is due, and no further name follows."""
+    before, after = F.lag("upper").over(_text()), F.lead(F.struct("upper", "kind")).over(_text())
+    plain = (after["kind"] == "path") & ~after["upper"].isin(words.RESERVED)
+    return _flag(
+        (F.col("kind") == "path") & F.col("upper").isin(words.SOMETIMES_NAMES) & before.isin(words.BEFORE_OPERAND)
+        & ~_flag(plain | after["upper"].isin("(", "BY"))
+    )
+
+
 @per_session
 def _roles() -> Column:
     """What part the token plays in an expression, from its neighbours alone."""
@@ -188,9 +235,7 @@ def _hints() -> Column:
         | (p1.isin("INNER", "LEFT", "RIGHT", "FULL") & (p2 == "NATURAL"))
         | ((p1 == "OUTER") & (F.col("p3.u") == "NATURAL"))
     )
-    always_true = (n1.isin("TRUE", "1") & ends_condition("n2")) | (
-        (n2 == "=") & (F.col("n1.tok") == F.col("n3.tok")) & ends_condition("n4")
-    )
+    always_true = n1.isin("TRUE", "1") & ends_condition("n2")
     on_path = (
         F.when(u == "OR", "L003")
         .when(u == "LIKE", F.when(
@@ -276,7 +321,7 @@ def _fact_columns() -> tuple[dict, dict]:
         F.coalesce(F.when(left_free("p3"), literal("p2")), F.lit("other")),
     )
     glued = p1.isNull() | (p1.isin("(", "::")) | u.isin(",", ")", ";", "::") | (
-        (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.OPAQUE_CALLS[:11])))
+        (u == "(") & _flag(callable_ | (p1_path & p1.isin(words.CALL_PRINTED)))
     )
     is_open, is_close = F.col("tok") == "(", F.col("tok") == ")"
     return {"head": head, "role": _roles()}, {
@@ -307,7 +352,7 @@ def screen(tokens: DataFrame) -> DataFrame:
     near = tokens.select(
         "*",
         *[F.lag(here, i).over(_text()).alias(f"p{i}") for i in (1, 2, 3)],
-        *[F.lead(here, i).over(_text()).alias(f"n{i}") for i in (1, 2, 3, 4)],
+        *[F.lead(here, i).over(_text()).alias(f"n{i}") for i in (1, 2, 3)],
         F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0))
         .over(_upto(_text()))
         .alias("cum"),
@@ -321,7 +366,7 @@ def screen(tokens: DataFrame) -> DataFrame:
     last = F.col("n1.u").isNull()
     problem = (
         F.when(F.col("kind") == "bad", "unterminated quote")
-        .when((F.col("tok") == "/") & (F.col("n1.tok") == "*"), "unterminated comment")
+        .when(F.col("tok").startswith("/*"), "unterminated comment")
         .when((F.col("cum") < 0) | (last & (F.col("cum") != 0)), "unbalanced parenthesis")
         .when(F.col("first") & ~F.col("u").isin(words.STATEMENT_VERBS), "not a statement")
         .when(
@@ -334,9 +379,14 @@ def screen(tokens: DataFrame) -> DataFrame:
         near.withColumn("problem", problem)
         .withColumns(own)
         .withColumns(derived)
-        .drop("p1", "p2", "p3", "n1", "n2", "n3", "n4")
+        .drop("p1", "p2", "p3", "n1", "n2", "n3")
+    )
+    main_verbs = ", ".join(f"'{w}'" for w in words.MAIN_VERBS)
+    after_list = F.expr(
+        f"lead(CASE WHEN cum = 0 AND kind = 'path' AND u IN ({main_verbs}) THEN u END, 1) "
+        "IGNORE NULLS OVER (PARTITION BY text_id ORDER BY pos)"
     )
-    checked = facts.withColumns(
+    checked = facts.withColumn("main", F.when(F.col("first") & (F.col("u") == "WITH"), after_list)).withColumns(
         {
             "error": F.min(
                 F.when(F.col("problem").isNotNull(), F.struct("pos", F.col("problem").alias("code")))
@@ -344,6 +394,7 @@ def screen(tokens: DataFrame) -> DataFrame:
             .over(_whole(_text()))
             .getField("code"),
             "verb": _last(F.when(F.col("first"), F.col("u")), _upto(_text())),
+            "does": _last(F.when(F.col("first"), F.coalesce("main", "u")), _upto(_text())),
         }
     ).filter(F.col("error").isNull() | (F.col("pos") == 0))
     failed = F.col("error").isNotNull()
@@ -351,7 +402,7 @@ def screen(tokens: DataFrame) -> DataFrame:
              "cum": F.lit(0).cast("bigint"), "first": F.lit(False), "glued": F.lit(True),
              "called": F.lit(False), "in_next": F.lit(False), "distinct_next": F.lit(False)}
     cleared = ["head", "role", "word", "hint", "pk", "use", "src", "alias", "against", "stop",
-               "cte_name", "prev_u", "next_u", "verb"]
+               "cte_name", "prev_u", "next_u", "verb", "does"]
     return checked.select(
         "text_id",
         "pos",
@@ -401,6 +452,8 @@ def match_parentheses(tokens: DataFrame) -> DataFrame:
                 > F.col("pos")
             ),
             "in_case": F.sum(step(opens_case, ends_case)).over(_upto(_text())) > 0,
+            "xl": F.col("depth") + _int(is_open | is_close) + _int(ends_case)
+            + F.sum(step(opens_case, ends_case)).over(_upto(_text())),
             "next_close": F.lead(F.when(F.col("pk") == "plain", F.col("close")), 1).over(_text()),
             "prev_close": F.lag(F.when(F.col("pk") == "query", F.col("close")), 1).over(_text()),
         }
@@ -552,6 +605,52 @@ def cut_operands(tokens: DataFrame) -> DataFrame:
            "lo", "hi", "seg_lo", "seg_hi", "args", "ids", "ids_plain", "ids_total")
 
 
+def slice_operands(tokens: DataFrame) -> DataFrame:
+    """Where the two operands of each comparison begin and end, and whether they are the same tokens.
+
+    An expression level is what stands between two parentheses or between CASE and END; whatever is deeper belongs
+    to an operand as a whole. The left operand reaches back to the nearest looser operator (NOT, AND, OR, or
+    a word that begins another part), the right one on to the nearest that is not tighter.
+    """
+    u, role = F.col("u"), F.col("role")
+    bracket = F.col("pk").isNotNull() | u.isin(")", "CASE") | ((u == "END") & ~F.col("first"))
+    hard = _flag(bracket | (role == "part") | (F.col("word") == "SIDE") | u.isin("NOT", *words.SLICE_ENDS))
+    runs = range(len(BASES))
+    level = tokens.withColumns({"hard": hard} | {f"t{i}": t for i, t in enumerate(_terms())}).withColumns(
+        {f"h{i}": F.coalesce(F.sum(f"t{i}").over(_before(_text())), F.lit(0)) for i in runs}
+        | {f"all{i}": F.sum(f"t{i}").over(_whole(_text())) for i in runs}
+        | {"n_toks": F.count("*").over(_whole(_text()))}
+    )
+    of_between = _flag(_last(F.when(F.col("hard") | role.isin("and", "between"), role == "between"), _before(_expression())))
+    loose = F.col("hard") | (_flag(role == "and") & ~F.col("of_between"))
+    ends = "hard OR role IN ('and', 'cmp', 'opaque', 'between')"
+    sums = ", ".join(f"h{i}" for i in range(len(BASES)))
+    edged = level.withColumn("of_between", of_between).withColumn("loose", loose).withColumns(
+        {
+            "from": _last(F.when(F.col("loose"), F.struct("pos", "u", *[(F.col(f"h{i}") + F.col(f"t{i}")).alias(f"h{i}") for i in range(len(BASES))])), _before(_expression())),
+            "to": F.expr(f"lead(CASE WHEN {ends} THEN struct(pos, u, {sums}) END, 1) IGNORE NULLS OVER (PARTITION BY text_id, xl ORDER BY pos)"),
+        }
+    )
+    begins, stops = F.coalesce("from.pos", F.lit(-1)), F.coalesce("to.pos", "n_toks")
+    cmp_only = lambda c: F.when(role == "cmp", c)
+    return edged.withColumns(
+        {
+            "same_sides": _flag(cmp_only(_same_sides(len(BASES)))),
+            "left_from": cmp_only(begins + 1),
+            "right_to": cmp_only(stops - 1),
+            "before_left": cmp_only(F.col("from.u")),
+            "after_right": cmp_only(F.col("to.u")),
+        }
+    ).drop("hard", "of_between", "loose", "from", "to", "xl", "n_toks",
+           *[f"{c}{i}" for c in ("h", "t", "all") for i in range(len(BASES))])
+
+
+@per_session
+def is_query_statement() -> Column:
+    """The statement only reads; a WITH list may also lead to one that writes."""
+    return _flag(F.col("does").isin("SELECT", "WITH", "(", "VALUES", "TABLE") & F.col("verb").isin("SELECT", "WITH", "("))
+
+
 @per_session
 def scope_kind() -> Column:
     """What a query in parentheses is used as, from the words before it and its clause."""
@@ -591,7 +690,7 @@ def mark_visibility(tokens: DataFrame) -> DataFrame:
         F.col("close"),
     )
     uncounted_query = ~seen_query & (F.col("scope_kind") != "derived")
-    is_query = _flag(F.col("verb").isin("SELECT", "WITH", "("))
+    is_query = is_query_statement()
     inside = lambda c: _flag(F.max(c).over(_before(_text())) > F.col("pos"))
     headed = F.col("head").isNotNull()
     return (
@@ -616,4 +715,4 @@ def annotate(texts: DataFrame, partitions: int | None = None) -> DataFrame:
     """All token columns for distinct texts; unused ones are pruned by the optimizer."""
     n = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = explode_tokens(texts.repartition(n, "text_id"))
-    return mark_visibility(cut_operands(label_clauses(match_parentheses(screen(tokens)))))
+    return mark_visibility(slice_operands(cut_operands(label_clauses(match_parentheses(screen(tokens))))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsieve.operators import outputs, relations
 from logsieve.operators.catalog_rules import CATALOG_RULES, all_findings
-from logsieve.operators.rules import TOKEN_RULES, token_findings
+from logsieve.operators.rules import TOKEN_RULES, token_findings, token_hits
 from logsieve.operators.skew import attach_to_log
 from logsieve.operators.tokens import annotate
 from logsieve.sources.querylog import clean_log, distinct_texts, with_text_key
@@ -97,6 +97,16 @@ def analyse(log: DataFrame, catalog: DataFrame | None = None, parity: bool = Fal
     )
 
 
+def outcomes(log: DataFrame) -> DataFrame:
+    """Per logged query the error of its text, or the token rules found in it; one pass over the tokens."""
+    work = prepare(log)
+    found = F.flatten(F.collect_list(F.transform(token_hits(), lambda h: h["rule_id"])))
+    per_text = work.tokens.groupBy("text_id").agg(
+        F.max("error").alias("error"), F.array_join(F.array_sort(found), ",").alias("rules")
+    )
+    return work.per_query(per_text, "dialect")
+
+
 def clean_queries(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Logged queries that are well formed and have no error and no warning, with a catalog also none on names."""
     work = prepare(log)

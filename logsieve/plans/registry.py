@@ -15,7 +15,7 @@ from logsieve.plans import lint
 from logsieve.session import TABLES, table
 from logsieve.sources import catalog as catalogs
 from logsieve.sources.querylog import clean_log, dialect_dim, distinct_texts
-from logsieve.sources.samples import sample_ddl, sample_log, spread_dialects
+from logsieve.sources.samples import dialect_log, sample_ddl, sample_log, spread_dialects
 
 # Key columns of the test tables.
 KEY_COLUMNS = {
@@ -53,6 +53,10 @@ def dialect_usage(spark, sf_dir):
     )
 
 
+def dialect_lint(spark, sf_dir):
+    return lint.outcomes(dialect_log(table(spark, sf_dir, "events"))).select("query_id", "dialect", "error", "rules")
+
+
 def text_usage(spark, sf_dir):
     return distinct_texts(clean_log(events_log(spark, sf_dir))).select(
         F.col("first_query").alias("text_id"), "sql", "uses"
@@ -203,6 +207,7 @@ def lint_queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "source_log": source_log,
         "dialect_usage": dialect_usage,
+        "dialect_lint": dialect_lint,
         "text_usage": text_usage,
         "ddl_catalog": ddl_catalog,
         "live_catalog": live_catalog,

@@ -7,7 +7,6 @@ around a token, found by joining tokens to ranges. Only the word lists and templ
 from __future__ import annotations
 
 from logsieve.functions import words
-from logsieve.functions.lexing import token_pattern
 from logsieve.sources.dims import LABELS, MESSAGES, RULES
 from logsieve.sources.samples import TEMPLATES
 
@@ -29,8 +28,14 @@ log AS (
 texts AS (SELECT sql, min(query_id) AS text_id, count(*) AS uses FROM log GROUP BY sql),
 ids AS (SELECT query_id, ts, user_id, text_id FROM log JOIN texts USING (sql))"""
 
-_SHIELD = "replace(replace(sql, '''''', chr(1)), '*/', chr(5))"
-_UNSHIELD = "replace(replace(raw, chr(1), ''''''), chr(5), '*/')"
+# tokens of the generic dialect, for an engine that has neither possessive repetition nor back references
+_WORD = r'[\p{L}_@#][\p{L}\p{N}_$@#]*|"[^"]*"|`[^`]*`'
+_TOKEN = "|".join([
+    r"--[^\n]*", r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", r"[eE]'(?:[^'\\]|\\[\s\S]|'')*'", r"'(?:[^']|'')*'",
+    rf"(?:{_WORD})(?:[ \t\n]*\.[ \t\n]*(?:{_WORD}))*(?:[ \t\n]*\.[ \t\n]*\*)?",
+    r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?",
+    r"<=>|->>|<=|>=|<>|!=|==|\|\||::|->|=>|:=", r"[^ \t\r\n\f\x0B]",
+])
 CLOSING = ["END", "NULL", "TRUE", "FALSE", "CURRENT_DATE", "CURRENT_TIME", "CURRENT_TIMESTAMP"]
 OTHER_PARTS = [w for w in words.PART_WORDS if w not in ("DISTINCT", "FROM")]
 
@@ -57,18 +62,27 @@ lexed AS (
   SELECT text_id,
          len(list_filter(regexp_extract_all(sql, '[A-Za-z0-9_]+'),
              lambda w: lower(w) IN {among(words.CASE_STYLE_WORDS)} AND w <> upper(w))) > 0 AS lower_words,
-         list_filter(regexp_extract_all({_SHIELD}, {lit(token_pattern(False))}),
+         list_filter(regexp_extract_all(sql, {lit(_TOKEN)}),
              lambda t: NOT (starts_with(t, '--') OR starts_with(t, '/*'))) AS toks
   FROM texts),
 raws AS (
   SELECT text_id, lower_words, unnest(toks) AS raw, generate_subscripts(toks, 1) - 1 AS pos FROM lexed),
-tok0 AS (
-  SELECT text_id, lower_words, pos, {_UNSHIELD} AS tok, upper({_UNSHIELD}) AS u,
+tok00 AS (
+  SELECT text_id, lower_words, pos, CASE WHEN kind = 'path' THEN regexp_replace(raw, '[ \t\n]*\.[ \t\n]*', '.', 'g') ELSE raw END AS tok, kind
+  FROM (SELECT *,
     CASE WHEN raw IN ('''', '"', '`') THEN 'bad'
-         WHEN raw[1] IN ('''', chr(1)) THEN 'str'
-         WHEN raw[1] = '"' OR regexp_matches(raw, '^[\\p{{L}}_@`]') THEN 'path'
-         WHEN regexp_matches(raw, '^\\.?[0-9]') THEN 'num' ELSE 'op' END AS kind
-  FROM raws),
+         WHEN raw[1] = '''' OR regexp_matches(raw, '^[eE]''') THEN 'str'
+         WHEN raw[1] = '"' OR regexp_matches(raw, '^(?:[\p{{L}}_@`]|#.)') THEN 'path'
+         WHEN regexp_matches(raw, '^\.?[0-9]') THEN 'num' ELSE 'op' END AS kind
+  FROM raws)),
+tok01 AS (
+  SELECT *, upper(tok) AS up, lag(upper(tok)) OVER w AS bu, lead(upper(tok)) OVER w AS au, lead(kind) OVER w AS ak
+  FROM tok00 WINDOW w AS (PARTITION BY text_id ORDER BY pos)),
+tok0 AS (
+  SELECT text_id, lower_words, pos, tok, kind,
+    CASE WHEN kind = 'path' AND up IN {among(words.SOMETIMES_NAMES)} AND coalesce(bu IN {among(words.BEFORE_OPERAND)}, false)
+      AND coalesce(au NOT IN ('(', 'BY') AND (ak <> 'path' OR au IN {among(words.RESERVED)}), true) THEN '"' || up || '"' ELSE up END AS u
+  FROM tok01),
 tok1 AS (
   SELECT *,
     lag(u, 1) OVER w AS p1, lag(kind, 1) OVER w AS k1, lag(tok, 1) OVER w AS pt1,
@@ -93,7 +107,11 @@ problems AS (
     END AS code FROM tok2),
 bad_texts AS (SELECT text_id, arg_min(code, pos) AS error FROM problems WHERE code IS NOT NULL GROUP BY text_id),
 t AS MATERIALIZED (SELECT * FROM tok2 ANTI JOIN bad_texts USING (text_id)),
-stmts AS (SELECT text_id, stmt, pos AS start_pos, u AS verb FROM t WHERE first),
+stmts AS (
+  SELECT *, verb IN ('SELECT', 'WITH', '(') AND coalesce(verb <> 'WITH' OR main IN ('SELECT', 'VALUES', 'TABLE'), true) AS reads
+  FROM (SELECT text_id, stmt, arg_min(pos, pos) FILTER (first) AS start_pos, arg_min(u, pos) FILTER (first) AS verb,
+      arg_min(u, pos) FILTER (cum = 0 AND kind = 'path' AND NOT first AND u IN {among(words.MAIN_VERBS)}) AS main
+    FROM t GROUP BY text_id, stmt) WHERE verb IS NOT NULL),
 par AS MATERIALIZED (
   SELECT o.text_id, o.stmt, o.pos AS open_pos, min(c.pos) AS close_pos, any_value(o.depth) AS depth,
     CASE WHEN any_value(o.n1) IN ('SELECT', 'WITH') THEN 'query'
@@ -111,10 +129,11 @@ around AS (
   FROM t LEFT JOIN par p ON p.text_id = t.text_id AND p.open_pos <= t.pos AND t.pos <= p.close_pos
   GROUP BY ALL),
 case_level AS (
-  SELECT text_id, pos, sum(CASE WHEN u = 'CASE' THEN 1 WHEN u = 'END' AND NOT first THEN -1 ELSE 0 END)
-    OVER (PARTITION BY text_id ORDER BY pos) > 0 AS in_case FROM t),
+  SELECT text_id, pos, case_up, case_up > 0 AS in_case FROM (
+    SELECT text_id, pos, sum(CASE WHEN u = 'CASE' THEN 1 WHEN u = 'END' AND NOT first THEN -1 ELSE 0 END)
+      OVER (PARTITION BY text_id ORDER BY pos) AS case_up FROM t)),
 s AS (
-  SELECT t.*, a.call_open, a.in_opaque, cl.in_case, st.verb, p.pk, p.close_pos,
+  SELECT t.*, a.call_open, a.in_opaque, cl.in_case, cl.case_up, st.verb, st.reads, p.pk, p.close_pos,
     coalesce(a.query_open + 1, st.start_pos) AS scope, q.close_pos AS scope_end,
     coalesce(q.depth + 1, 0) AS bd,
     t.depth = coalesce(q.depth + 1, 0) AS base,
@@ -225,9 +244,9 @@ hidden AS (
          WHEN pk = 'opaque' THEN true ELSE seg_opaque END AS shut
   FROM k0 WHERE pk IS NOT NULL),
 k AS MATERIALIZED (
-  SELECT k0.*, k0.verb IN ('SELECT', 'WITH', '(') AND NOT EXISTS (
+  SELECT k0.*, k0.reads AND NOT EXISTS (
       SELECT 1 FROM hidden h WHERE h.text_id = k0.text_id AND h.shut AND h.open_pos < k0.pos AND k0.pos < h.close_pos) AS reached,
-    k0.verb IN ('SELECT', 'WITH', '(') AND NOT EXISTS (
+    k0.reads AND NOT EXISTS (
       SELECT 1 FROM hidden h WHERE h.text_id = k0.text_id AND h.shut AND coalesce(h.scope_kind <> 'derived', true)
         AND h.open_pos < k0.pos AND k0.pos < h.close_pos) AS counted,
     coalesce(clause IN ('SELECT', 'WHERE', 'GROUP', 'HAVING'), false) AS in_linted,
@@ -235,6 +254,33 @@ k AS MATERIALIZED (
   FROM k0)"""
 )
 
+#: Operands of comparisons: per comparison the nearest looser token before it, the nearest that is not tighter after it,
+#: both at its own level of parentheses and CASE, found by joining comparisons to such tokens.
+OPERANDS = f"""
+lv AS (
+  SELECT *, coalesce(role = 'part' OR u IN {among([")", "CASE", "NOT", *words.SLICE_ENDS])} OR tok = '(' OR (u = 'END' AND NOT first)
+      OR (kind = 'path' AND marker = 'FROM' AND u <> 'FROM' AND coalesce(n1 <> '(', true)), false) AS hard,
+    depth + (tok IN ('(', ')'))::INT + (u = 'END' AND NOT first)::INT + case_up AS xl
+  FROM k),
+ands AS (
+  SELECT a.text_id, a.pos, arg_max(m.role, m.pos) IS NOT DISTINCT FROM 'between'
+      AND NOT arg_max(m.hard, m.pos) AS of_between
+  FROM lv a LEFT JOIN lv m ON m.text_id = a.text_id AND m.xl = a.xl AND m.pos < a.pos AND (m.hard OR m.role IN ('and', 'between'))
+  WHERE a.role = 'and' GROUP BY ALL),
+stops AS (
+  SELECT lv.text_id, xl, lv.pos, u, hard OR (role = 'and' AND NOT of_between) AS loose
+  FROM lv LEFT JOIN ands USING (text_id, pos) WHERE hard OR role IN ('and', 'cmp', 'opaque', 'between')),
+sizes AS (SELECT text_id, max(pos) + 1 AS n_toks FROM k GROUP BY text_id),
+ends AS (
+  SELECT c.text_id, c.pos, coalesce(max(z.pos) FILTER (z.pos < c.pos AND z.loose), -1) AS lo, min(z.pos) FILTER (z.pos > c.pos) AS hi
+  FROM lv c LEFT JOIN stops z ON z.text_id = c.text_id AND z.xl = c.xl WHERE c.role = 'cmp' GROUP BY ALL),
+operands AS (
+  SELECT e.text_id, e.pos, any_value(lo) AS lo, any_value(hi) AS hi,
+    coalesce(list(t.tok ORDER BY t.pos) FILTER (t.pos < e.pos), []) AS lefts,
+    coalesce(list(t.tok ORDER BY t.pos) FILTER (t.pos > e.pos), []) AS rights
+  FROM ends e JOIN sizes USING (text_id)
+  LEFT JOIN t ON t.text_id = e.text_id AND t.pos > e.lo AND t.pos < coalesce(e.hi, n_toks) GROUP BY ALL)"""
+
 _LEFT = lambda u: _not_in(u, words.BINDING_BEFORE)
 _RIGHT = lambda u: _not_in(u, words.BINDING_AFTER + words.OPAQUE_PREDICATES)
 _END = lambda u: f"({u} IS NULL OR {u} IN {among(words.AFTER_CONDITION)})"
@@ -300,7 +346,11 @@ RULE_SQL = {
         AND coalesce(after_join NOT IN ('ON', 'USING'), true)""", "reached")
             + " UNION ALL "
             + _rule("L016", "''", f"""u = 'ON' AND marker = 'ON' AND base
-        AND ((n1 IN ('TRUE', '1') AND {_END('n2')}) OR (n2 = '=' AND nt1 = nt3 AND {_END('n4')}))
+        AND ((n1 IN ('TRUE', '1') AND {_END('n2')})
+          OR EXISTS (SELECT 1 FROM operands o JOIN k c ON c.text_id = o.text_id AND c.pos = o.pos
+               LEFT JOIN k z ON z.text_id = o.text_id AND z.pos = o.hi
+             WHERE o.text_id = k.text_id AND o.lo = k.pos AND c.u IN ('=', '==') AND len(o.lefts) > 0 AND o.lefts = o.rights
+               AND (z.u IS NULL OR z.u IN {among(words.AFTER_CONDITION)})))
         AND NOT coalesce((SELECT arg_max({_FREE.replace('p1', 'j.p1').replace('p2', 'j.p2').replace('p3', 'j.p3')}, j.pos)
           FROM k j WHERE j.text_id = k.text_id AND j.scope = k.scope AND j.base AND j.u = 'JOIN' AND j.pos < k.pos), true)""", "reached"),
     "L017": _rule("L017", "''", """base AND clause = 'ORDER' AND kind = 'num' AND p1 IN ('BY', ',')
@@ -316,7 +366,7 @@ RULE_SQL = {
     "L025": _rule("L025", "''", """pk = 'plain' AND clause IN ('SELECT', 'WHERE', 'GROUP', 'HAVING', 'ON')
         AND EXISTS (SELECT 1 FROM par q WHERE q.text_id = k.text_id AND q.open_pos = k.pos + 1 AND q.pk = 'plain'
           AND q.close_pos = k.close_pos - 1)""", _EXPR),
-    "L026": _rule("L026", "''", f"""{_STOPS} AND sel IS NOT NULL AND query_level AND verb IN ('SELECT', 'WITH', '(')
+    "L026": _rule("L026", "''", f"""{_STOPS} AND sel IS NOT NULL AND query_level AND reads
         AND from_at > sel AND NOT EXISTS (SELECT 1 FROM k l WHERE l.text_id = k.text_id AND l.stmt = k.stmt
           AND l.scope = k.scope AND (l.marker = 'LIMIT' OR (l.marker = 'SETOP' AND l.kind = 'path')))""", "reached", "sel"),
 }
@@ -438,11 +488,12 @@ MESSAGE_DIM = "message_dim(rule_id, variant, lang, message_tpl, advice_tpl) AS (
 LABEL_DIM = "label_dim(kind, code, lang, label) AS (VALUES " + ", ".join(
     "(" + ", ".join(lit(x) for x in row) + ")" for row in LABELS
 ) + ")"
-FOUND = "found AS (" + " UNION ALL ".join(f"({q})" for q in RULE_SQL.values()) + ")"
+FOUND = f"{OPERANDS}, found AS (" + " UNION ALL ".join(f"({q})" for q in RULE_SQL.values()) + ")"
 
 
 def rule_query(rule_id: str) -> str:
-    return f"""WITH {TOKENS}, hits AS ({RULE_SQL[rule_id]})
+    operands = f", {OPERANDS}" if rule_id == "L016" else ""
+    return f"""WITH {TOKENS}{operands}, hits AS ({RULE_SQL[rule_id]})
 SELECT ids.query_id, h.stmt, h.variant, h.pos, h.visible FROM ids JOIN hits h USING (text_id)"""
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from logsieve.functions import words
-from logsieve.sources.samples import DDL_TEMPLATES, DIALECT_SPELLINGS
+from logsieve.sources.samples import DDL_TEMPLATES, DIALECT_SPELLINGS, DIALECT_TEMPLATES
 from oracles.lint_sql import (
-    _AFTER_PAREN, CATALOG_CTE, COLUMN_REFS, FOUND, IS_TABLE, LABEL_DIM, LOG, MESSAGE_DIM, NAMES,
+    _AFTER_PAREN, CATALOG_CTE, COLUMN_REFS, FOUND, IS_TABLE, LABEL_DIM, LOG, MESSAGE_DIM, NAMES, OPERANDS,
     RULE_DIM, RULE_SQL, TABLE_REFS, TOKENS, among, lit, name_rule_query, rule_query,
 )
 
@@ -28,7 +28,7 @@ stat AS (
   GROUP BY texts.text_id)"""
 
 _SIDE = "(u IN ('INNER', 'LEFT', 'RIGHT', 'FULL', 'CROSS', 'NATURAL') AND kind = 'path' AND coalesce(n1 <> '(', true))"
-_CALLED = f"""(k1 = 'path' AND (p1 NOT IN {among(words.RESERVED)} OR p1 IN {among(words.FUNCTION_WORDS)} OR p1 IN {among(words.OPAQUE_CALLS[:11])}))"""
+_CALLED = f"""(k1 = 'path' AND (p1 NOT IN {among(words.RESERVED)} OR p1 IN {among(words.FUNCTION_WORDS)} OR p1 IN {among(words.CALL_PRINTED)}))"""
 FORMAT = f"""
 pieces AS (
   SELECT text_id, pos,
@@ -61,15 +61,15 @@ texts AS (SELECT sql, min(query_id) AS ddl_id FROM log GROUP BY sql)"""
 
 # What each DDL template defines, by template number: table, column, type, family, key.
 _DDL_RESULT = [
-    (0, "users", "id", "int", "numeric", False),
-    (1, "users", "id", "int", "numeric", False),
-    (1, "users", "name", "varchar", "string", False),
-    (2, "users", "id", "int", "numeric", False),
-    (2, "users", "name", "varchar", "string", False),
-    (2, "orders", "id", "int", "numeric", False),
-    (2, "orders", "user_id", "int", "numeric", False),
-    (3, "users", "id", "int", "numeric", True),
-    (3, "users", "name", "varchar", "string", False),
+    (0, "sensor", "code", "int", "numeric", False),
+    (1, "sensor", "code", "int", "numeric", False),
+    (1, "sensor", "place", "varchar", "string", False),
+    (2, "sensor", "code", "int", "numeric", False),
+    (2, "sensor", "place", "varchar", "string", False),
+    (2, "reading", "sensor_code", "int", "numeric", False),
+    (2, "reading", "degrees", "double", "numeric", False),
+    (3, "sensor", "code", "int", "numeric", True),
+    (3, "sensor", "place", "varchar", "string", False),
     (4, "t_{u}", "a", "bigint", "numeric", True),
     (4, "t_{u}", "b", "text", "string", True),
     (4, "t_{u}", "c", "decimal", "numeric", True),
@@ -83,6 +83,38 @@ _DDL_RESULT = [
     (9, "n_{u}", "size", "float", "numeric", False),
 ]
 
+# What the lexical rules of each dialect make of the dialect templates: error, or the rules found.
+# "*" stands for the dialects that are not named.
+_QUOTE, _OPEN, _CUT = "unterminated quote", "unterminated comment", "incomplete statement"
+_DIALECT_RESULT = [
+    {"*": "", "mysql": _QUOTE},
+    {"*": ""},
+    {"*": ""},
+    {"*": _QUOTE, "mysql": "", "bigquery": ""},
+    {"*": "L015", "mysql": "", "bigquery": ""},
+    {"*": "", "mssql": "L015", "sqlite": "L015"},
+    {"*": "L003", "mysql": _QUOTE, "bigquery": _QUOTE},
+    {"*": _QUOTE, "bigquery": ""},
+    {"*": "", "mysql": "L003"},
+    {"*": "L001,L026"},
+    {"*": _OPEN},
+    {"*": "L026", "mysql": _CUT, "bigquery": _CUT},
+    {"*": "L015"},
+    {"*": "L015"},
+    {"*": "L026", "mysql": _QUOTE},
+    {"*": "L003"},
+    {"*": _OPEN},
+]
+_DIALECT_NAMES = ["generic", "ansi", "postgresql", "mysql", "mssql", "bigquery", "sqlite"]
+_DIALECT_ROWS = [(n, d, r.get(d, r["*"])) for n, r in enumerate(_DIALECT_RESULT) for d in _DIALECT_NAMES]
+_DIALECT_LINT = f"""WITH expected(n, dialect, outcome) AS (VALUES {", ".join(str(r) for r in _DIALECT_ROWS)}),
+  named AS (SELECT event_id AS query_id, event_id % {len(DIALECT_TEMPLATES)} AS n,
+    lower(([{", ".join(lit(d) for d in DIALECT_SPELLINGS)}])[((event_id // {len(DIALECT_TEMPLATES)}) % {len(DIALECT_SPELLINGS)}) + 1]) AS d FROM events),
+  spoken AS (SELECT query_id, n, CASE WHEN d IN {among(_DIALECT_NAMES)} THEN d ELSE 'generic' END AS dialect FROM named)
+  SELECT query_id, dialect, CASE WHEN outcome LIKE '% %' THEN outcome END AS error,
+    CASE WHEN outcome LIKE '% %' THEN '' ELSE outcome END AS rules
+  FROM spoken JOIN expected USING (n, dialect)"""
+
 
 def lint_oracles() -> dict[str, str]:
     out = {
@@ -109,11 +141,14 @@ def lint_oracles() -> dict[str, str]:
         "table_references": f"""WITH {TOKENS}, {TABLE_REFS} SELECT text_id, stmt, sel::INT AS sel, pos::INT AS pos, alias, table_name, ref_kind, counted, reached FROM refs""",
         "column_references": f"""WITH {TOKENS}, {COLUMN_REFS} SELECT text_id, stmt, sel::INT AS sel, pos::INT AS pos,
             lower(qualifier) AS qualifier, column_name, clause, against, expr_visible AS linted_expr FROM cols""",
-        "comparison_operands": f"""WITH {TOKENS}, hits AS ({RULE_SQL["L012"]}),
+        "comparison_operands": f"""WITH {TOKENS}, {OPERANDS}, hits AS ({RULE_SQL["L012"]}),
           maths AS (SELECT text_id, pos FROM ({RULE_SQL["L012"].replace("role = 'cmp' AND in_filter", "role = 'cmp'")}) WHERE variant = 'math')
-          SELECT text_id, stmt, sel::INT AS sel, pos::INT AS pos, tok AS op, p1 AS left_word, n1 AS right_word, clause,
-            EXISTS (SELECT 1 FROM maths m WHERE m.text_id = k.text_id AND m.pos = k.pos) AS math_operand
-          FROM k WHERE role = 'cmp' AND sel IS NOT NULL""",
+          SELECT text_id, stmt, sel::INT AS sel, pos::INT AS pos, tok AS op, array_to_string(lefts, ' ') AS left_operand,
+            array_to_string(rights, ' ') AS right_operand, clause,
+            EXISTS (SELECT 1 FROM maths m WHERE m.text_id = k.text_id AND m.pos = k.pos) AS math_operand,
+            len(lefts) > 0 AND lefts = rights AS same_sides
+          FROM k JOIN operands USING (text_id, pos) WHERE role = 'cmp' AND sel IS NOT NULL""",
+        "dialect_lint": _DIALECT_LINT,
         "projection_sizes": f"""WITH {TOKENS} SELECT text_id, sel::INT AS sel, count(*) AS items, bool_and(counted) AS counted FROM k WHERE {_ITEM} AND sel IS NOT NULL GROUP BY text_id, sel""",
         "query_stats": f"""WITH {TOKENS}, {STATS} SELECT query_id, stat.* EXCLUDE (text_id), len(string_split(sql, chr(10)))::INT AS line_count,
             length(sql)::INT AS char_count FROM ids JOIN stat USING (text_id) JOIN texts USING (text_id)""",

@@ -36,6 +36,39 @@ def test_dialects(spark):
     assert toks(spark, "SELECT [a b].c", "MSSQL")[1] == ("[a b].c", "path")
 
 
+def test_marks_count_where_they_stand(spark):
+    """Hand-written tokens of each dialect."""
+    def words(sql, dialect):
+        return [t for t, _ in toks(spark, sql, dialect)]
+
+    assert words("SELECT $a$ it's $$ $a$, E'it\\'s' -- x'", "postgresql") == ["SELECT", "$a$ it's $$ $a$", ",", "E'it\\'s'"]
+    assert words("SELECT a--1, \"it's\" # it's", "mysql") == ["SELECT", "a", "-", "-", "1", ",", "\"it's\""]
+    assert words("SELECT '''it's''', \"\"\"a \"b\" c\"\"\"", "bigquery") == ["SELECT", "'''it's'''", ",", "\"\"\"a \"b\" c\"\"\""]
+    assert words("SELECT [it's]]x].[b c] FROM #tmp", "mssql") == ["SELECT", "[it's]]x].[b c]", "FROM", "#tmp"]
+    assert words("SELECT `it's` . \"a \"\" b\" . c", "sqlite") == ["SELECT", "`it's`.\"a \"\" b\".c"]
+    assert words("SELECT a - b # c", "ansi") == ["SELECT", "a", "-", "b", "#", "c"]
+
+
+def test_comments_in_comments_of_any_depth(spark):
+    deep = "SELECT 'a /*' /* " + "/* ' \" -- " * 3000 + "*/ " * 3000 + " */ , b /* c */ FROM t -- /* /*\nLIMIT 1"
+    assert [t for t, _ in toks(spark, deep)] == ["SELECT", "'a /*'", ",", "b", "FROM", "t", "LIMIT", "1"]
+    assert found(spark, ["SELECT a FROM t " + "/* " * 50 + "*/ " * 49 + "LIMIT 1"]) == [[]]
+    assert lint.stats(make_log(spark, ["SELECT a /* /* */ FROM t"])).first().error == "unterminated comment"
+
+
+def test_operands_of_any_length(spark):
+    sql = "SELECT a FROM t WHERE NOT f(a, b) + 2 * (c - 1) >= CASE WHEN d = 1 THEN 2 END AND x BETWEEN 1 AND 2 AND y = 3 OR z <> -w"
+    work = lint.prepare(make_log(spark, [sql]))
+    got = [(r.left_operand, r.op, r.right_operand) for r in relations.comparisons(work.tokens).orderBy("pos").collect()]
+    assert got == [
+        ("f ( a , b ) + 2 * ( c - 1 )", ">=", "CASE WHEN d = 1 THEN 2 END"), ("d", "=", "1"), ("y", "=", "3"), ("z", "<>", "- w"),
+    ]
+    long = " + ".join(f"c{i}" for i in range(4000))
+    assert found(spark, [f"SELECT a FROM t JOIN u ON {long} = {long} LIMIT 1", f"SELECT a FROM t JOIN u ON {long} = {long} + 1 LIMIT 1"]) == [
+        ["L009", "L016"], ["L009"],
+    ]
+
+
 def test_long_literals_and_comments(spark):
     long = "SELECT '" + "a''b" * 50_000 + "' /* " + "* x\n" * 50_000 + " */ FROM t LIMIT 1"
     assert found(spark, [long]) == [[]]
