@@ -169,12 +169,13 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
     keys = prints.select("fingerprint").repartition(tasks).mapInArrow(_keyed(radius), "key long, fingerprint long")
     sizes = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
-    small = keys.join(sizes.where(F.col("n") <= SMALL), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("f"))
+    # the shared keys grow with the table, so they are never broadcast; both joins read one shuffle of the keys
+    small = keys.join(sizes.where(F.col("n") <= SMALL).hint("merge"), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("f"))
     found = F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: (b > a) & near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = small.select(F.explode(found).alias("p")).select("p.a", "p.b")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    crowded = keys.join(sizes.where(F.col("n") > SMALL), "key").withColumn("parts", parts).withColumn("part", part)
+    crowded = keys.join(sizes.where(F.col("n") > SMALL).hint("merge"), "key").withColumn("parts", parts).withColumn("part", part)
     meet = crowded.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = meet.select("key", "fingerprint", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
     forest = blocks.groupBy("key", "i", "j").applyInPandas(_block_links(radius), "a long, b long")
