@@ -5,6 +5,7 @@ Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,10 +23,12 @@ _LEFT: dict[str, list[Scratch]] = {}  # of each application: tables of a stage w
 
 
 def _input_is_written(spark: SparkSession) -> None:
-    """Delete what the stage before wrote on the way."""
+    """Delete what the stage before wrote on the way; Spark deletes the shuffle files of plans that are collected."""
     left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
     while left:
         left.pop().clear()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _scratch(spark: SparkSession, name: str) -> Scratch:

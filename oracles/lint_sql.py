@@ -68,12 +68,12 @@ lexed AS (
 raws AS (
   SELECT text_id, lower_words, unnest(toks) AS raw, generate_subscripts(toks, 1) - 1 AS pos FROM lexed),
 tok00 AS (
-  SELECT text_id, lower_words, pos, CASE WHEN kind = 'path' THEN regexp_replace(raw, '[ \t\n]*\.[ \t\n]*', '.', 'g') ELSE raw END AS tok, kind
+  SELECT text_id, lower_words, pos, CASE WHEN kind = 'path' THEN regexp_replace(raw, '[ \\t\\n]*\\.[ \\t\\n]*', '.', 'g') ELSE raw END AS tok, kind
   FROM (SELECT *,
     CASE WHEN raw IN ('''', '"', '`') THEN 'bad'
          WHEN raw[1] = '''' OR regexp_matches(raw, '^[eE]''') THEN 'str'
-         WHEN raw[1] = '"' OR regexp_matches(raw, '^(?:[\p{{L}}_@`]|#.)') THEN 'path'
-         WHEN regexp_matches(raw, '^\.?[0-9]') THEN 'num' ELSE 'op' END AS kind
+         WHEN raw[1] = '"' OR regexp_matches(raw, '^(?:[\\p{{L}}_@`]|#.)') THEN 'path'
+         WHEN regexp_matches(raw, '^\\.?[0-9]') THEN 'num' ELSE 'op' END AS kind
   FROM raws)),
 tok01 AS (
   SELECT *, upper(tok) AS up, lag(upper(tok)) OVER w AS bu, lead(upper(tok)) OVER w AS au, lead(kind) OVER w AS ak
