@@ -277,7 +277,7 @@ def impact_queries() -> dict[str, Query]:
             _holes(c, "c_custkey", 10, "c_custkey"), holed(o), "c_custkey", "o_custkey")),
         "impact_not_in_rows": on_two("customer", "orders", lambda c, o: im.not_in(
             _holes(c.withColumn("id", F.col("c_custkey")), "id", 10, "c_custkey"),
-            o.filter("o_orderstatus = 'P'"), "c_custkey", "o_custkey").select("id")),
+            holed(o).filter("o_custkey IS NOT NULL"), "c_custkey", "o_custkey").select("id")),
         "impact_scalar_subquery": on_two("orders", "lineitem", lambda o, li: im.scalar_as_join(
             o.select("o_orderkey", "o_custkey"), li, "o_orderkey", "l_orderkey",
             F.max("l_extendedprice").alias("max_price"), F.max("l_shipdate").alias("last_ship"))),
