@@ -87,12 +87,21 @@ def not_exists(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
 
 def not_in_check(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """L008: rows of both forms and the NULLs that make them differ."""
-    return (
-        _count(not_in(left, right, left_key, right_key), "not_in")
-        .unionByName(_count(not_exists(left, right, left_key, right_key), "not_exists"))
-        .unionByName(_counts(left, left_nulls=F.col(left_key).isNull()))
-        .unionByName(_counts(right, right_nulls=F.col(right_key).isNull()))
+    n = F.count(F.lit(1))
+    a = left.groupBy(F.col(left_key).alias("k")).agg(n.alias("a"))  # each side is read once, and reduced before it moves
+    b = right.groupBy(F.col(right_key).alias("k")).agg(n.alias("b"))
+    both = a.alias("l").join(b.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), "full_outer")
+    total = lambda c, cond=F.lit(True): F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    key = F.coalesce("l.k", "r.k")
+    facts = both.agg(
+        total("a").alias("rows"), total("a", F.col("b").isNull() & key.isNotNull()).alias("alone"),
+        total("a", key.isNull()).alias("left_nulls"), total("b", key.isNull()).alias("right_nulls"), total("b").alias("others"),
+    )
+    kept = F.when(F.col("others") == 0, F.col("rows")).when(F.col("right_nulls") > 0, F.lit(0)).otherwise(F.col("alone"))
+    forms = facts.select(
+        kept.alias("not_in"), (F.col("alone") + F.col("left_nulls")).alias("not_exists"), "left_nulls", "right_nulls"
     )
+    return forms.unpivot([], forms.columns, "form", "rows")
 
 
 def scalar_as_join(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: str, *aggs: Column) -> DataFrame:
@@ -113,8 +122,13 @@ def union_dedup(left: DataFrame, right: DataFrame) -> DataFrame:
 def year_range(column: str, year: int) -> Column:
     """L012: ``year(column) = year`` as a range on the bare column, which can be pushed down."""
     c = F.col(column)
-    day = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
-    return (c >= day(year)) & (c < day(year + 1))
+    first, end = year_bounds(year)
+    return (c >= first) & (c < end)
+
+
+def year_bounds(year: int) -> tuple[Column, Column]:
+    first, end = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1))
+    return first, end
 
 
 def global_having(df: DataFrame, condition: Column, *aggs: Column) -> DataFrame:
@@ -169,15 +183,11 @@ def schema_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def castable_share(df: DataFrame, columns: dict[str, Column], to: str = "int") -> DataFrame:
     """L021: how many values of each string column would survive the implicit cast."""
-    values = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("column_name"), c.alias("value")) for n, c in columns.items()])
-    )
-    cast = F.col("v.value").try_cast(to)
-    return (
-        df.select(values.alias("v"))
-        .groupBy("v.column_name")
-        .agg(F.count("v.value").alias("n_values"), F.count(cast).alias("castable"))
-    )
+    counted = [
+        F.struct(F.lit(n).alias("column_name"), F.count(c).alias("n_values"), F.count(c.try_cast(to)).alias("castable"))
+        for n, c in columns.items()
+    ]
+    return df.agg(F.array(*counted).alias("all")).select(F.inline("all"))
 
 
 def column_layout(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,7 +225,12 @@ def guarded_rows(df: DataFrame, predicate: Column) -> DataFrame:
     return _counts(df, touched=F.lit(True), meant=predicate, protected=kept)
 
 
-def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """L026: page ``number`` (from 0) of the rows in a total order, with the number of rows without a bound."""
-    total = df.agg(F.count(F.lit(1)).alias("all_rows"))  # one row
-    return df.orderBy(*order).offset(size * number).limit(size).join(total)
+def comma_join(left: DataFrame, right: DataFrame, on: Column, by: str) -> DataFrame:
+    """L018: rows per value of ``by`` of the comma form and of the join with its condition.
+
+    The optimiser moves the condition of the comma form into the join, so no product is made.
+    """
+    n = F.count(F.lit(1))
+    comma = left.join(right).where(on).groupBy(by).agg(n.alias("comma_rows"))
+    joined = left.join(right, on).groupBy(by).agg(n.alias("join_rows"))
+    return comma.join(joined, by, "full_outer")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsieve.sources.dims import label_dim, message_dim, rule_dim
 
@@ -94,6 +95,21 @@ def as_json(records: DataFrame) -> DataFrame:
     return records.select("text_id", F.to_json(F.struct(*records.columns)).alias("result"))
 
 
+def write_records(records: DataFrame, folder: str, batch: str) -> None:
+    """Records as JSON lines, one folder a batch; a batch written again replaces its own lines only."""
+    lines = as_json(records).select(F.col("result").alias("value"), F.lit(batch).alias("batch"))
+    writer = lines.write.partitionBy("batch").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").text(folder)
+
+
+def read_records(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The records of all batches with their ``batch``; ``bad_line`` holds a line that is no record."""
+    wanted = T.StructType([*schema.fields, T.StructField("bad_line", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}
+    parsed = F.from_json("value", wanted, options).alias("r")
+    return spark.read.option("basePath", folder).text(folder).select("batch", parsed).select("batch", "r.*")
+
+
 def weighted_rules(log: DataFrame, findings: DataFrame, *by) -> DataFrame:
     """Findings per rule over the log, grouped by columns of the log.
 

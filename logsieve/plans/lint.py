@@ -58,15 +58,19 @@ def findings(work: Workload, catalog: DataFrame | None = None, parity: bool = Fa
     skips derived tables, CTEs, EXISTS, join conditions and operands it does not descend into,
     and that knows no CTE names or outer aliases.
     """
-    if catalog is not None and (only is None or set(only) & set(CATALOG_RULES)):
-        found = all_findings(work.tokens, catalog, only)
-    elif only is None or set(only) & set(TOKEN_RULES):
-        found = token_findings(work.tokens, only)
-    else:
-        raise ValueError("catalog rules need a catalog")
+    found = every_finding(work.tokens, catalog, only)
     return found.filter("visible") if parity else found.filter(~F.col("quirk"))
 
 
+def every_finding(tokens: DataFrame, catalog: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+    """Findings of both modes."""
+    if catalog is not None and (only is None or set(only) & set(CATALOG_RULES)):
+        return all_findings(tokens, catalog, only)
+    if only is None or set(only) & set(TOKEN_RULES):
+        return token_findings(tokens, only)
+    raise ValueError("catalog rules need a catalog")
+
+
 def lint(log: DataFrame, catalog: DataFrame | None = None, parity: bool = False,
          only: list[str] | None = None) -> DataFrame:
     """One row per finding and logged query."""

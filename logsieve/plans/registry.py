@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.operators import outputs, relations
+from logsieve.operators import conformance, flows, outputs, ranges, relations, sketches
 from logsieve.operators.catalog_rules import CATALOG_RULES
 from logsieve.operators.rules import TOKEN_RULES
-from logsieve.plans import lint
+from logsieve.plans import incremental, lint
 from logsieve.session import TABLES, table
 from logsieve.sources import catalog as catalogs
 from logsieve.sources.querylog import clean_log, dialect_dim, distinct_texts
-from logsieve.sources.samples import dialect_log, sample_ddl, sample_log, spread_dialects
+from logsieve.sources.samples import FLOW_TEMPLATES, TABLE_DDL, dialect_log, sample_ddl, sample_log, spread_dialects
+from logsieve.streaming.stream import work_folder
 
 # Key columns of the test tables.
 KEY_COLUMNS = {
@@ -70,7 +71,72 @@ def ddl_catalog(spark, sf_dir):
 
 
 def live_catalog(spark, sf_dir):
-    return tables_catalog(spark, sf_dir).select("table_name", "column_name", "type_family", "is_indexed")
+    """Columns of the live tables with the rows and NULLs they hold."""
+    counts = conformance.column_counts({t: table(spark, sf_dir, t) for t in TABLES}).drop("actual", "fits")
+    return tables_catalog(spark, sf_dir).join(counts, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "type_family", "is_indexed", "rows", "nulls"
+    )
+
+
+def schema_conformance(spark, sf_dir):
+    """The tables beside what DDL texts say of them, with the values that keep to it."""
+    ddl = spark.createDataFrame([(i, "generic", s) for i, s in enumerate(TABLE_DDL)], "ddl_id bigint, dialect string, sql string")
+    names = [s.split()[2] for s in TABLE_DDL]
+    return conformance.conformance({t: table(spark, sf_dir, t) for t in names}, catalogs.catalog_from_ddl(ddl))
+
+
+def props_fields(spark, sf_dir):
+    return conformance.json_fields(table(spark, sf_dir, "events"), "props", "event_type")
+
+
+def lineage_reach(spark, sf_dir):
+    """All tables that a table is filled from, over the statements of a whole log."""
+    work = lint.prepare(sample_log(table(spark, sf_dir, "events"), FLOW_TEMPLATES))
+    return flows.reach(flows.flow_edges(work.tokens), f"{work_folder(spark)}/reach")
+
+
+def _in_batches(spark, sf_dir):
+    """A ledger after a third of the log, all of it, and the first batch once more."""
+    log, folder, cat = events_log(spark, sf_dir), f"{work_folder(spark)}/ledger", tables_catalog(spark, sf_dir)
+    first = log.filter(F.col("query_id") % 3 == 0)
+    for batch_id, rows in ((0, first), (1, log), (0, first)):
+        incremental.update(rows, folder, batch_id, cat)
+    return log, folder, cat
+
+
+def lint_incremental(spark, sf_dir):
+    log, folder, cat = _in_batches(spark, sf_dir)
+    found = incremental.findings_of(log, folder, cat)
+    counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("query_id").alias("queries"))
+    return counts
+
+
+def ledger_batches(spark, sf_dir):
+    _, folder, _ = _in_batches(spark, sf_dir)
+    return incremental.batches(spark, folder)
+
+
+def column_profile(spark, sf_dir):
+    """Profiles of the events from sketches per day, stored in two turns and merged, held against exact counts."""
+    events, names = table(spark, sf_dir, "events"), ["event_id", "user_id", "event_type", "value", "props"]
+    day, folder = F.to_date("ts"), f"{work_folder(spark)}/profiles"
+    even = F.dayofmonth("ts") % 2 == 0
+    for part in (events.filter(even), events.filter(~even)):
+        sketches.store(sketches.by_day(part, day, names), folder)
+    return sketches.checked(sketches.merged(spark.read.parquet(folder)), events, names)
+
+
+def record_roundtrip(spark, sf_dir):
+    """The records written twice as JSON lines and read back."""
+    records = lint.analyse(events_log(spark, sf_dir), tables_catalog(spark, sf_dir), parity=True)
+    folder = f"{work_folder(spark)}/records"
+    for _ in range(2):
+        outputs.write_records(records, folder, "all")
+    back = outputs.read_records(spark, folder, records.schema)
+    return back.groupBy(F.col("first_query").alias("text_id")).agg(
+        F.count(F.lit(1)).alias("copies"), F.max("uses").alias("uses"), F.max(F.size("lint_issues")).alias("n_issues"),
+        F.max("formatted_sql").alias("formatted_sql"), F.max("error").alias("error"), F.count("bad_line").alias("bad_lines"),
+    )
 
 
 def tokens(spark, sf_dir):
@@ -235,6 +301,13 @@ def lint_queries() -> dict[str, Query]:
             "analysis_records": analysis_records,
             "lineage": lineage,
             "clean_queries": clean_queries,
+            "lineage_reach": lineage_reach,
+            "lint_incremental": lint_incremental,
+            "ledger_batches": ledger_batches,
+            "record_roundtrip": record_roundtrip,
+            "schema_conformance": schema_conformance,
+            "props_fields": props_fields,
+            "column_profile": column_profile,
             "rules_per_user_day": rules_per_user_day,
             "rules_rollup": rules_rollup,
         }
@@ -247,6 +320,12 @@ def _holes(df: DataFrame, key: str, every: int, column: str) -> DataFrame:
     return df.withColumn(column, F.when(F.col(key) % every != 0, F.col(column)))
 
 
+def _skips(df: DataFrame, **bounds: tuple) -> DataFrame:
+    """Per column, what a range filter on it skips in blocks of 100 rows."""
+    each = [ranges.skipped(ranges.zones(df, c, 100), *b).withColumn("column_name", F.lit(c)) for c, b in bounds.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def impact_queries() -> dict[str, Query]:
     from logsieve.operators import impact as im
 
@@ -298,8 +377,8 @@ def impact_queries() -> dict[str, Query]:
             e, o, "user_id", "o_custkey")),
         "impact_ordinal_sort": on("customer", lambda c: im.top_by_name(
             c.select("c_name", "c_acctbal", "c_custkey"), [F.col("c_acctbal").desc(), F.col("c_custkey")], 20)),
-        "impact_comma_join": on_two("customer", "nation", lambda c, n: c.join(
-            n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))),
+        "impact_comma_join": on_two("customer", "nation", lambda c, n: im.comma_join(
+            c, n, F.col("c_nationkey") == F.col("n_nationkey"), "n_name")),
         "impact_schema_diff": schema_check,
         "impact_cast_share": on("events", lambda e: im.castable_share(e, {
             "props": F.col("props"), "k": F.regexp_extract("props", "[0-9]+", 0),
@@ -310,8 +389,12 @@ def impact_queries() -> dict[str, Query]:
             holed(o), ["o_custkey", "o_orderstatus", "o_orderpriority"])),
         "impact_null_comparison": on("orders", lambda o: im.null_comparison(holed(o), "o_custkey")),
         "impact_guarded_rows": on("orders", lambda o: im.guarded_rows(holed(o), F.col("o_custkey") < 100)),
-        "impact_page": on("orders", lambda o: im.page(
-            o.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10, 2)),
+        "impact_page": on("orders", lambda o: ranges.page(
+            o.select("o_orderkey", "o_totalprice"), [("o_totalprice", False), ("o_orderkey", True)], 10, 2)),
+        "impact_page_deep": on("orders", lambda o: ranges.page(
+            holed(o).select("o_orderkey", "o_custkey", "o_orderstatus"),
+            [("o_orderstatus", False), ("o_custkey", True), ("o_orderkey", False)], 10, 1000, at_once=100)),
+        "impact_zone_skip": on("orders", lambda o: _skips(o, o_orderkey=(F.lit(500), F.lit(700)), o_orderdate=im.year_bounds(1996))),
     }
 
 

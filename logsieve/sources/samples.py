@@ -137,6 +137,30 @@ DIALECT_TEMPLATES = [
     "SELECT a FROM t /* one /* two */ LIMIT 1",
 ]
 
+# Statements that fill tables from others; event_id modulo their number picks one.
+FLOW_TEMPLATES = [
+    "CREATE TABLE IF NOT EXISTS stage_{u} AS SELECT r.k FROM raw_{u} r JOIN calendar ON r.d = calendar.d",
+    "INSERT INTO mart_{u} (k) SELECT k FROM stage_{u} UNION ALL SELECT k FROM (SELECT k FROM fixes_{u}) f",
+    "CREATE OR REPLACE VIEW Report_{u} AS WITH best AS (SELECT * FROM mart_{u}) SELECT * FROM best, regions",
+    "INSERT INTO raw_{u} SELECT k FROM report_{u} WHERE k NOT IN (SELECT k FROM seen_{u})",
+    "INSERT INTO total SELECT SUM(k) FROM mart_{u}; SELECT * FROM raw_{u}",
+    "WITH stage_{u} AS (SELECT * FROM stage_{u}) INSERT INTO daily_{u} SELECT * FROM stage_{u}",
+    "INSERT INTO log_{u} VALUES ({e}, 'SELECT k FROM raw_{u}'); DELETE FROM mart_{u} WHERE k = {e}",
+    "CREATE TABLE plain_{u} (k INT); INSERT INTO plain_{u} SELECT k FROM total",
+]
+
+# What the test tables are said to hold; not all of it is so.
+TABLE_DDL = [
+    "CREATE TABLE region (r_regionkey INT PRIMARY KEY, r_name VARCHAR(25), r_comment VARCHAR(152))",
+    "CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name VARCHAR(25), n_regionkey BIGINT)",
+    "CREATE TABLE customer (c_custkey BIGINT PRIMARY KEY, c_name TEXT, c_nationkey INT, c_acctbal INT)",
+    "CREATE TABLE supplier (s_suppkey INT PRIMARY KEY, s_name TEXT, s_nationkey INT, s_acctbal DOUBLE)",
+    "CREATE TABLE part (p_partkey BIGINT PRIMARY KEY, p_name TEXT, p_brand TEXT, p_type TEXT, p_size VARCHAR(5), p_retailprice BIGINT)",
+    "CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT UNIQUE, o_orderstatus VARCHAR(1), o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_clerk TEXT)",
+    "CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey INT, l_suppkey BIGINT, l_linenumber INT, l_quantity INT, l_extendedprice DOUBLE, l_discount INT, l_tax DOUBLE, l_returnflag TEXT, l_linestatus TEXT, l_shipdate TIMESTAMP)",
+    "CREATE TABLE events (event_id BIGINT PRIMARY KEY, ts TIMESTAMP, user_id INT, event_type BIGINT, value DOUBLE, props TEXT)",
+]
+
 # Spellings of dialect names found in logs; some unknown.
 DIALECT_SPELLINGS = [
     "PostgreSQL", "mysql", "MSSQL", "BigQuery", "sqlite", "ANSI", "generic", "oracle", "Snowflake",

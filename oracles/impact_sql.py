@@ -31,6 +31,13 @@ def _cast(name: str, expr: str) -> str:
     return f"SELECT '{name}' AS column_name, count({expr}) AS n_values, count(try_cast({expr} AS INTEGER)) AS castable FROM events"
 
 
+def _zones(column: str, low: str, high: str) -> str:
+    return f"""SELECT '{column}' AS column_name, count(*) AS blocks, count(*) FILTER (most < {low} OR least >= {high}) AS skipped_blocks,
+      coalesce(sum(n) FILTER (most < {low} OR least >= {high}), 0)::BIGINT AS skipped_rows
+      FROM (SELECT min({column}) AS least, max({column}) AS most, count(*) AS n
+            FROM (SELECT {column}, (row_number() OVER () - 1) // 100 AS block FROM orders) GROUP BY block)"""
+
+
 _K = "regexp_extract(props, '[0-9]+')"
 
 
@@ -55,8 +62,8 @@ def impact_oracles() -> dict[str, str]:
         "impact_union": """SELECT a AS union_all, u AS union_rows, a - u AS removed FROM
           (SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)) AS a,
                   (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS u)""",
-        "impact_sargable_year": _forms("orders", function="year(o_orderdate) = 1996", range="year(o_orderdate) = 1996"),
-        "impact_sargable_math": _forms("part", column="p_size + 10 > 20", literal="p_size + 10 > 20"),
+        "impact_sargable_year": _forms("orders", function="year(o_orderdate) = 1996", range="o_orderdate >= '1996-01-01' AND o_orderdate < '1997-01-01'"),
+        "impact_sargable_math": _forms("part", column="p_size + 10 > 20", literal="p_size > 10"),
         "impact_having": "SELECT max(o_totalprice) AS top, count(*) AS n FROM orders HAVING count(*) > 5",
         "impact_self_comparison": f"WITH {_O} " + _forms("o", all_rows="true", self_equal="o_custkey = o_custkey", not_null="o_custkey IS NOT NULL", lost="o_custkey IS NULL"),
         "impact_join_fanout": """SELECT key, left_rows, right_rows, left_rows * right_rows AS pairs
@@ -66,7 +73,9 @@ def impact_oracles() -> dict[str, str]:
           UNION ALL SELECT 'cartesian', (SELECT count(*) FROM events) * (SELECT count(*) FROM orders)""",
         "impact_ordinal_sort": """SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INT AS rank
           FROM (SELECT c_name, c_acctbal, c_custkey FROM customer ORDER BY 2 DESC, 3 LIMIT 20)""",
-        "impact_comma_join": "SELECT n_name, count(*) AS customers FROM customer, nation WHERE c_nationkey = n_nationkey GROUP BY n_name",
+        "impact_comma_join": """SELECT n_name, comma_rows, join_rows FROM
+          (SELECT n_name, count(*) AS comma_rows FROM customer, nation WHERE c_nationkey = n_nationkey GROUP BY n_name)
+          FULL JOIN (SELECT n_name, count(*) AS join_rows FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name) USING (n_name)""",
         "impact_schema_diff": """WITH e(column_name, expected) AS (VALUES ('orderkey', 'numeric'), ('custkey', 'numeric'), ('orderstatus', 'string'),
             ('totalprice', 'numeric'), ('orderdate', 'other'), ('orderpriority', 'string')),
           a(column_name, actual) AS (VALUES ('orderkey', 'numeric'), ('partkey', 'numeric'), ('suppkey', 'numeric'), ('linenumber', 'numeric'),
@@ -81,4 +90,7 @@ def impact_oracles() -> dict[str, str]:
         "impact_null_comparison": f"WITH {_O} " + _forms("o", equals_null="o_custkey = NULL", not_equals_null="o_custkey <> NULL", is_null="o_custkey IS NULL"),
         "impact_guarded_rows": f"WITH {_O} " + _forms("o", touched="true", meant="o_custkey < 100", protected="coalesce(NOT o_custkey < 100, true)"),
         "impact_page": "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS all_rows FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
+        "impact_page_deep": f"""WITH {_O} SELECT o_orderkey, o_custkey, o_orderstatus, (SELECT count(*) FROM o) AS all_rows FROM o
+          ORDER BY o_orderstatus DESC NULLS LAST, o_custkey NULLS FIRST, o_orderkey DESC LIMIT 10 OFFSET 10000""",
+        "impact_zone_skip": _zones("o_orderkey", "500", "700") + " UNION ALL " + _zones("o_orderdate", "TIMESTAMP '1996-01-01'", "TIMESTAMP '1997-01-01'"),
     }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from logsieve.functions import words
-from logsieve.sources.samples import DDL_TEMPLATES, DIALECT_SPELLINGS, DIALECT_TEMPLATES
+from logsieve.session import TABLES
+from logsieve.sources.samples import FLOW_TEMPLATES, DDL_TEMPLATES, DIALECT_SPELLINGS, DIALECT_TEMPLATES
 from oracles.lint_sql import (
     _AFTER_PAREN, CATALOG_CTE, COLUMN_REFS, FOUND, IS_TABLE, LABEL_DIM, LOG, MESSAGE_DIM, NAMES, OPERANDS,
     RULE_DIM, RULE_SQL, TABLE_REFS, TOKENS, among, lit, name_rule_query, rule_query,
@@ -116,6 +117,69 @@ _DIALECT_LINT = f"""WITH expected(n, dialect, outcome) AS (VALUES {", ".join(str
   FROM spoken JOIN expected USING (n, dialect)"""
 
 
+def _unpivoted(table: str, made: str, value: str) -> str:
+    return f"UNPIVOT (SELECT {made} FROM {table}) ON COLUMNS(*) INTO NAME column_name VALUE {value}"
+
+
+_COLUMN_COUNTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, rows, rows - filled AS nulls "
+    f"FROM ({_unpivoted(t, 'count(COLUMNS(*))', 'filled')}), (SELECT count(*) AS rows FROM {t})"
+    for t in TABLES
+)
+
+# Per table the columns as declared and as they are (an empty side: not there), and whether the column is a key.
+_CONFORMANCE = """region r_regionkey int int k,region r_name string string,region r_comment string -,
+nation n_nationkey int int k,nation n_name string string,nation n_regionkey bigint int,
+customer c_custkey bigint bigint k,customer c_name string string,customer c_nationkey int int,customer c_acctbal int double,
+customer c_mktsegment - string,supplier s_suppkey int bigint k,supplier s_name string string,supplier s_nationkey int int,
+supplier s_acctbal double double,part p_partkey bigint bigint k,part p_name string string,part p_brand string string,
+part p_type string string,part p_size string int,part p_retailprice bigint double,orders o_orderkey bigint bigint k,
+orders o_custkey bigint bigint k,orders o_orderstatus string string,orders o_totalprice double double,
+orders o_orderdate timestamp timestamp,orders o_clerk string -,orders o_orderpriority - string,
+lineitem l_orderkey bigint bigint,lineitem l_partkey int bigint,lineitem l_suppkey bigint bigint,lineitem l_linenumber int int,
+lineitem l_quantity int double,lineitem l_extendedprice double double,lineitem l_discount int double,lineitem l_tax double double,
+lineitem l_returnflag string string,lineitem l_linestatus string string,lineitem l_shipdate timestamp timestamp,
+events event_id bigint bigint k,events ts timestamp timestamp,events user_id int bigint,events event_type bigint string,
+events value double double,events props string string"""
+
+
+def _conformance() -> str:
+    rows = []
+    for table, column, declared, actual, *key in (x.split() for x in _CONFORMANCE.replace("\n", "").split(",")):
+        stated = "NULL" if declared == "-" else f"'{declared}'"
+        if actual == "-":
+            rows.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, {stated} AS declared, NULL AS actual, "
+                        "NULL::BIGINT AS rows, NULL::BIGINT AS nulls, NULL::BIGINT AS fits, 'missing' AS status")
+            continue
+        status = "extra" if declared == "-" else "type" if declared != actual else "same"
+        status = f"CASE WHEN count(*) > count({column}) THEN 'nulls' ELSE '{status}' END" if key and status == "same" else f"'{status}'"
+        fits = "NULL" if declared == "-" else f"count(*) FILTER (TRY_CAST(TRY_CAST({column} AS {declared}) AS {actual}) = {column})"
+        rows.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, {stated} AS declared, '{actual}' AS actual, "
+                    f"count(*) AS rows, count(*) - count({column}) AS nulls, {fits} AS fits, {status} AS status FROM {table}")
+    return " UNION ALL ".join(rows)
+
+
+# The edges of each flow template, by template number: target and source.
+_FLOWS = [
+    (0, "stage_{u}", "raw_{u}"), (0, "stage_{u}", "calendar"),
+    (1, "mart_{u}", "stage_{u}"), (1, "mart_{u}", "fixes_{u}"),
+    (2, "report_{u}", "mart_{u}"), (2, "report_{u}", "regions"),
+    (3, "raw_{u}", "report_{u}"), (3, "raw_{u}", "seen_{u}"),
+    (4, "total", "mart_{u}"),
+    (5, "daily_{u}", "stage_{u}"),
+    (7, "plain_{u}", "total"),
+]
+_REACH = f"""WITH RECURSIVE defs(n, t, s) AS (VALUES {", ".join(str(r) for r in _FLOWS)}),
+  edges AS (SELECT DISTINCT replace(t, '{{u}}', user_id::VARCHAR) AS target, replace(s, '{{u}}', user_id::VARCHAR) AS source
+    FROM events JOIN defs ON n = event_id % {len(FLOW_TEMPLATES)}),
+  walk(a, b, distance) AS (SELECT target, source, 1 FROM edges
+    UNION SELECT a, source, distance + 1 FROM walk JOIN edges ON b = target WHERE distance < 14)
+  SELECT a AS table, b AS ancestor, min(distance) AS distance FROM walk GROUP BY ALL"""
+
+_PROFILED = ["event_id", "user_id", "event_type", "value", "props"]
+_NUMBERS = ["event_id", "user_id", "value"]
+
+
 def lint_oracles() -> dict[str, str]:
     out = {
         "source_log": f"WITH {LOG} SELECT query_id, user_id, 'generic' AS dialect, rtrim(ltrim(sql)) AS sql FROM log",
@@ -130,7 +194,7 @@ def lint_oracles() -> dict[str, str]:
           SELECT ddl_id, replace(replace(table_tpl, '{{u}}', user_id::VARCHAR), '{{e}}', event_id::VARCHAR) AS table_name,
             column_name, data_type, type_family, is_indexed
           FROM texts JOIN events ON event_id = ddl_id JOIN defs ON n = ddl_id % {len(DDL_TEMPLATES)}""",
-        "live_catalog": f"WITH {CATALOG_CTE} SELECT * FROM cat",
+        "live_catalog": f"WITH {CATALOG_CTE}, counts AS ({_COLUMN_COUNTS}) SELECT * FROM cat JOIN counts USING (table_name, column_name)",
         "tokens": f"""WITH {TOKENS} SELECT text_id, pos::INT AS pos, tok, kind, stmt, depth::INT AS depth, scope::INT AS scope,
             bd::INT AS bd, (k.arm - coalesce(a.arm, 0))::INT AS arm, clause
           FROM k LEFT JOIN (SELECT text_id, pos AS scope, arm FROM k) a USING (text_id, scope)""",
@@ -165,6 +229,23 @@ def lint_oracles() -> dict[str, str]:
             (SELECT count(*) FROM every WHERE every.text_id = texts.text_id AND visible) AS n_issues,
             statement_count, table_count, has_where
           FROM texts JOIN stat USING (text_id) LEFT JOIN printed USING (text_id)""",
+        "lineage_reach": _REACH,
+        "lint_incremental": f"""WITH {TOKENS}, {KEPT_FOUND} SELECT rule_id, count(*) AS findings, count(DISTINCT query_id) AS queries
+          FROM ids JOIN all_found USING (text_id) GROUP BY rule_id""",
+        "ledger_batches": f"""WITH {LOG}, early AS (SELECT DISTINCT sql FROM log WHERE query_id % 3 = 0)
+          SELECT 0::BIGINT AS batch_id, count(*) AS texts FROM early
+          UNION ALL SELECT 1, count(DISTINCT sql) FROM log WHERE sql NOT IN (SELECT sql FROM early)""",
+        "record_roundtrip": f"""WITH {TOKENS}, {ALL_FOUND}, {STATS}, {FORMAT}
+          SELECT texts.text_id, 1::BIGINT AS copies, texts.uses, stat.error, coalesce(formatted, '') AS formatted_sql,
+            (SELECT count(*) FROM every WHERE every.text_id = texts.text_id AND visible)::INT AS n_issues, 0::BIGINT AS bad_lines
+          FROM texts JOIN stat USING (text_id) LEFT JOIN printed USING (text_id)""",
+        "schema_conformance": _conformance(),
+        "props_fields": """SELECT event_type, field, CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN 'BIGINT' WHEN t = 'VARCHAR' THEN 'STRING' ELSE t END AS data_type,
+            count(*) AS values FROM (SELECT event_type, field, json_type(props, '$.' || field) AS t
+              FROM (SELECT event_type, props, unnest(json_keys(props)) AS field FROM events)) GROUP BY ALL""",
+        "column_profile": " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, "
+            f"true AS distinct_close, {'true' if c in _NUMBERS else 'NULL::BOOLEAN'} AS median_close FROM events" for c in _PROFILED),
         "lineage": f"""WITH {TOKENS}, {TABLE_REFS}
           SELECT h.text_id, 'scope' AS edge, h.pos::INT AS child, o.sel::VARCHAR AS parent
           FROM k h JOIN k o ON o.text_id = h.text_id AND o.pos = h.pos - 1 WHERE h.head AND NOT h.first AND o.sel IS NOT NULL
