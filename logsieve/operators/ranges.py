@@ -57,9 +57,6 @@ def page(df: DataFrame, order: Order, size: int, number: int, at_once: int = AT_
             if seen < skip + size and seen + counted[part] > skip:
                 wanted.append((part, seen))
             seen += counted[part]
-        if not wanted:
-            rest = rest.filter(F.lit(False))
-            break
         first, last = wanted[0][0], wanted[-1][0]
         left = sum(counted[p] for p, _ in wanted)
         skip -= wanted[0][1]
@@ -67,7 +64,7 @@ def page(df: DataFrame, order: Order, size: int, number: int, at_once: int = AT_
             rest = rest.filter(~_before(order, cuts[first - 1]))
         if last < len(cuts):
             rest = rest.filter(_before(order, cuts[last]))
-        if left <= at_once or left == rows:
+        if left == rows:
             break
     shown = rest.orderBy(*_sorting(order)).offset(skip).limit(size)
     return shown.withColumn("all_rows", F.lit(total).cast("bigint"))
