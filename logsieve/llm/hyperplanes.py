@@ -80,7 +80,7 @@ def _block(threshold: float):
         return near, label
 
     def run(team: pd.DataFrame) -> pd.DataFrame:
-        near, other = np.zeros(len(team), np.int64), team["rep"].to_numpy(np.int64).copy()
+        near, other = np.zeros(len(team), np.int64), team["rep"].to_numpy(object).copy()
         columns = [team[c].to_numpy() for c in ("rep", "copies", "part")]
         sigs = np.stack(team["sig"].to_numpy())
         for (_, tab, _, i, j), rows in team.groupby(["width", "tab", "bucket", "i", "j"]).indices.items():
@@ -99,8 +99,8 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     n_links counts the other vectors found with a cosine of at least `threshold`; component is the least id
     that links reach, the own one without links. Vectors that are null, empty, zero, or hold a null or a
     non-finite number link with nothing, and so do vectors of different widths with each other. Rows with
-    equal id and vector are one vector, and get the same result; rows with a null id are compared with
-    nothing, get no links, a null component, and are not kept. A pair at the threshold is found with
+    equal id and vector are one vector, and get the same result; several vectors of one id are each linked
+    on their own; rows with a null id are compared with nothing, get no links, a null component, and are not kept. A pair at the threshold is found with
     probability 1-(1-p**bits)**tables, p = 1-acos(threshold)/pi: 0.98 with the defaults at 0.9. Equal vectors
     are one node with a count. Parts of a crowded bucket meet two by two; no task holds a bucket whole.
     """
@@ -109,10 +109,11 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), numbers.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    named = rows.withColumn("usable", usable).withColumn("name", F.when(F.col("usable"), F.sha2(F.col("v").cast("string"), 256)))
-    classes = named.where("usable").groupBy("name").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
+    named = rows.withColumn("usable", usable).withColumn("name", F.when(F.col("usable"), F.unhex(F.sha2(F.col("v").cast("string"), 256))))
+    classes = named.where("usable").groupBy("name").agg(F.min("id").alias("least"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
     classes = scratch.save(classes, "classes")
-    buckets = classes.select("rep", "copies", "v").mapInArrow(_bucketed(tables, bits, seed), "width int, tab int, bucket int, rep long, copies long, sig array<int>, v array<double>")
+    # a node is a vector, named by its hash: an id may have several vectors, which are not linked by that
+    buckets = classes.select(F.col("name").alias("rep"), "copies", "v").mapInArrow(_bucketed(tables, bits, seed), "width int, tab int, bucket int, rep binary, copies long, sig array<int>, v array<double>")
     sizes = buckets.groupBy("width", "tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
     sizes = scratch.save(sizes, "sizes")
     teams = sizes.agg((F.sum(F.col("n") * F.col("parts")) / TEAM).alias("t")).first()["t"] or 0
@@ -121,11 +122,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     meet = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = meet.select("width", "tab", "bucket", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "rep", "copies", "sig", "v")
     dealt = blocks.withColumn("team", F.pmod(F.xxhash64("width", "tab", "bucket", "i", "j"), F.lit(int(teams) + 1)))
-    found = scratch.save(dealt.groupBy("team").applyInPandas(_block(threshold), "rep long, near long, other long"), "found")
+    found = scratch.save(dealt.groupBy("team").applyInPandas(_block(threshold), "rep binary, near long, other binary"), "found")
     counts = found.groupBy("rep").agg(F.sum("near").alias("near"))
     reached = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "rep")
-    known = classes.select("name", "rep", "copies").join(counts, "rep", "left").join(reached, "rep", "left")
-    known = scratch.save(known.select("name", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
+    nodes = classes.select(F.col("name").alias("rep"), "least", "copies").join(reached, "rep", "left")
+    nodes = scratch.save(nodes.withColumn("cluster", F.coalesce("component", "rep")).drop("component"), "nodes")
+    ids = nodes.groupBy("cluster").agg(F.min("least").alias("component"))
+    known = nodes.join(ids, "cluster").join(counts, "rep", "left")
+    links = (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")
+    known = scratch.save(known.select(F.col("rep").alias("name"), links, "component"), "known")
     out = named.select("id", "name").join(known, "name", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
