@@ -7,7 +7,6 @@ windows; neighbouring windows share width-1 bytes, so no byte sequence of filter
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from logsieve.llm.runtime import ship
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
 AT_ONCE = 64  # windows in one matrix product
 
 
@@ -134,7 +132,10 @@ def train(labelled: DataFrame, sample: int = 4000, per_text: int = 3, id_col: st
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").rlike(r"\p{L}")).dropna()
     ids = rows.select("id", "lang").distinct().orderBy(F.xxhash64("id"), "id", "lang").limit(sample)
-    found = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_some_windows(per_text), "lang string, bytes binary").toArrow()
+    found = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi")
+    # of repeated ids one text each, so that the rows are bounded as the ids are
+    found = found.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
+    found = found.mapInArrow(_some_windows(per_text), "lang string, bytes binary").toArrow()
     if not found.num_rows:
         return None
     raw, names = found["bytes"].to_pylist(), found["lang"].to_pylist()
@@ -149,7 +150,7 @@ def _identify(net: Net | None):
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
-                if net is None or text is None or not LETTER.search(text):
+                if net is None or text is None or not any(map(str.isalpha, text)):
                     langs.append("und")
                     scores.append(0.0)
                     continue
