@@ -48,7 +48,8 @@ BASE_RULES = (
 #: Public formats of credentials.
 MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # begins where a run of its characters begins, and never gives one back: linear in any text
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("url", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,128}@"),
