@@ -78,6 +78,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     known = known.groupBy("id").agg(F.array(*(F.max(f"y{k}") for k in range(len(categories)))).alias("labels"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(known), "id")
+    # of repeated ids one text each, so that the rows are bounded as the ids are; in the same order at every run
+    rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("labels").alias("labels"))
+    rows = rows.orderBy(F.xxhash64("id"), "id")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")
     found = rows.select(fold, "labels", "text").mapInArrow(_features, "fold int, labels array<int>, terms array<long>, style array<float>")
     table = found.toArrow()
