@@ -4,12 +4,15 @@ Entities are found by pattern and cut into units: a mail address, a number, or o
 distinct unit of the corpus gets one replacement, drawn with a key from the values of its type: same
 format and length for numbers (cards keep a valid or invalid check digit), same gender and script for
 given names, same script for surnames. Candidates that equal another unit's replacement, or any value that
-really occurs, are drawn again, so different units stay different, and a unit looks the same wherever it
+really occurs, are drawn again, from a wider space where a format is crowded (longer names and numbers, addresses
+of other networks), so that the draws always end. Different units stay different, and a unit looks the same wherever it
 occurs: in another format, after a title, or alone in the text, given names as well as surnames.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +125,15 @@ def draw(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     octet = lambda i: (number(F.lit(i)) % 256).cast("string")
     private = canon.rlike(r"^(10|127|192\.168)\.")
     address = F.concat_ws(".", F.when(private, F.substring_index(canon, ".", 2)).otherwise(F.concat((number(F.lit(0)) % 223 + 1).cast("string"), F.lit("."), octet(1))), octet(2), octet(3))
-    run = shaped(canon)
-    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(run, F.lit(2), F.length(canon) - 2))
+    if attempt >= 6:  # a private network that is nearly full
+        address = F.when(private, F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).otherwise(address)
+    if attempt >= 12:
+        group = lambda i: F.lower(F.hex(number(F.lit(i))))
+        address = F.concat_ws(":", F.lit("2001:db8"), *(group(i) for i in range(6)))
+    digits = max(0, attempt // 3 - 2)  # a format that is nearly full gets longer
+    wide = F.concat(canon, F.lit("0" * digits))
+    run = shaped(wide)
+    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(run, F.lit(2), F.length(wide) - 2))
     ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string")))
     luhn = lambda x: F.call_function("luhn_check", x)
     card = F.element_at(F.filter(ends, lambda x: luhn(x) == luhn(canon)), 1)
@@ -138,7 +148,7 @@ def draw(kind: Column, canon: Column, key: str, attempt: int) -> Column:
 
     name = F.lit(None).cast("string")
     for script in SYLLABLES:
-        size = 3 + min(3, attempt // 3)
+        size = 3 + min(20, attempt // 3)
         name = F.when(kind == f"SURNAME_{script}", made(script, size, F.lit(""))).otherwise(name)
         for gender in "MFX":
             final = F.lit({"LATIN": "a", "CYRILLIC": "а"}[script] if gender == "F" else "")
@@ -151,11 +161,11 @@ def draw(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     )
 
 
-def choose(found: DataFrame, scratch: Scratch, key: str, attempts: int = 60) -> DataFrame:
+def choose(found: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """(kind, canon) distinct -> (kind, canon, surrogate), without two alike and without one that really occurs."""
     real = scratch.save(found.select("kind", "canon").distinct(), "units")
     given, waiting = None, real
-    for attempt in range(attempts):
+    for attempt in itertools.count():
         drawn = waiting.withColumn("surrogate", draw(F.col("kind"), F.col("canon"), key, attempt))
         taken = real.select("kind", F.col("canon").alias("surrogate"))
         if given is not None:
@@ -167,17 +177,18 @@ def choose(found: DataFrame, scratch: Scratch, key: str, attempts: int = 60) ->
         waiting = scratch.save(waiting.join(won, ["kind", "canon"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return given
-    raise ValueError(f"no distinct surrogates after {attempts} draws: too many values of one type for its format")
 
 
 def _rendered(entity: Column, chosen: Column) -> Column:
     """The entity with its units replaced (chosen: map of unit -> surrogate), in the entity's own format."""
     only = F.element_at(chosen, F.lit(0))
     filled = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(only, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), "[^0-9A-Za-z]", "")) + 1, F.lit(1))).otherwise(c))
+    signs = F.length(F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
+    longer = F.concat(F.array_join(filled, ""), F.substring(only, signs + 1, F.length(only)))
     cased = lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.initcap(s))
     words = F.transform(F.split(entity, " "), lambda w, i: F.coalesce(cased(w, F.element_at(chosen, i.cast("int"))), w))
     kind = kind_of(entity)
-    return F.when(kind.isin("EMAIL", "IP"), only).when(kind == "PERSON", F.array_join(words, " ")).otherwise(F.array_join(filled, ""))
+    return F.when(kind.isin("EMAIL", "IP"), only).when(kind == "PERSON", F.array_join(words, " ")).otherwise(longer)
 
 
 def replace_entities(docs: DataFrame, scratch: Scratch, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

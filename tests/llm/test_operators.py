@@ -288,6 +288,38 @@ def test_lines_with_replaced_words_against_brute_force(spark, scratch):
     assert len(close) > 50 and len(set(label)) <= left <= len(set(label)) + 1
 
 
+def test_crowded_lines_are_joined_as_all_pairs_would(spark, scratch, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghiklmnoprstuvwz", k=rnd.randrange(4, 9)))
+    lines = []
+    for _ in range(2):
+        base = [word() for _ in range(24)]
+        for step in range(70):  # a chain whose ends are far apart, and outliers that are nearly similar
+            if step % 10 == 9:
+                base[rnd.randrange(24)] = word()
+            own = list(base)
+            for i in rnd.sample(range(24), rnd.choice((0, 1, 3, 5))):
+                own[i] = word()
+            lines.append(" ".join(own))
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if label[i] != label[j] and fuzzy_lines.similar(lines[i], lines[j], 0.8):
+                label = [label[j] if x == label[i] else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    left = {}
+    for small, block in ((1, 16), (10**6, 1024)):
+        monkeypatch.setattr(fuzzy_lines, "SMALL", small)
+        monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+        left[small] = {r.doc_id for r in fuzzy_lines.dedup_lines(docs, scratch).collect() if r.text}
+    assert left[1] == left[10**6] and 2 < len(set(label)) <= len(left[1]) <= len(set(label)) + 1
+
+
+@given(st.text("abc d", max_size=40), st.text("abc d", max_size=40), st.integers(0, 20))
+def test_distances_beyond_the_room(a, b, room):
+    assert (fuzzy_lines.edit_distance(a, b, room) <= room) == (fuzzy_lines.edit_distance(a, b) <= room)
+
+
 def test_lines_of_few_words(spark, scratch):
     chinese = "这本书讲述了一个关于山中老人和他三个儿子的古老故事每年春天都会在村里重新讲一遍"
     rows = [(1, f"{chinese}\nall rights reserved\nyes"), (2, chinese.replace("山中", "海边")), (3, "All rights reserved.\nyes"), (4, "天气很好我们一起去河边散步然后回家做饭\nyes"), (5, "all sights reversed, or\n好的")]
@@ -333,6 +365,15 @@ def test_surrogates(spark, scratch, odd):
     assert surrogates.replace_entities(empty(docs), scratch, "k").count() == 0
 
 
+def test_crowded_formats_get_wider(spark, scratch):
+    phones = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(9000)]
+    hosts = [f"192.168.{i // 250}.{i % 250}" for i in range(40_000)]
+    rows = [(i, "; ".join(phones[i::20] + hosts[i::20])) for i in range(20)]
+    out = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), scratch, "k").collect()
+    made = [x for r in out for x in r.text.split("; ")]
+    assert len(made) == len(set(made)) == 49_000 and not set(made) & {*phones, *hosts}
+
+
 def test_given_names_that_recur_alone(spark, scratch):
     rows = [(1, "Mary Jones met Mr. John Smith. Mary said John was late; Smith agreed."), (2, "Herr Zoltan Bauer came. Zoltan left, Dr Bauer stayed."), (3, "A text with no person, mary or zoltan.")]
     got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), scratch, "k").collect()}
