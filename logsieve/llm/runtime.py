@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -60,6 +61,11 @@ class Scratch:
         for table in tables:
             self._delete(table.scratch_path)
 
+    def free_shuffles(self) -> None:
+        """Spark deletes the shuffle files of finished plans once the driver has collected them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         """Delete all tables of the job, once what was made of them has been written."""
         self._delete(self.path)

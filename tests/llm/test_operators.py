@@ -320,6 +320,23 @@ def test_distances_beyond_the_room(a, b, room):
     assert (fuzzy_lines.edit_distance(a, b, room) <= room) == (fuzzy_lines.edit_distance(a, b) <= room)
 
 
+def test_many_distances_at_once(monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "TOGETHER", 1)
+    rnd = random.Random(3)
+    a, b = [], []
+    for _ in range(1500):
+        x = "".join(rnd.choices("abcdé 好😀", k=rnd.choice((0, 1, 5, 63, 64, 65, 130, 300, 1100))))
+        y = list(x)
+        for _ in range(rnd.randrange(1 + len(x) // 3)):
+            i = rnd.randrange(len(y) + 1)
+            y[i : i + rnd.randrange(2)] = rnd.choices("abcdé 好z", k=rnd.randrange(2))
+        a.append(x)
+        b.append("".join(y) if rnd.random() < 0.9 else x[::-1])
+    got = fuzzy_lines.all_similar(a, b, 0.8)
+    assert got.tolist() == [fuzzy_lines.similar(x, y, 0.8) for x, y in zip(a, b, strict=True)] and 300 < got.sum() < 1400
+    assert fuzzy_lines.all_similar([], [], 0.8).tolist() == []
+
+
 def test_lines_of_few_words(spark, scratch):
     chinese = "这本书讲述了一个关于山中老人和他三个儿子的古老故事每年春天都会在村里重新讲一遍"
     rows = [(1, f"{chinese}\nall rights reserved\nyes"), (2, chinese.replace("山中", "海边")), (3, "All rights reserved.\nyes"), (4, "天气很好我们一起去河边散步然后回家做饭\nyes"), (5, "all sights reversed, or\n好的")]
