@@ -162,3 +162,22 @@ def test_a_list_before_insert_is_not_a_query(spark):
     sql = "WITH q AS (SELECT a FROM t) INSERT INTO u SELECT * FROM q WHERE a = 1 OR b = 2"
     assert found(spark, [sql]) == [["L001", "L003"]] and found(spark, [sql], parity=True) == [[]]
     assert found(spark, ["WITH q AS (SELECT a FROM t) SELECT a FROM q"], parity=True) == [["L026"]]
+
+
+def test_single_rules_skip_other_texts_only(spark):
+    """A rule alone finds what it finds among all rules, and tokenises no text in which it can find nothing."""
+    sqls = [
+        "SELECT a FROM t joın u ON t.a = u.a LIMIT 1", "SELECT a FROM t join u USING (a) LIMIT 1",
+        "SELECT DISTINCT a FROM t group BY a LIMIT 1", "SELECT MAX(a) FROM t havıng 1 LIMIT 1",
+        "SELECT a FROM t WHERE a /* x /* y */ z */ >= a LIMIT 1", "SELECT a FROM t WHERE a != a LIMIT 1",
+        "SELECT a FROM t, u LIMIT 1", "SELECT a FROM t HAVING COUNT(*) > 5 LIMIT 1", "SELECT 1", "not sql , having",
+    ]
+    log = make_log(spark, sqls)
+    key = lambda r: (r.query_id, r.rule_id, r.pos)
+    every = [key(r) for r in lint.lint(log).collect()]
+    for rule in ("L009", "L014"):
+        alone = sorted(key(r) for r in lint.lint(log, only=[rule]).collect())
+        assert alone and alone == sorted(k for k in every if k[1] == rule)
+    for rule, texts in (("L009", 2), ("L013", 1), ("L014", 3), ("L018", 2)):
+        assert lint.prepare(log, [rule]).tokens.select("text_id").distinct().count() == texts
+    assert lint.prepare(log, ["L009", "L020"]).tokens.select("text_id").distinct().count() == len(sqls)
