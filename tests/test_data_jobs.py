@@ -132,3 +132,23 @@ def test_records_survive_a_second_run_and_bad_lines(spark, tmp_path):
     with open(f"{folder}/batch=two/part-bad.txt", "w") as f:
         f.write("no record\n")
     assert [r.bad_line for r in outputs.read_records(spark, folder, records.schema).where("bad_line IS NOT NULL").collect()] == ["no record"]
+
+
+def test_roundtrip_analyses_once(spark, tmp_path, monkeypatch):
+    """Both writes read the stored records, not the events."""
+    from logsieve.plans import registry
+
+    folder = str(tmp_path)
+    rows = [(i, datetime.datetime(2024, 1, 1), i % 3) for i in (0, 1, 1, 50, 56)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint").write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(registry, "TABLES", ["events"])
+    read, write = [], registry.outputs.write_records
+
+    def noted(records, *args):
+        read.extend(records.inputFiles())
+        write(records, *args)
+
+    monkeypatch.setattr(registry.outputs, "write_records", noted)
+    back = registry.record_roundtrip(spark, folder).collect()
+    assert read and not any("events.parquet" in f for f in read)
+    assert sorted((r.text_id, r.copies, r.uses, r.bad_lines) for r in back) == [(0, 1, 1, 0), (1, 1, 2, 0), (50, 1, 1, 0), (56, 1, 1, 0)]
