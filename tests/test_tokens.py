@@ -150,3 +150,12 @@ def test_one_exchange_for_all_tokens(spark, sf_dir):
     # one to combine equal texts, one to spread them; none for the windows
     assert plan.count("Exchange hashpartitioning") == 2
     assert "ArrowEval" not in plan and "BatchEvalPython" not in plan
+
+
+def test_token_stages_are_small(spark):
+    """Windows are counted, as each takes several generated classes and a worker keeps a hundred."""
+    work = lint.prepare(make_log(spark, ["SELECT a FROM t WHERE a = a LIMIT 1"]))
+    for made in (work.tokens, lint.findings(work)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window ") >= 10
+        assert max(stage.count("Window ") for stage in plan.split("Exchange ")) <= 7
