@@ -181,3 +181,10 @@ def test_single_rules_skip_other_texts_only(spark):
     for rule, texts in (("L009", 2), ("L013", 1), ("L014", 3), ("L018", 2)):
         assert lint.prepare(log, [rule]).tokens.select("text_id").distinct().count() == texts
     assert lint.prepare(log, ["L009", "L020"]).tokens.select("text_id").distinct().count() == len(sqls)
+
+
+def test_findings_are_built_only_where_there_are_some(spark):
+    from logsieve.operators.rules import token_hits
+
+    assert str(token_hits(["L003"])).startswith("Column<'CASE WHEN")
+    assert found(spark, ["SELECT a FROM t LIMIT 1", "SELECT * FROM t LIMIT 1"]) == [[], ["L001"]]
