@@ -60,6 +60,29 @@ def test_reach_ends_on_cycles(spark, tmp_path):
     assert flows.reach(spark.createDataFrame([], "target string, source string"), str(tmp_path / "none")).count() == 0
 
 
+def test_reach_makes_pairs_of_end_tables_once(spark, tmp_path, monkeypatch):
+    """Tables that nothing is filled from are not walked: what the rounds write does not grow with their pairs."""
+    monkeypatch.setattr(flows, "SPREAD", 4)
+    n = 12
+    rows = [("hub", f"in{i}") for i in range(n)] + [(f"out{i}", "hub") for i in range(n)]
+    rows += [("in0", "hub"), ("out0", "in1"), ("out0", "in0"), ("far", "out1"), ("far", "lone"), ("in2", "in2")]
+    folder = tmp_path / "ends"
+    got = flows.reach(spark.createDataFrame(rows, "target string, source string"), str(folder))
+    sources, want = {}, set()
+    for target, source in rows:
+        sources.setdefault(target, set()).add(source)
+    for table in sources:
+        seen, at, distance = set(), sources[table], 1
+        while at:
+            want |= {(table, a, distance) for a in at}
+            seen |= at
+            at, distance = {s for a in at for s in sources.get(a, ())} - seen, distance + 1
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("table", "string"), ("ancestor", "string"), ("distance", "int")]
+    walked = {r["table"] for r in spark.read.parquet(str(folder / "rounds" / "*")).select("table").distinct().collect()}
+    assert walked == {"hub", "in0", "in2", "out1"}
+
+
 def test_ledger(spark, tmp_path):
     folder = str(tmp_path / "ledger")
     one, two, three = "SELECT * FROM t LIMIT 1", "DELETE FROM t", "DROP TABLE t"
