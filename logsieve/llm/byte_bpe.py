@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -19,9 +20,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.runtime import ship
+from logsieve.llm.runtime import ship, small_parts
 
-KNOWN_PIECES = 600_000  # entries of a worker's cache of short pre-tokens before it is emptied
+KNOWN_PIECES = 400_000  # entries of a worker's cache of short pre-tokens before it is emptied
 SHORT = 64  # characters of a pre-token that is worth keeping
 TOGETHER = 1 << 22  # characters whose pre-tokens are held at once
 
@@ -75,18 +76,24 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.gap = max(ranks.values()) + 1  # the symbol between pre-tokens; no pair holds it
         self.tokens = [b""] * self.gap
-        pairs = []  # left symbol, right symbol, rank of both together
         for token, rank in ranks.items():
             self.tokens[rank] = token
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs.append((left * (self.gap + 1) + right, rank))
-        self.pairs, self.pair_ranks = np.array(sorted(pairs), np.int64).T.copy()
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.queue = RankQueue(self.gap)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Left and right symbol as one number, in order, and the rank of both together. A worker that only decodes has none."""
+        found = []
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found.append((left * (self.gap + 1) + right, rank))
+        keys, ranks = np.array(sorted(found), np.int64).T.copy()
+        return keys, ranks
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each pre-token; a pre-token that is a token itself is that token."""
         whole = [self.ranks.get(p) for p in pieces]
@@ -111,8 +118,9 @@ class Codec:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * (self.gap + 1) + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
+        pairs, ranks = self.pairs
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, ranks[at], -1)
 
     def _run(self, symbol: np.ndarray) -> None:
         """Merge in place; what a symbol has swallowed becomes -1.
@@ -218,7 +226,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "text", TOGETHER)):
             packed = list(own.encode(t or "" for t in batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), pa.array(packed, pa.binary())], [*(n for n in batch.schema.names if n != "text"), "ids"])
 
@@ -228,7 +236,7 @@ def _encode(path: str, pattern: str):
 def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "ids", TOGETHER)):
             data = [own.decode(i or b"") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "bytes"])
 

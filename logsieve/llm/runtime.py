@@ -6,9 +6,12 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -71,6 +74,20 @@ class Scratch:
         self._delete(self.path)
 
 
+def small_parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in parts of which each has at most `most` bytes of a string or binary column, or one row.
+
+    A worker that makes Python objects of a part at a time holds no whole batch of them.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def fresh_name(taken: Iterable[str], base: str) -> str:
     """A column name that no column has yet (Spark compares names without case)."""
     used = {c.lower() for c in taken}
