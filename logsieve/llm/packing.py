@@ -11,24 +11,27 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.runtime import Scratch, ship
+from logsieve.llm.runtime import Scratch, ship, small_parts
 
-KNOWN_CHUNKS = 400_000  # entries of a worker's cache before it is emptied
-SHORT = 64
-TOGETHER = 1 << 22  # characters whose chunks are held at once
+SPACE = "\u0120"  # how a byte-level vocabulary writes the space
+LINE, LINES = 256, 32  # chunks that are encoded as one text, and such texts at a time
+TOGETHER = 1 << 24  # characters whose chunks are held at once
 GROUP = 4096  # pieces that are packed together
 #: No pre-token reaches from a visible character over a following space: a text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+#: A space within a text that is none of these cuts.
+UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 @dataclass(frozen=True)
@@ -41,19 +44,21 @@ class Capacity:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file; what lies between two cuts is encoded once per worker."""
+    """Ids of whole texts by a tokenizer file; in a group of texts, what lies between two cuts is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.after_space = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of each id: its token begins with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.after_space[i] = token.startswith(SPACE)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(array("I", e.ids), "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        group: list[list[str]] = []
+        group: list[str | list[str]] = []
         size = 0
         for text in texts:
             parts, at = [], 0
@@ -65,7 +70,7 @@ class Encoder:
                 group, size = [], 0
                 some = [next(self._group([self._chunks(parts[0])]))]
                 for part in [*parts[1:], text[at:]]:
-                    some.append(next(self._group([["", *self._chunks(part)]])))
+                    some.append(next(self._group([["", *CUT.split(part)]])))
                 yield b"".join(some)
                 continue
             group.append(self._chunks(text))
@@ -76,25 +81,58 @@ class Encoder:
         yield from self._group(group)
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
-
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        """group: chunks of each text; all but the first follow a space."""
-        used = set().union(*(chunks[1:] for chunks in group))
-        fresh = used.difference(self.known)
-        if len(self.known) + len(fresh) > KNOWN_CHUNKS:
-            self.known.clear()
-            fresh = used
-        names = list(fresh)
-        self.known.update(zip(names, self._ids([f" {n}" for n in names]), strict=True))
-        heads = self._ids([chunks[0] for chunks in group])
-        out = [head + b"".join(map(self.known.__getitem__, chunks[1:])) for head, chunks in zip(heads, group, strict=True)]
-        for name in names:
-            if len(name) > SHORT:
-                del self.known[name]
+    def _chunks(text: str) -> str | list[str]:
+        """The text itself where each of its spaces is a cut."""
+        uneven = text[:1] == " " or text[-1:] == " " or UNEVEN.search(text)
+        return CUT.split(text) if uneven else text
+
+    def _group(self, group: list[str | list[str]]) -> Iterator[bytes]:
+        """group: texts to be cut at every space, or chunks of a text; all chunks but the first follow a space."""
+        turn = sorted(range(len(group)), key=lambda i: isinstance(group[i], list))
+        whole = pc.split_pattern(pa.array([g for g in group if isinstance(g, str)], pa.string()), " ")
+        lists = pa.concat_arrays([whole, pa.array([g for g in group if isinstance(g, list)], whole.type)])
+        chunks, starts = lists.flatten(), lists.offsets.to_numpy()
+        follows = np.ones(len(chunks), bool)
+        follows[starts[:-1]] = False
+        heads = self._ids(chunks.take(pa.array(starts[:-1])).to_pylist())
+        coded = chunks.filter(pa.array(follows)).dictionary_encode()
+        ids, begins, sizes = self._after_a_space(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.append(0, np.cumsum(lengths))
+        found = ids[np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        stops = ends[starts - np.arange(len(starts))]  # each text before has a head, which is not among them
+        out: list[bytes] = [b""] * len(group)
+        for i, head, start, stop in zip(turn, heads, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            out[i] = head.tobytes() + found[start:stop].tobytes()
         return iter(out)
 
+    def _after_a_space(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all names, each behind a space; where each name's ids begin, and how many it has.
+
+        Names are encoded many in a line: a token that begins with a space begins a name, as names in lines hold none.
+        Where that does not come out even, as with spaces that are no tokens' beginning, each name is encoded by itself.
+        """
+        odd = np.array([" " in n or n[-1:].isspace() for n in names], bool)
+        plain, alone = np.flatnonzero(~odd), [np.flatnonzero(odd)]
+        sizes, made, order = np.zeros(len(names), np.int64), [np.zeros(0, "<u4")], []
+        for k in range(0, len(plain), LINE * LINES):
+            lines = [plain[m : m + LINE] for m in range(k, min(k + LINE * LINES, len(plain)), LINE)]
+            for line, ids in zip(lines, self._ids(["".join([f" {names[i]}" for i in line]) for line in lines]), strict=True):
+                first = np.flatnonzero(self.after_space[ids])
+                if len(first) != len(line) or first[0]:
+                    alone.append(line)
+                    continue
+                sizes[line] = np.diff(first, append=len(ids))
+                made.append(ids)
+                order.append(line)
+        order.append(np.concatenate(alone))
+        one_by_one = self._ids([f" {names[i]}" for i in order[-1]])
+        sizes[order[-1]] = [len(ids) for ids in one_by_one]
+        places, begins = np.concatenate(order), np.zeros(len(names), np.int64)
+        begins[places] = np.cumsum(sizes[places]) - sizes[places]
+        return np.concatenate([*made, *one_by_one]), begins, sizes
+
 
 _ENCODERS: dict[str, Encoder] = {}  # of this worker
 
@@ -111,7 +149,7 @@ def _pieces(path: str, end_id: int, most: int):
         encoder = _ENCODERS.setdefault(path, None) or Encoder(path)
         _ENCODERS[path] = encoder
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "text", TOGETHER)):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for row, ids in enumerate(encoder.encode(t or "" for t in batch.column("text").to_pylist())):
                 ids += end

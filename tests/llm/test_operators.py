@@ -8,9 +8,11 @@ import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -160,6 +162,22 @@ def test_bpe_long_pre_tokens_and_query(spark, codecs, odd, tmp_path):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_bpe_workers_hold_parts_of_a_batch(codecs, monkeypatch):
+    """A batch is worked on in parts of bounded size, and a worker that only decodes builds no pairs."""
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 40)
+    monkeypatch.setattr(byte_bpe, "_CODECS", {})
+    path, texts = public_tokenizers.path("byte_bpe_50k.tiktoken"), ["some words", None, "", "漢字 " * 30, *["a b c"] * 40]
+    ids = [np.array(codecs[1].encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
+    for size in (0, 1, len(texts)):
+        batch = pa.record_batch({"doc_id": list(range(size)), "ids": pa.array(ids[:size], pa.binary())})
+        parts = list(byte_bpe._decode(path, public_tokenizers.PATTERN)(iter([batch])))
+        assert [(i, b.decode()) for p in parts for i, b in zip(*(p.column(n).to_pylist() for n in ("doc_id", "bytes")), strict=True)] == [(i, t or "") for i, t in enumerate(texts[:size])]
+    assert "pairs" not in vars(byte_bpe.codec(path, public_tokenizers.PATTERN))
+    batch = pa.record_batch({"text": pa.array(texts), "doc_id": list(range(len(texts)))})
+    parts = list(byte_bpe._encode(path, public_tokenizers.PATTERN)(iter([batch])))
+    assert len(parts) > 4 and [(i, b) for p in parts for i, b in zip(*(p.column(n).to_pylist() for n in ("doc_id", "ids")), strict=True)] == list(enumerate(ids))
+
+
 def test_fingerprint_query(spark, scratch, odd, tmp_path):
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in queries.op5_fingerprints(spark, save(spark, tmp_path, "documents", docs)).collect()}
@@ -434,6 +452,17 @@ def test_chunked_encoding_equals_the_whole(text):
     assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_are_encoded_in_lines():
+    """Thousands of different words reach the tokenizer in a few lines; the ids are those of the whole texts."""
+    encoder, sent = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain = encoder.tokenizer
+    encoder.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **kw: sent.extend(texts) or plain.encode_batch_fast(texts, **kw))
+    texts = ["", " ", *(" ".join(f"w{i * k}x{i}" for i in range(900)) for k in range(1, 6)), "a  b \n c\n", "x\ny z\n\n", "y \u3000 z\x1c a b\x1c", "q <|endoftext|> r<|endoftext|> s", "\u0120 \u0120\u0120 é 漢 𐍈"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(sent) < len(texts) + 60
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "a", "bc", " ", "  ", "\n", "é"]), max_size=12).map("".join))
 def test_ids_with_the_name_of_a_special_token(text):
