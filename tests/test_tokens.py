@@ -130,6 +130,29 @@ def test_unknown_table_is_not_clean_with_a_catalog(spark):
     assert lint.clean_queries(log).count() == 2
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_queries_make_their_tokens_once(spark):
+    sqls = ["SELECT x FROM known LIMIT 5", "SELECT x FROM (known", "NOT SQL", "-- nothing", "SELECT x FROM known", "DELETE FROM known", "SELECT 'x"]
+    log = make_log(spark, sqls)
+    schema = "table_name string, column_name string, data_type string, type_family string, is_indexed boolean"
+    catalog = spark.createDataFrame([("known", "x", "int", "numeric", False)], schema)
+    for cat in (catalog, None):
+        clean = lint.clean_queries(log, cat)
+        assert sorted(r.query_id for r in clean.collect()) == [0, 3]
+        assert _plan(clean).count("posexplode") == 1
+
+
+def test_names_are_looked_up_in_a_stage_of_their_own(spark):
+    schema = "table_name string, column_name string, data_type string, type_family string, is_indexed boolean"
+    catalog = spark.createDataFrame([("known", "x", "int", "numeric", False)], schema)
+    work = lint.prepare(make_log(spark, ["SELECT x FROM known"]))
+    cuts = [_plan(df).count("RepartitionByExpression") for df in (work.tokens, lint.findings(work, catalog))]
+    assert cuts[1] == cuts[0] + 1
+
+
 def test_hot_text_is_salted(spark, sf_dir):
     from logsieve.operators.skew import attach_to_log
 
