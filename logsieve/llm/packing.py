@@ -27,6 +27,7 @@ from logsieve.llm.runtime import Scratch, ship, small_parts
 SPACE = "\u0120"  # how a byte-level vocabulary writes the space
 LINE, LINES = 256, 32  # chunks that are encoded as one text, and such texts at a time
 TOGETHER = 1 << 22  # characters whose chunks are held at once
+KEPT = 300_000  # names whose ids a worker remembers from group to group, about 200 bytes each
 GROUP = 4096  # pieces that are packed together
 #: No pre-token reaches from a visible character over a following space: a text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -43,8 +44,49 @@ class Capacity:
     rule: str = "norm"
 
 
+class Seen:
+    """Ids of names met before; past ``most`` names, only those met more than once stay."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._fill([], np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _fill(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at = {name: i for i, name in enumerate(names)}
+        self.ids, self.sizes = ids, sizes
+        self.again = np.zeros(len(names), bool)
+
+    def look_up(self, names: list[str]) -> np.ndarray:
+        """The place of each name, -1 where it is new; names are different."""
+        if len(self.at) > self.most:
+            stay = np.flatnonzero(self.again)
+            if len(stay) > self.most // 2:
+                stay = stay[:0]
+            known, begins = list(self.at), np.cumsum(self.sizes) - self.sizes
+            sizes = self.sizes[stay]
+            self._fill([known[i] for i in stay], _runs(self.ids, begins[stay], sizes), sizes)
+        get = self.at.get
+        at = np.fromiter((get(name, -1) for name in names), np.int64, len(names))
+        self.again[at[at >= 0]] = True
+        return at
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(names), bool)])
+
+
+def _runs(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ids one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer file; in a group of texts, what lies between two cuts is encoded once."""
+    """Ids of whole texts by a tokenizer file; in a group of texts, what lies between two cuts is encoded once.
+
+    Names met in earlier groups are remembered, a bounded number of them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,6 +95,7 @@ class Encoder:
         self.after_space = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of each id: its token begins with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.after_space[i] = token.startswith(SPACE)
+        self.seen = Seen(KEPT)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(array("I", e.ids), "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,17 +139,28 @@ class Encoder:
         follows[starts[:-1]] = False
         heads = self._ids(chunks.take(pa.array(starts[:-1])).to_pylist())
         coded = chunks.filter(pa.array(follows)).dictionary_encode()
-        ids, begins, sizes = self._after_a_space(coded.dictionary.to_pylist())
+        ids, begins, sizes = self._remembered(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy()
         lengths = sizes[which]
         ends = np.append(0, np.cumsum(lengths))
-        found = ids[np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        found = _runs(ids, begins[which], lengths)
         stops = ends[starts - np.arange(len(starts))]  # each text before has a head, which is not among them
         out: list[bytes] = [b""] * len(group)
         for i, head, start, stop in zip(turn, heads, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
             out[i] = head.tobytes() + found[start:stop].tobytes()
         return iter(out)
 
+    def _remembered(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_after_a_space``, but only names that are not remembered are encoded."""
+        at = self.seen.look_up(names)
+        new = np.flatnonzero(at < 0)
+        fresh = [names[i] for i in new]
+        ids, begins, sizes = self._after_a_space(fresh)
+        at[new] = len(self.seen.at) + np.arange(len(new))
+        self.seen.add(fresh, _runs(ids, begins, sizes), sizes)
+        begins = np.cumsum(self.seen.sizes) - self.seen.sizes
+        return self.seen.ids, begins[at], self.seen.sizes[at]
+
     def _after_a_space(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all names, each behind a space; where each name's ids begin, and how many it has.
 

@@ -463,6 +463,23 @@ def test_chunks_are_encoded_in_lines():
     assert len(sent) < len(texts) + 60
 
 
+def test_names_are_encoded_once_for_many_groups(monkeypatch):
+    """A name met again in a later group is not sent to the tokenizer again; few are remembered, and the ids stay right."""
+    monkeypatch.setattr(packing, "TOGETHER", 2000)
+    texts = ["z " + " ".join(f"w{i}q" for i in range(400)) for _ in range(20)]
+    texts += ["z " + " ".join(f"v{i * (k % 3)}é" for i in range(300)) + f" only{k}" for k in range(30)]
+    for most in (100_000, 500, 0):
+        monkeypatch.setattr(packing, "KEPT", most)
+        encoder, sent = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+        plain = encoder.tokenizer
+        encoder.tokenizer = SimpleNamespace(encode_batch_fast=lambda t, plain=plain, sent=sent, **kw: sent.extend(t) or plain.encode_batch_fast(t, **kw))
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.seen.at) <= most + 1000
+        if most == 100_000:
+            assert sum(t.count(" w") for t in sent) == 400
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "a", "bc", " ", "  ", "\n", "é"]), max_size=12).map("".join))
 def test_ids_with_the_name_of_a_special_token(text):
