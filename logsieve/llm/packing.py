@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from logsieve.llm.runtime import Scratch, ship, small_parts
 SPACE = "\u0120"  # how a byte-level vocabulary writes the space
 LINE, LINES = 256, 32  # chunks that are encoded as one text, and such texts at a time
 TOGETHER = 1 << 22  # characters whose chunks are held at once
-KEPT = 300_000  # names whose ids a worker remembers from group to group, about 200 bytes each
+KEPT = 600_000  # names whose ids a worker remembers from group to group, about 200 bytes each
 GROUP = 4096  # pieces that are packed together
 #: No pre-token reaches from a visible character over a following space: a text may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -65,8 +66,7 @@ class Seen:
             known, begins = list(self.at), np.cumsum(self.sizes) - self.sizes
             sizes = self.sizes[stay]
             self._fill([known[i] for i in stay], _runs(self.ids, begins[stay], sizes), sizes)
-        get = self.at.get
-        at = np.fromiter((get(name, -1) for name in names), np.int64, len(names))
+        at = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
         self.again[at[at >= 0]] = True
         return at
 
