@@ -355,6 +355,36 @@ def test_many_distances_at_once(monkeypatch):
     assert fuzzy_lines.all_similar([], [], 0.8).tolist() == []
 
 
+def test_replaced_words_need_no_edit_distance(monkeypatch):
+    def fails(*_):
+        raise AssertionError("an edit distance was taken")
+
+    monkeypatch.setattr(fuzzy_lines, "_distances", fails)
+    monkeypatch.setattr(fuzzy_lines, "similar", fails)
+    words = [f"word{i:03d}" for i in range(40)]
+    one, two = " ".join(words), " ".join(["other" if i in (3, 17, 30) else w for i, w in enumerate(words)])
+    less, far = " ".join(words[:20] + words[22:]), "".join(chr(200 + i) for i in range(len(one)))
+    assert fuzzy_lines.all_similar([one, one, one] * 20, [two, less, far] * 20, 0.8).tolist() == [True, True, False] * 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", max_size=30), st.text("ab ", max_size=30))
+def test_bounds_of_edit_distances(a, b):
+    a, b = " ".join(a.split()), " ".join(b.split())
+    distance = fuzzy_lines.edit_distance(a, b)
+    assert fuzzy_lines.aligned_distance(a, b, 1000) >= distance
+    assert fuzzy_lines.may_be_within([a], [b], np.array([float(distance)])).all()
+
+
+def test_keys_of_lines_are_stored_once(spark, scratch):
+    docs = spark.createDataFrame([(i, f"the quick brown foxes jumped over seventeen lazy dogs {'x' * i}") for i in range(5)], "doc_id long, text string")
+    out = fuzzy_lines.dedup_lines(docs, scratch)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(scratch.path)
+    names = [f.getPath().getName()[4:] for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
+    assert "lines" not in names and "pairs" not in names and "buckets" not in names
+    assert out.count() == 5
+
+
 def test_lines_of_few_words(spark, scratch):
     chinese = "这本书讲述了一个关于山中老人和他三个儿子的古老故事每年春天都会在村里重新讲一遍"
     rows = [(1, f"{chinese}\nall rights reserved\nyes"), (2, chinese.replace("山中", "海边")), (3, "All rights reserved.\nyes"), (4, "天气很好我们一起去河边散步然后回家做饭\nyes"), (5, "all sights reversed, or\n好的")]
