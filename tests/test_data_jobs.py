@@ -175,3 +175,36 @@ def test_roundtrip_analyses_once(spark, tmp_path, monkeypatch):
     back = registry.record_roundtrip(spark, folder).collect()
     assert read and not any("events.parquet" in f for f in read)
     assert sorted((r.text_id, r.copies, r.uses, r.bad_lines) for r in back) == [(0, 1, 1, 0), (1, 1, 2, 0), (50, 1, 1, 0), (56, 1, 1, 0)]
+
+
+def test_records_read_the_tokens_once(spark):
+    schema = "table_name string, column_name string, data_type string, type_family string, is_indexed boolean"
+    catalog = spark.createDataFrame([("known", "x", "int", "numeric", False)], schema)
+    sqls = ["SELECT * FROM known", "select y from known where x = 'a,b' limit 1", "NOT SQL", "-- nothing", "SELECT 1; DELETE FROM known"]
+    log = make_log(spark, [*sqls, sqls[0]])
+    for cat in (catalog, None):
+        records = lint.analyse(log, cat)
+        assert records._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+        got = {r.first_query: r for r in records.collect()}
+        assert sorted(got) == [0, 1, 2, 3, 4] and [got[i].uses for i in range(5)] == [2, 1, 1, 1, 1]
+        assert [got[i].error for i in range(5)] == [None, None, "not a statement", None, None]
+        assert got[1].formatted_sql == "SELECT y\nFROM known\nWHERE x = 'a,b'\nLIMIT 1" and got[2].formatted_sql == got[3].formatted_sql == ""
+        assert (got[4].stats.statement_count, got[1].stats.has_where, got[0].stats.column_count) == (2, True, 1)
+        assert ("L020" in [i.rule_id for i in got[1].lint_issues]) == (cat is not None) and got[2].lint_issues == []
+        assert "L001" in [i.rule_id for i in got[0].lint_issues] and "L002" in [i.rule_id for i in got[4].lint_issues]
+
+
+def test_records_in_turns_are_the_same(spark, tmp_path):
+    log = make_log(spark, [f"SELECT * FROM t{i % 6}" for i in range(9)] + ["NOT SQL"])
+    plain = lambda df: sorted(df.select("text_id", "uses", "formatted_sql", "lint_issues", "stats").collect())
+    whole, parts = lint.analysed(log, f"{tmp_path}/one"), lint.analysed(log, f"{tmp_path}/two", most=3)
+    assert plain(whole) == plain(parts) == plain(lint.analyse(log))
+    assert len({f.rsplit("/", 2)[1] for f in parts.inputFiles()}) == 3
+    assert lint.analysed(log.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_record_lines_are_compressed(spark, tmp_path):
+    folder = tmp_path / "records"
+    outputs.write_records(spark.range(3).selectExpr("cast(id AS string) AS text_id", "id"), str(folder), "all")
+    assert all(f.name.endswith(".gz") for f in folder.glob("batch=all/part-*"))
+    assert outputs.read_records(spark, str(folder), spark.range(3).selectExpr("cast(id AS string) AS text_id", "id").schema).count() == 3
